@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from siltstone.session import stage
+
 K, DIM, PROBES, PREFIX, RERANK, MAX_PIVOTS = 10, 384, 6, 8, 1024, 4096
-POSTED = T.StructType([T.StructField("file", T.IntegerType()), T.StructField("pid", T.StringType()), T.StructField("member", T.BooleanType()), T.StructField("pivots", T.BinaryType()), T.StructField("scale", T.FloatType()), T.StructField("vector", T.BinaryType())])
-RANKED = "pid string, near array<struct<sim: double, pid: string>>"
+POSTED = T.StructType([T.StructField("file", T.IntegerType()), T.StructField("no", T.LongType()), T.StructField("member", T.BooleanType()), T.StructField("pivots", T.BinaryType()), T.StructField("scale", T.FloatType()), T.StructField("vector", T.BinaryType())])
+RANKED = "no bigint, near array<struct<sim: double, no: bigint>>"
 
 
 def usable(vector: Column, dim: int) -> Column:
@@ -51,9 +53,9 @@ def newest(df: DataFrame, dim: int, with_vector: bool) -> DataFrame:
 
 
 def draw_pivots(df: DataFrame, dim: int, max_pivots: int) -> np.ndarray:
-    """Unit pivots: about 4 * sqrt(rows) different usable vectors, those whose point_id has the smallest hashes."""
+    """Unit pivots: about 4 * sqrt(rows), but no more than rows / 32, different usable vectors, those whose point_id has the smallest hashes."""
     n = df.count()
-    want = min(max_pivots, max(16, math.ceil(4 * math.sqrt(n))))
+    want = min(max_pivots, max(8, math.ceil(min(4 * math.sqrt(n), n / 32))))
     rank = F.xxhash64("point_id", F.lit("pivot"))
     share = min(1.0, 3 * want / max(n, 1) + 1e-9)  # the draw sorts three times as many rows as it needs, whatever n is
     some = df.where(usable(F.col("vector"), dim) & (F.pmod(rank, F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))))
@@ -97,13 +99,15 @@ def most_similar(df: DataFrame, k: int = K, dim: int = DIM, probes: int = PROBES
     pivots = draw_pivots(df, dim, max_pivots)
     prefix = min(prefix, len(pivots))
     probes = min(probes, prefix)
-    # 11 for k = 10: one of a group's own members is the query itself
-    members = newest(df, dim, False)
-    groups = Window.partitionBy("same")
-    firsts = members.withColumn("n", F.row_number().over(groups.orderBy("point_id"))).where(F.col("n") <= k + 1).groupBy("same").agg(F.sort_array(F.collect_list("point_id")).alias("ids"))
+    members = stage(newest(df, dim, False), "members")
+    # k + 1 of each group of equal vectors: one of a point's own group is the point itself
+    groups = Window.partitionBy("same").orderBy("point_id")
+    firsts = members.withColumn("n", F.row_number().over(groups)).where(F.col("n") <= k + 1).groupBy("same").agg(F.sort_array(F.collect_list("point_id")).alias("ids"))
+    # numbered in the order of their first point_id: 8 bytes instead of an id in all that follows, and ties still break by id
+    firsts = stage(firsts.withColumn("first", F.col("ids")[0]).sort("first").withColumn("no", F.monotonically_increasing_id()), "groups")
     # the vectors lie by point_id after newest(), so this join moves only the ids of the representatives
-    chosen = firsts.select(F.col("ids")[0].alias("point_id")).hint("shuffle_hash")
-    reps = newest(df, dim, True).join(chosen, "point_id").select(F.col("point_id").alias("pid"), "vector")
+    chosen = firsts.select(F.col("first").alias("point_id"), "no").hint("shuffle_hash")
+    reps = newest(df, dim, True).join(chosen, "point_id").select("no", "vector")
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,13 +128,13 @@ def most_similar(df: DataFrame, k: int = K, dim: int = DIM, probes: int = PROBES
 
     def rank(file: pa.Table) -> pa.Table:
         member = file.column("member").to_numpy()
-        ids = np.array(file.column("pid").to_pylist(), dtype=object)
+        ids = file.column("no").to_numpy()
         orders = np.frombuffer(b"".join(file.column("pivots").to_pylist()), np.int16).reshape(-1, prefix)
         scale, raw = file.column("scale").to_numpy(), file.column("vector").to_pylist()
         home, away = np.flatnonzero(member), np.flatnonzero(~member)
         mv = np.frombuffer(b"".join(raw[i] for i in home), np.float32).reshape(-1, dim)
         if not len(home):
-            return pa.table({"pid": pa.array([], pa.string()), "near": pa.array([], pa.list_(pa.struct([("sim", pa.float64()), ("pid", pa.string())])))})
+            return pa.table({"no": pa.array([], pa.int64()), "near": pa.array([], pa.list_(pa.struct([("sim", pa.float64()), ("no", pa.int64())])))})
         vv = np.frombuffer(b"".join(raw[i] for i in away), np.int16).reshape(-1, dim).astype(np.float32) * (scale[away] / 32767)[:, None] if len(away) else np.zeros((0, dim), np.float32)
         vv /= np.maximum(np.linalg.norm(vv, axis=1, keepdims=True), 1e-30)
         queries = np.concatenate([home, away])
@@ -143,27 +147,23 @@ def most_similar(df: DataFrame, k: int = K, dim: int = DIM, probes: int = PROBES
                 names.append(ids[home[b[ok]]])
                 n += 1
         offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        flat = pa.StructArray.from_arrays([pa.array(np.concatenate(sims).astype(np.float64)), pa.array(np.concatenate(names), pa.string())], names=["sim", "pid"])
-        return pa.table({"pid": pa.array(ids[queries], pa.string()), "near": pa.ListArray.from_arrays(pa.array(offsets), flat)})
+        flat = pa.StructArray.from_arrays([pa.array(np.concatenate(sims).astype(np.float64)), pa.array(np.concatenate(names))], names=["sim", "no"])
+        return pa.table({"no": pa.array(ids[queries]), "near": pa.ListArray.from_arrays(pa.array(offsets), flat)})
 
     if not len(pivots):
         none = F.array().cast("array<struct<sim: double, point_id: string>>")
         return members.where("false").select("point_id", none.alias("near"))
     ranked = reps.mapInArrow(post, POSTED).groupBy("file").applyInArrow(rank, RANKED)
 
-    def best_first(near: Column) -> Column:
-        return F.array_sort(F.transform(near, lambda x: F.struct((-F.round(x["sim"], 9)).alias("far"), x["pid"].alias("pid"))))
-
-    tops = ranked.groupBy("pid").agg(F.slice(best_first(F.flatten(F.collect_list("near"))), 1, k + 1).alias("top"))
-    many = firsts.where(F.size("ids") > 1).select(F.col("ids")[0].alias("c"), "ids")
-    others = tops.select("pid", F.explode("top").alias("x")).select("pid", "x.far", F.col("x.pid").alias("c")).join(many, "c", "left")
-    others = others.select("pid", "far", F.explode(F.coalesce("ids", F.array("c"))).alias("id"))
-    own = many.select(F.col("c").alias("pid"), F.lit(-1.0).alias("far"), F.explode("ids").alias("id"))
-    merged = others.unionByName(own).groupBy("pid").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", F.col("id").alias("pid")))), 1, k + 1).alias("top"))
-    firsts_of = firsts.select("same", F.col("ids")[0].alias("pid"))
-    mine = members.join(firsts_of, "same").select("pid", "point_id")
-    near = F.slice(F.filter("top", lambda x: x["pid"] != F.col("point_id")), 1, k)
-    return mine.join(merged, "pid").select("point_id", F.transform(near, lambda x: F.struct((-x["far"]).alias("sim"), x["pid"].alias("point_id"))).alias("near"))
+    best_first = F.array_sort(F.transform(F.flatten(F.collect_list("near")), lambda x: F.struct((-F.round(x["sim"], 9)).alias("far"), x["no"].alias("no"))))
+    tops = ranked.groupBy("no").agg(F.slice(best_first, 1, k + 1).alias("top"))
+    others = tops.select("no", F.explode("top").alias("x")).select(F.col("no").alias("query"), "x.far", "x.no")
+    others = others.join(firsts.select("no", "ids"), "no").select("query", "far", F.explode("ids").alias("point_id"))
+    own = firsts.where(F.size("ids") > 1).select(F.col("no").alias("query"), F.lit(-1.0).alias("far"), F.explode("ids").alias("point_id"))
+    merged = others.unionByName(own).groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "point_id"))), 1, k + 1).alias("top"))
+    mine = members.join(firsts.select("same", F.col("no").alias("query")), "same").select("query", "point_id")
+    near = F.slice(F.filter("top", lambda x: x["point_id"] != F.col("point_id")), 1, k)
+    return mine.join(merged, "query").select("point_id", F.transform(near, lambda x: F.struct((-x["far"]).alias("sim"), x["point_id"].alias("point_id"))).alias("near"))
 
 
 def similar_pairs(near: DataFrame) -> DataFrame:

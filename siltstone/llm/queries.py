@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import neighbors, shared_lines, split
+from siltstone.llm import near_duplicates, neighbors, shared_lines, split
 from siltstone.sources.tables import table
 
 
@@ -41,4 +41,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbors.similar_pairs(neighbors.most_similar(table(spark, d, "vector_points")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_lines, p2_sequences, p2_clean, p5_found)}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.document_pairs(*near_duplicates.similar_sets(table(spark, d, "extract_results")))
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.document_groups(*near_duplicates.similar_sets(table(spark, d, "extract_results")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_lines, p2_sequences, p2_clean, p5_found, p7_found, p7_groups)}

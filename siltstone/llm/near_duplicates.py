@@ -131,14 +131,18 @@ def similar_sets(df: DataFrame, words: int = WORDS, t: float = SIMILARITY) -> tu
     def band(size: str, factor: float = 1.0):  # noqa: ANN202
         return F.floor(F.log(F.col(size) * F.lit(factor)) / F.lit(wide)).cast("int")
 
-    posted = own.select(F.col("extract_id").alias("id"), "size", F.explode(F.arrays_zip("shingles", "places")).alias("x")).select("id", "size", F.col("x.shingles").alias("shingle"), F.col("x.places").alias("place"))
-    home = posted.withColumn("band", band("size"))
-    reach = posted.withColumn("bands", F.array_distinct(F.array(band("size"), band("size", (1 + 1e-9) / t)))).withColumn("band", F.explode("bands")).withColumn("visits", F.col("band") != band("size")).drop("bands")
-    x, y = reach.alias("x"), home.alias("y")
+    # a row of a tile is three numbers: hash of shingle and band, page, and size, place and visit in one
+    posted = own.select("extract_id", "size", F.explode(F.arrays_zip("shingles", "places")).alias("x")).select(F.col("extract_id").alias("id"), "size", F.col("x.shingles").alias("shingle"), F.col("x.places").alias("place"))
+    packed = F.shiftleft(F.col("size").cast("bigint"), 32) + F.shiftleft(F.col("place").cast("bigint"), 1)
+    home = posted.select(F.xxhash64("shingle", band("size")).alias("tile"), "id", packed.alias("w"))
+    next_band = band("size", (1 + 1e-9) / t)
+    bands = F.when(next_band > band("size"), F.array(F.struct(band("size").alias("band"), F.lit(0).alias("visit")), F.struct(next_band.alias("band"), F.lit(1).alias("visit")))).otherwise(F.array(F.struct(band("size").alias("band"), F.lit(0).alias("visit"))))
+    reach = posted.withColumn("to", F.explode(bands)).select(F.xxhash64("shingle", "to.band").alias("tile"), "id", (packed + F.col("to.visit")).alias("w"))
+    x, y = (side.select("tile", "id", F.shiftright("w", 32).alias("size"), F.shiftright(F.col("w").bitwiseAND(0xFFFFFFFF), 1).alias("place"), F.col("w").bitwiseAND(1).alias("visit")).alias(name) for side, name in ((reach.repartition("tile"), "x"), (home.repartition("tile"), "y")))
     need = F.lit(t / (1 + t)) * (F.col("x.size") + F.col("y.size")) - F.lit(1e-6)
-    ordered = (F.col("x.id") != F.col("y.id")) & (F.col("x.visits") | (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.id") < F.col("y.id"))))
+    ordered = (F.col("x.id") != F.col("y.id")) & ((F.col("x.visit") == 1) | (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.id") < F.col("y.id"))))
     bounded = (F.col("x.size") <= F.col("y.size")) & (F.col("x.size") >= F.lit(t - 1e-9) * F.col("y.size")) & (F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) >= need)
-    tiles = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.band") == F.col("y.band")) & ordered & bounded)
+    tiles = x.join(y, (F.col("x.tile") == F.col("y.tile")) & ordered & bounded)
     pairs = tiles.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
     signs = pages.where("size > 0").select("extract_id", "size", "bits")

@@ -138,10 +138,12 @@ def similar_sets(df: DataFrame, words: int = WORDS, t: float = SIMILARITY) -> tu
     next_band = band("size", (1 + 1e-9) / t)
     bands = F.when(next_band > band("size"), F.array(F.struct(band("size").alias("band"), F.lit(0).alias("visit")), F.struct(next_band.alias("band"), F.lit(1).alias("visit")))).otherwise(F.array(F.struct(band("size").alias("band"), F.lit(0).alias("visit"))))
     reach = posted.withColumn("to", F.explode(bands)).select(F.xxhash64("shingle", "to.band").alias("tile"), "id", (packed + F.col("to.visit")).alias("w"))
-    x, y = (side.select("tile", "id", F.shiftright("w", 32).alias("size"), F.shiftright(F.col("w").bitwiseAND(0xFFFFFFFF), 1).alias("place"), F.col("w").bitwiseAND(1).alias("visit")).alias(name) for side, name in ((reach.repartition("tile"), "x"), (home.repartition("tile"), "y")))
-    need = F.lit(t / (1 + t)) * (F.col("x.size") + F.col("y.size")) - F.lit(1e-6)
-    ordered = (F.col("x.id") != F.col("y.id")) & ((F.col("x.visit") == 1) | (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.id") < F.col("y.id"))))
-    bounded = (F.col("x.size") <= F.col("y.size")) & (F.col("x.size") >= F.lit(t - 1e-9) * F.col("y.size")) & (F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) >= need)
+    # unpacked inside the join's condition, so that the packed form is what is shuffled and hot tiles can be split at run time
+    (xn, xp), (yn, yp) = ((F.shiftright(f"{c}.w", 32), F.shiftright(F.col(f"{c}.w").bitwiseAND(0xFFFFFFFF), 1)) for c in "xy")
+    xi, yi, visit = F.col("x.id"), F.col("y.id"), F.col("x.w").bitwiseAND(1) == 1
+    ordered = (xi != yi) & (visit | (xn < yn) | ((xn == yn) & (xi < yi)))
+    bounded = (xn <= yn) & (xn >= F.lit(t - 1e-9) * yn) & (F.least(xn - xp, yn - yp) >= F.lit(t / (1 + t)) * (xn + yn) - F.lit(1e-6))
+    x, y = reach.alias("x"), home.alias("y")
     tiles = x.join(y, (F.col("x.tile") == F.col("y.tile")) & ordered & bounded)
     pairs = tiles.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import near_duplicates, neighbors, shared_lines, split
+from siltstone.llm import near_duplicates, neighbors, packing, repetition, shared_lines, split, tokens
 from siltstone.sources.tables import table
 
 
@@ -49,4 +49,24 @@ def p7_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.document_groups(*near_duplicates.similar_sets(table(spark, d, "extract_results")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_lines, p2_sequences, p2_clean, p5_found, p7_found, p7_groups)}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode_corpus(table(spark, d, "documents"))
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_containers(table(spark, d, "documents"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_shares(spark, d).where(F.col("repeated_share") >= repetition.SHARE).select("doc_id")
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.repeated_share(table(spark, d, "documents"))
+
+
+def p10_perplexity(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.perplexities(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_lines, p2_sequences, p2_clean, p5_found, p7_found, p7_groups, p8_ids, p9_containers, p10_found, p10_shares, p10_perplexity)}

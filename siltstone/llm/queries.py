@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import near_duplicates, neighbors, packing, repetition, shared_lines, split, tokens
+from siltstone.llm import main_content, markup, near_duplicates, neighbors, packing, repetition, shared_lines, split, tokens
 from siltstone.sources.tables import table
 
 
@@ -69,4 +69,37 @@ def p10_perplexity(spark: SparkSession, d: str) -> DataFrame:
     return repetition.perplexities(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_lines, p2_sequences, p2_clean, p5_found, p7_found, p7_groups, p8_ids, p9_containers, p10_found, p10_shares, p10_perplexity)}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p4(spark, d).select("record_table", "record_id", F.explode("kinds").alias("kind")).distinct()
+
+
+def p4_clean(spark: SparkSession, d: str) -> DataFrame:
+    return _p4(spark, d).select("record_table", "record_id", F.concat_ws(" ", "kinds").alias("kinds"), "clean_text").dropDuplicates(["record_table", "record_id"])
+
+
+def _p4(spark: SparkSession, d: str) -> DataFrame:
+    parts = []
+    for name, key, text in (("extract_results", "extract_id", "extracted_text"), ("document_chunks", "chunk_id", "text")):
+        rows = table(spark, d, name).where(F.length(text) > 0).select(F.lit(name).alias("record_table"), F.col(key).cast("string").alias("record_id"), F.col(text).alias("text"))
+        parts.append(markup.clean_markup(rows))
+    return parts[0].unionByName(parts[1])
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_units(spark, d).where("not own").select("record_table", "record_id", "unit_no")
+
+
+def p6_units(spark: SparkSession, d: str) -> DataFrame:
+    names = main_content.site_names(table(spark, d, "sources"))
+    texts = main_content.text_units(table(spark, d, "extract_results"), names).withColumn("record_table", F.lit("extract_results"))
+    pages = main_content.page_units(table(spark, d, "fetch_results"), names).withColumn("record_table", F.lit("fetch_results"))
+    return texts.unionByName(pages)
+
+
+def p6_content(spark: SparkSession, d: str) -> DataFrame:
+    names = main_content.site_names(table(spark, d, "sources"))
+    texts = main_content.own_text(table(spark, d, "extract_results"), names, "text").withColumn("record_table", F.lit("extract_results"))
+    return texts.unionByName(main_content.own_text(table(spark, d, "fetch_results"), names, "page").withColumn("record_table", F.lit("fetch_results")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_lines, p2_sequences, p2_clean, p4_found, p4_clean, p5_found, p6_found, p6_units, p6_content, p7_found, p7_groups, p8_ids, p9_containers, p10_found, p10_shares, p10_perplexity)}

@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,16 @@ CUES = re.compile(
     r"popular right now|you may also like|related articles|recently viewed|in this article|on this page|page outline|^\W*contents\W*$|^\W*jump to\W*$",
     re.I,
 )
+#: A literal part of every phrase above, in lower case: texts without any of them are not searched for the phrases (fixed values).
+ANCHORS = (
+    "cookies|privacy matters|place small files|accept all|only necessary|manage choices|allow selection|for busy teams|start free|book a demo|read the offer|sponsored|advertisement|"
+    "from our partners|in your inbox|monthly letter|release mail|never miss a|no spam|leave any time|enter your e-mail|sign me up|subscribe|was this page helpful|how are we doing|"
+    "did this solve your problem|rate this|tell us why|tell a colleague|save you time|edit this page|improve this page|report an issue|suggest a change|view source|found a mistake|"
+    "open a ticket|share this|copy link|copy its short link|spread the word|post this|help desk|need a hand|questions go to the|skip to|jump to|toggle|open menu|close sidebar|"
+    "search docs|find in pages|type to search|all rights|©|(c)|copyright|logo are marks of|is shared under the|gives no warranty|provided as is|is a promise about|do not sell my data|"
+    "you are reading the documentation|unless stated otherwise|may change before|before you begin, install|last reviewed|written by the|updated|article no.|to read|turn scripts on|"
+    "popular right now|you may also like|related articles|recently viewed|in this article|on this page|page outline|contents"
+).split("|")
 #: Ends of sentences.
 END = re.compile(r"[.!?:。！？…][\"'”’)\]}`*_]*\s*$")
 LINK = re.compile(r"!?\[[^\]\[\n]*\]\([^()\n]*\)")
@@ -58,10 +69,16 @@ class Points:
     def __init__(self, names: list[str]) -> None:
         known = sorted({n.strip() for n in names if n and len(n.strip()) > 2}, key=len, reverse=True)
         self.name = re.compile(r"\b(?:" + "|".join(map(re.escape, known)) + r")\b", re.I) if known else None
+        self.anchors = ahocorasick.Automaton()
+        for a in (*ANCHORS, *(n.lower() for n in known)):
+            self.anchors.add_word(a, True)
+        self.anchors.make_automaton()
 
     def notice(self, text: str) -> bool:
         """Whether a line reads like a notice: it is not long, and holds a fixed phrase or names a site."""
-        return len(text) <= 300 and bool(CUES.search(text) or (self.name and "`" not in text and self.name.search(text)))
+        if len(text) > 300 or next(self.anchors.iter(text.lower()), None) is None:
+            return False
+        return bool(CUES.search(text) or (self.name and "`" not in text and self.name.search(text)))
 
     def __call__(self, text: str) -> float:
         """Points of a line or paragraph for length and commas, 0 for what looks like a link."""
@@ -71,12 +88,12 @@ class Points:
             return 0.0
         if self.notice(text):
             return 0.0
-        words = len(text.split())
+        words = text.count(" ") + 1
+        wide = len(WIDE.findall(text)) if not text.isascii() else 0
+        if (words >= 4 or wide >= 8) and END.search(text[-8:]):
+            return 1.0 + text.count(",") + text.count("、") + min(len(text) / 100, 3)
         if OWN.search(text) or (ROW.match(text) and CODE_NAME.match(text.strip("| ").split("|")[0].strip())):
             return 1.0 + min(len(text) / 100, 3)
-        wide = len(WIDE.findall(text))
-        if END.search(text) and (words >= 4 or wide >= 8):
-            return 1.0 + text.count(",") + text.count("、") + min(len(text) / 100, 3)
         if "|" in text or "·" in text or " / " in text or "›" in text or " > " in text:
             return 0.0
         if (words >= 9 and sum(w[0].isupper() for w in text.split()) < 0.4 * words) or wide >= 25:

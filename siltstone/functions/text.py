@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 #: Fixed values of the prompt and its limits.
 BEGIN, END = "<<<BEGIN_DOCUMENTATION>>>", "<<<END_DOCUMENTATION>>>"
@@ -54,22 +55,22 @@ def heading_outline(text: str) -> list[str]:
     return [m[1].strip() for m in found if m and m[1].strip()]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_text(text: pd.Series) -> pd.Series:
     return text.map(normal_form, na_action="ignore")
 
 
-@F.pandas_udf("array<struct<is_fence: boolean, segment: string>>")
+@F.pandas_udf(ArrayType(StructType([StructField("is_fence", BooleanType()), StructField("segment", StringType())])))
 def split_fences(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else [{"is_fence": f, "segment": s} for f, s in fence_segments(t)])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def outline(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [] if t is None else heading_outline(t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compatible_form(text: pd.Series) -> pd.Series:
     """NFKC with every run of blanks made one space: texts that differ in form only become equal."""
     return text.map(lambda t: " ".join(unicodedata.normalize("NFKC", t).split()), na_action="ignore")

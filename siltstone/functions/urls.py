@@ -8,6 +8,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 HOST = r"^(?:.*@)?(\[[^\]]*\]|[^:\[\]]*)(?::(.*))?$"
@@ -122,7 +123,7 @@ def robots_reason(raw: Column, hosts: Column) -> Column:
     return F.coalesce(_before_host(url), F.when(~F.coalesce(F.array_contains(hosts, url.host), F.lit(False)), INVALID_HOST).when(url.path != "/robots.txt", "invalid_robots_path").otherwise(OK))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def resolve_url(base: pd.Series, target: pd.Series) -> pd.Series:
     """The absolute form of a target (a link or a redirect's location) found at base; null for a blank target."""
 

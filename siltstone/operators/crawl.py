@@ -9,19 +9,20 @@ from urllib.robotparser import RobotFileParser
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from siltstone.functions.urls import canonical_url, link_kept, resolve_url
 from siltstone.session import bound_batches, spread, stage
 from siltstone.sources.html import parse
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def hrefs(body: pd.Series) -> pd.Series:
     """The href of each link of a page, in order."""
     return body.map(lambda b: [] if b is None else [e.attrs["href"] for e in parse(b).elements() if e.name == "a" and "href" in e.attrs])
 
 
-@F.pandas_udf("struct<ok: boolean, reason: string, is_index: boolean, urls: array<string>>")
+@F.pandas_udf(StructType([StructField("ok", BooleanType()), StructField("reason", StringType()), StructField("is_index", BooleanType()), StructField("urls", ArrayType(StringType()))]))
 def parse_sitemap(xml: pd.Series) -> pd.DataFrame:
     """A sitemap or sitemap index, whatever its namespace; another root counts only if it holds addresses. Malformed XML is a value, not an error."""
 

@@ -48,7 +48,7 @@ def retry_after_seconds(value: Column, now: Column) -> Column:
     raw = F.trim(value)
     number = F.when(raw.rlike("^[0-9]{1,9}$"), F.least(F.when(raw.rlike("^[0-9]{1,9}$"), raw.cast("double")), F.lit(MAX_DELAY))).when(raw.rlike("^[0-9]+$"), F.lit(MAX_DELAY))
     when = F.try_to_timestamp(F.regexp_extract(raw, r"^[A-Za-z]{3}, (\d{2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
-    date = F.least(F.greatest(when.cast("double") - now.cast("double"), F.lit(0.0)), F.lit(MAX_DELAY))
+    date = F.when(when.isNotNull(), F.least(F.greatest(when.cast("double") - now.cast("double"), F.lit(0.0)), F.lit(MAX_DELAY)))
     return F.coalesce(number, date)
 
 

@@ -147,7 +147,7 @@ def similar_sets(df: DataFrame, words: int = WORDS, t: float = SIMILARITY) -> tu
     tiles = x.join(y, (F.col("x.tile") == F.col("y.tile")) & ordered & bounded)
     pairs = tiles.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
-    signs = pages.where("size > 0").select("extract_id", "size", "bits")
+    signs = pages.where("size > 0").select("extract_id", "size", "bits").dropDuplicates(["extract_id"])  # rows may occur twice
     both = pairs.join(signs.select(F.col("extract_id").alias("a"), F.col("size").alias("na"), F.col("bits").alias("ba")), "a").join(signs.select(F.col("extract_id").alias("b"), F.col("size").alias("nb"), F.col("bits").alias("bb")), "b")
     words8 = range(0, BITS // 8, 8)
 
@@ -165,7 +165,7 @@ def similar_sets(df: DataFrame, words: int = WORDS, t: float = SIMILARITY) -> tu
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sets(x).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], names=["extract_id", "s"])
 
-    exact = stage(df.select("extract_id", "extracted_text").join(asked, "extract_id", "left_semi").mapInArrow(arrays, "extract_id bigint, s binary"), "exact")
+    exact = stage(df.select("extract_id", "extracted_text").join(asked, "extract_id", "left_semi").mapInArrow(arrays, "extract_id bigint, s binary").dropDuplicates(["extract_id"]), "exact")
 
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

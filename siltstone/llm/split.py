@@ -78,8 +78,9 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
         if hi - lo <= cap:
             cuts.append(hi)
             continue
-        quarter, middle = (hi - lo) // 4, (lo + hi) / 2
-        cut = max(range(lo + max(1, quarter), hi - quarter), key=lambda i: (strong[i], -abs(i - middle)))
+        # not too near the ends: a piece holds at least the overlap that the next one repeats
+        margin, middle = max(1, (hi - lo) // 4, min(overlap, (hi - lo - 1) // 2)), (lo + hi) / 2
+        cut = max(range(lo + margin, hi - margin + 1), key=lambda i: (strong[i], -abs(i - middle)))
         todo += [(cut, hi), (lo, cut)]
     at = [0, *(starts[c] for c in cuts[1:-1]), len(text)]
     out = []
@@ -97,19 +98,19 @@ def split_oversized(df: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, o
     """
     bound_batches(df.sparkSession)
     texts = df.select("chunk_id", F.coalesce("primary_text", "text").alias("whole"))
+    texts = texts.withColumn("sum", F.xxhash64("whole"))
     texts = texts.where(F.length("whole") > limit) if only_long else texts.where(F.length("whole") > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, whole, own in zip(*(c.to_pylist() for c in batch.columns)):
                 cut = pieces(whole, limit, overlap)
                 if len(cut) > 1 or not only_long:
-                    rows += [(key, i, len(cut), *x) for i, x in enumerate(cut)]
+                    rows += [(key, i, len(cut), *x, own) for i, x in enumerate(cut)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()))],
-                names=["chunk_id", "piece_no", "n_pieces", "n_tokens", "overlap_tokens", "text"],
+                [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64()))],
+                names=["chunk_id", "piece_no", "n_pieces", "n_tokens", "overlap_tokens", "text", "sum"],
             )
 
-    cut = texts.mapInArrow(run, SCHEMA)
-    return cut.withColumn("sum", F.xxhash64("text")).dropDuplicates(["chunk_id", "piece_no", "sum"]).drop("sum")
+    return texts.mapInArrow(run, SCHEMA + ", sum bigint").dropDuplicates(["chunk_id", "piece_no", "sum"]).drop("sum")

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from siltstone.functions import http, ids, urls
 from siltstone.functions import text as T
 from siltstone.functions.vectors import norm
-from siltstone.operators import catalog, chunking, crawl, html_extract, incremental, index, retrieval
+from siltstone.operators import catalog, chunking, crawl, html_extract, incremental, index, pipeline, retrieval
 from siltstone.session import bound_batches, shared_dir, spread, stage
 from siltstone.sources.tables import table
 from siltstone.streaming import events as streams
@@ -516,6 +516,29 @@ def request_checks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", retrieval.request_error(c("title"), c("n_chars") % 120, c("doc_id") % 12 / 10.0, c("doc_id") % 23, c("doc_id") % 8500).alias("error"))
 
 
+@query()
+def page_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Pages to chunks to points: extraction, change detection, cutting, embedding, upserts and stale points, per document."""
+    latest = catalog.latest(table(spark, d, "fetch_results").where("ok and body is not null and source_id is not null").select("source_id", "canonical_url", "fetch_id", "body", "fetched_at"), catalog.KEY, "fetched_at")
+    pages = latest.select(F.col("fetch_id").alias("record_id"), "source_id", "canonical_url", "body")
+    cut = stage(pipeline.pages_to_chunks(pages, table(spark, d, "sources"), newest(spark, d)), "chunks")
+    points = index.current_points(table(spark, d, "vector_points"))
+    _, counts = pipeline.refresh_index(points, cut, pipeline.hash_embedder(), "run", "hash", F.to_timestamp(F.lit("2026-08-29 12:00:00")))
+    return counts
+
+
+@query()
+def question_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Every 20th document's title asked of all chunks by hashed words, packed, prompted, answered by quoting the first source, and checked for citations."""
+    embed = pipeline.hash_embedder(64)
+    asked = table(spark, d, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("request_id"), F.col("title").alias("query"), F.lit(10).alias("top_k"), F.lit(0.2).alias("score_threshold"), F.lit(5).alias("max_chunks"), F.lit(800).alias("token_budget"))
+    rows = stage(chunk_rows(spark, d).withColumn("no", F.xxhash64("chunk_id")).withColumn("embedding", embed(F.col("text"))), "points")
+    queries = asked.where("query is not null").select(F.col("request_id").alias("vec_id"), embed(F.concat(F.lit(T.QUERY_PREFIX), F.col("query"))).alias("embedding"))
+    hits = retrieval.search(queries, rows.select(F.col("no").alias("vec_id"), "embedding"), 10).withColumnRenamed("query_id", "request_id")
+    whole = hits.join(rows.drop("embedding"), F.col("point_id") == F.col("no"))
+    return pipeline.answers(asked, whole, lambda prompt, context: F.concat(F.lit("See "), F.get(context, F.lit(0))["canonical_url"], F.lit(" and https://elsewhere.example/x.")))
+
+
 # --- streams
 
 

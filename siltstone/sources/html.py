@@ -105,7 +105,7 @@ def matches(e: Element, simple: str) -> bool:
 
 def select(root: Element, selector: str) -> Iterator[Element]:
     """The elements below root that match a selector; a blank between parts means descent. Selectors of another form match nothing."""
-    *above, last = selector.split() or [""]
+    *above, last = re.findall(r"(?:\[[^\]]*\]|\S)+", selector) or [""]
     for e in root.elements():
         if not matches(e, last):
             continue

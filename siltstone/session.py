@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -41,11 +42,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Logical operators that shuffle: what comes out of them is spread already.
+SHUFFLES = re.compile(r"^[\s:+-]*(?:Join|Aggregate|Window|Repartition\w*|Sort|Distinct|Deduplicate|FlatMap\w*|MapGroups)\b", re.M)
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give a CPU-bound Python stage at least one partition per core.
+    """Give a CPU-bound Python stage over a scan at least one partition per core.
 
-    Inputs with fewer splits than half the cores are redistributed (they are small by construction: a split holds up to
-    spark.sql.files.maxPartitionBytes); larger inputs keep their splits and are not shuffled.
+    Scans with fewer splits than half the cores are redistributed (they are small by construction: a split holds up to
+    spark.sql.files.maxPartitionBytes); larger ones keep their splits and are not shuffled. Plans that shuffle are left alone: counting their
+    partitions would run them.
     """
+    if SHUFFLES.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df

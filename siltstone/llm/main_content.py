@@ -175,8 +175,8 @@ def own_units(page: Page, points: Points) -> list[bool]:
         chars = sum(len(page.texts[u].strip()) for u in units)
         linked = sum(page.linked[u] for u in units)
         if node.tag in KEPT or "hint" in node.attrs:
-            if linked > 0.5 * chars and node.tag in ("ul", "ol", "p", "dl", "table"):
-                return
+            if linked > 0.5 * chars and node.tag in ("ul", "ol", "p", "dl", "table") and not any(points(page.texts[u]) > 0 for u in units):
+                return  # links, and none of them reads like a sentence
             if node.tag == "p" and worth[units[0]] <= 0 and points.notice(page.texts[units[0]]):
                 return
         elif not any(x.tag in BLOCKS or x.tag == "button" for x in node.walk() if x is not node):

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
+from pyspark.sql.window import Window
+
 from siltstone.functions.urls import canonical_url, link_kept, resolve_url
 from siltstone.session import bound_batches, spread, stage
 from siltstone.sources.html import parse
@@ -47,6 +49,27 @@ def page_links(pages: DataFrame) -> DataFrame:
     return found.where(link_kept(F.col("href"), F.col("link"))).groupBy("source_id", "page_url", "link").agg(F.min("position").alias("position"))
 
 
+def expand_sitemaps(roots: DataFrame, bodies: DataFrame, children: int = 20, depth: int = 5) -> DataFrame:
+    """(source_id, root, sitemap, url) of the pages that sitemaps list: roots(source_id, url), bodies(url, xml). An index leads to at most `children` other
+    sitemaps of its root, first listed first, none of them twice; one level of indexes per round."""
+    parsed = stage(bodies.select(F.col("url").alias("sitemap"), parse_sitemap("xml").alias("s")).where("s.ok").select("sitemap", "s.is_index", "s.urls"), "sitemaps")
+    level = roots.select("source_id", F.col("url").alias("root"), F.col("url").alias("sitemap")).distinct()
+    seen, pages = level, None
+    for n in range(depth):
+        hit = level.join(parsed, "sitemap")
+        found = hit.where("not is_index").select("source_id", "root", "sitemap", F.explode("urls").alias("url")).distinct()
+        pages = found if pages is None else pages.unionByName(found)
+        listed = hit.where("is_index").select("source_id", "root", F.posexplode("urls").alias("at", "child")).groupBy("source_id", "root", "child").agg(F.min("at").alias("at"))
+        fresh = listed.select("source_id", "root", F.col("child").alias("sitemap"), "at").join(seen, ["source_id", "root", "sitemap"], "left_anti")
+        used = seen.groupBy("source_id", "root").agg((F.count("*") - 1).alias("used"))
+        ranked = fresh.withColumn("rank", F.row_number().over(Window.partitionBy("source_id", "root").orderBy("at", "sitemap"))).join(used, ["source_id", "root"])
+        level = stage(ranked.where(F.col("rank") + F.col("used") <= children).select("source_id", "root", "sitemap"), f"level{n}")
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+    return pages
+
+
 def robots_allowed(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
     """urls(host, url) with allowed by robots(host, status, body): missing files (404) allow all, other errors nothing. Rules are parsed once per host and task."""
 

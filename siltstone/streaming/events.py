@@ -14,25 +14,34 @@ from siltstone.session import shared_dir
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
     """The files of a folder, or one file, as a stream; ts as a timestamp, which watermarks need."""
     schema = spark.read.parquet(path).schema
-    folder, _, name = path.rpartition("/")
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        rows = spark.readStream.schema(schema).parquet(path)
+    else:  # streams read folders
+        folder, _, name = path.rpartition("/")
+        rows = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def deduplicated(events: DataFrame, key: str = "event_id", delay: str = "10 minutes") -> DataFrame:
+def _marked(events: DataFrame, delay: str | None) -> DataFrame:
+    """events with a watermark; with delay None, events have one already."""
+    return events if delay is None else events.withWatermark("ts", delay)
+
+
+def deduplicated(events: DataFrame, key: str = "event_id", delay: str | None = "10 minutes") -> DataFrame:
     """Each key once; its state is dropped when the watermark has passed."""
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
+    return _marked(events, delay).dropDuplicatesWithinWatermark([key])
 
 
-def sessions(events: DataFrame, user: str = "user_id", gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
+def sessions(events: DataFrame, user: str = "user_id", gap: str = "30 minutes", delay: str | None = "10 minutes") -> DataFrame:
     """(user, start, end, n, total) of sessions closed by a gap."""
-    grouped = events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap).alias("w"), user)
+    grouped = _marked(events, delay).groupBy(F.session_window("ts", gap).alias("w"), user)
     return grouped.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(user, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n", "total")
 
 
-def windows(events: DataFrame, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+def windows(events: DataFrame, width: str = "1 hour", delay: str | None = "10 minutes") -> DataFrame:
     """(start, event_type, n, total) per tumbling window."""
-    grouped = events.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "event_type")
+    grouped = _marked(events, delay).groupBy(F.window("ts", width).alias("w"), "event_type")
     return grouped.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
 

@@ -47,8 +47,14 @@ def search(queries: DataFrame, points: DataFrame, k: int, key: str = "vec_id", v
                     raise ValueError(f"vectors of {x.shape[1]} and {q.shape[1]} numbers")
                 ids, qids = np.asarray(ids), np.asarray(qids)
                 sims = np.round(q @ x.T, digits)
-                best = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(qids, best.shape[1]), "point_id": ids[best].ravel(), "score": np.take_along_axis(sims, best, 1).ravel()})
+                least = np.partition(sims, -k, axis=1)[:, -k] if k < sims.shape[1] else np.full(len(sims), -np.inf)
+                row, col = np.nonzero(sims >= least[:, None])  # k of each query, and those that tie with its last
+                order = np.lexsort((ids[col], -sims[row, col], row))
+                row, col = row[order], col[order]
+                first = np.searchsorted(row, np.arange(len(sims)))
+                keep = np.arange(len(row)) - first[row] < k
+                row, col = row[keep], col[keep]
+                yield pd.DataFrame({"query_id": qids[row], "point_id": ids[col], "score": sims[row, col]})
 
     scored = pairs.mapInPandas(score, "query_id bigint, point_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.words import TOKEN, fenced
-from siltstone.session import bound_batches
+from siltstone.session import bound_batches, spread
 
 LIMIT, OVERLAP = 400, 50
 SENTENCE_END, CLAUSE_END = frozenset(".!?。！？…"), frozenset(",;:、，；：)]}")
@@ -113,4 +113,4 @@ def split_oversized(df: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, o
                 names=["chunk_id", "piece_no", "n_pieces", "n_tokens", "overlap_tokens", "text", "sum"],
             )
 
-    return texts.mapInArrow(run, SCHEMA + ", sum bigint").dropDuplicates(["chunk_id", "piece_no", "sum"]).drop("sum")
+    return spread(texts).mapInArrow(run, SCHEMA + ", sum bigint").dropDuplicates(["chunk_id", "piece_no", "sum"]).drop("sum")

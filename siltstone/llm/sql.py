@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from siltstone.plans.catalogue import BLANK, fence_lines
+
 #: Chinese and Japanese characters, as in words.CJK.
 CJK = r"[々〇\x{3040}-\x{30ff}\x{31f0}-\x{31ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{ff66}-\x{ff9f}\x{20000}-\x{3ffff}]"
 #: Anything visible that is no letter, digit or underscore.
@@ -9,19 +11,12 @@ OTHER = r"[^\s\p{L}\p{N}_\p{Z}\x00-\x1f\x7f-\x9f\x{200b}-\x{200f}\x{202a}-\x{202
 WORDS5 = rf"regexp_extract_all(regexp_replace(regexp_replace(lower(text), '\p{{Nd}}+', '0', 'g'), '({CJK})', ' \1 ', 'g'), '[\p{{L}}\p{{N}}]+')"
 SEQUENCES = f"""(select doc_id, len(w)::int as n_words, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) as g from (select doc_id, coalesce({WORDS5}, []) as w from documents))"""
 
-BLANK = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
-OPENS = "'^(`{3,}|~{3,})'"
-
 SQL: dict[str, str] = {
     "p1_found": rf"""with t as (select distinct chunk_id, coalesce(primary_text, text) as x from document_chunks where chunk_id is not null),
       c as (select chunk_id, len(regexp_extract_all(x, '{CJK}')) + len(regexp_extract_all(regexp_replace(x, '{CJK}', ' ', 'g'), '[\p{{L}}\p{{N}}_]+|{OTHER}')) as n from t) select distinct chunk_id from c where n > 400""",
-    "p2_found": rf"""with recursive l as materialized (select extract_id, source_id, document_id, i - 1 as n, ls[i] as line from (select *, string_split(extracted_text, chr(10)) as ls from extract_results where source_id is not null and length(extracted_text) > 0), unnest(range(1, len(ls) + 1)) t(i)),
-      f(extract_id, n, mark) as (select extract_id, n, '' from l where n = 0 union all
-        select f.extract_id, f.n + 1, case when f.mark = '' then regexp_extract(l.line, {OPENS}, 1)
-          when regexp_full_match(regexp_replace(l.line, '{BLANK}+$', ''), case when left(f.mark, 1) = '~' then '~+' else '`+' end) and length(regexp_replace(l.line, '{BLANK}+$', '')) >= length(f.mark) then '' else f.mark end
-        from f join l on l.extract_id = f.extract_id and l.n = f.n),
-      k as (select extract_id, source_id, document_id, l.n, regexp_replace(line, '^{BLANK}+|{BLANK}+$', '', 'g') as t from l join f using (extract_id, n) where mark = '' and not regexp_matches(line, {OPENS})),
-      m as (select *, regexp_replace(regexp_replace(lower(t), '{BLANK}+', ' ', 'g'), '\p{{Nd}}+', '0', 'g') as form from k where length(t) >= 20),
+    "p2_found": rf"""with recursive t as (select extract_id, extracted_text as text from extract_results where source_id is not null and length(extracted_text) > 0), {fence_lines("t", "extract_id")},
+      c as (select extract_id, source_id, document_id, n, regexp_replace(line, '^{BLANK}+|{BLANK}+$', '', 'g') as t from k join extract_results using (extract_id) where not inside),
+      m as (select *, regexp_replace(regexp_replace(lower(t), '{BLANK}+', ' ', 'g'), '\p{{Nd}}+', '0', 'g') as form from c where length(t) >= 20),
       d as (select source_id, count(distinct document_id) as documents from extract_results where length(extracted_text) > 0 group by 1),
       o as (select source_id, form, count(distinct document_id) as support from m group by all)
       select extract_id, n::int as line_no from m join o using (source_id, form) join d using (source_id) where support >= 4 and support / documents >= 0.05""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 
@@ -43,8 +44,8 @@ def normal_form(text: str) -> str:
     """NFC, no blanks at line ends and at most two blank lines in a row outside fences, none around the text."""
 
     def plain(segment: str) -> str:
-        lines = "\n".join(line.rstrip() for line in segment.split("\n"))
-        return re.sub(r"(\A|[^\n])(\n+)", lambda m: m[1] + m[2][: 3 if m[1] else 2], lines)
+        runs = itertools.groupby((line.rstrip() for line in segment.split("\n")), bool)
+        return "\n".join(line for filled, run in runs for line in (run if filled else itertools.islice(run, 2)))
 
     return "\n".join(s if fence else plain(s) for fence, s in fence_segments(unicodedata.normalize("NFC", text))).strip()
 

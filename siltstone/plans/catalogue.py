@@ -60,6 +60,24 @@ RANKED = """select q.vec_id as query_id, d.vec_id as point_id, q.label as query_
     from embeddings q, embeddings d where q.vec_id % 20 = 0"""
 
 
+BLANK = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+OPENS = "'^(`{3,}|~{3,})'"
+
+
+def fence_lines(source: str, key: str) -> str:
+    """A chain of recursive SQL tables that ends in `k`: the lines of the column `text` of `source`, n counted from 0, mark the fence that is open before the line, inside whether the line belongs to one."""
+    return rf"""l as materialized (select {key}, i - 1 as n, ls[i] as line from (select {key}, string_split(text, chr(10)) as ls from {source}), unnest(range(1, len(ls) + 1)) t(i)),
+      f({key}, n, mark) as (select {key}, n, '' from l where n = 0 union all
+        select f.{key}, f.n + 1, case when f.mark = '' then regexp_extract(l.line, {OPENS}, 1)
+          when regexp_full_match(regexp_replace(l.line, '{BLANK}+$', ''), case when left(f.mark, 1) = '~' then '~+' else '`+' end) and length(regexp_replace(l.line, '{BLANK}+$', '')) >= length(f.mark) then '' else f.mark end
+        from f join l on l.{key} = f.{key} and l.n = f.n),
+      k as (select {key}, n, line, mark, mark <> '' or regexp_matches(line, {OPENS}) as inside from l join f using ({key}, n))"""
+
+
+SEGMENTS = """s as (select *, sum(case when mark = '' and (inside or coalesce(before, false) or n = 0) then 1 else 0 end) over (partition by extract_id order by n) as seg
+    from (select *, lag(inside) over (partition by extract_id order by n) as before from k))"""
+
+
 def newest(spark: SparkSession, d: str) -> DataFrame:
     return catalog.latest(table(spark, d, "catalog_urls").where("source_id is not null and canonical_url is not null"), catalog.KEY, "updated_at")
 
@@ -123,7 +141,7 @@ def validation_reasons_count(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("source_id", reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"with r as (select fetch_id, source_id, case when trim(final_url) <> '' then trim(final_url) end as url, allowed_hosts, allowed_path_prefixes from fetch_results left join sources using (source_id)), {url_parts('r')} select fetch_id, url as target, {REASON} as reason from u")
 def redirect_targets(spark: SparkSession, d: str) -> DataFrame:
     """Redirects resolved against the requested address and validated again."""
     known = table(spark, d, "sources").select("source_id", "allowed_hosts", "allowed_path_prefixes")
@@ -166,7 +184,11 @@ def rate_intervals(spark: SparkSession, d: str) -> DataFrame:
 # --- pages, links, sitemaps, robots, frontier
 
 
-@query()
+@query(r"""with b as (select source_id, canonical_url as page_url, decode(body) as t from fetch_results where body is not null),
+  a as (select source_id, page_url, regexp_extract_all(regexp_replace(regexp_replace(t, '<!--.*?-->', '', 'gs'), '<script.*?</script>', '', 'gs'), '<a\s[^<>]*?href=("[^"]*"|''[^'']*''|[^\s<>"'']+)', 1) as h from b),
+  x as (select source_id, page_url, i - 1 as position, trim(h[i], '"''') as href from a, unnest(range(1, len(h) + 1)) u(i)),
+  l as (select *, case when starts_with(href, '/') then regexp_extract(page_url, '^https?://[^/]+') || href else href end as link from x where href <> '' and not starts_with(href, '#') and not regexp_matches(lower(href), '^(mailto|javascript|data|tel):'))
+  select source_id, page_url, link, min(position)::int as position from l where not regexp_matches(lower(regexp_extract(link, '^[^?#]*')), '[.](pdf|zip|png|jpg|jpeg|gif|svg|css|js|woff|woff2|ico)$') group by all""")
 def html_links(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "fetch_results").where("body is not null").select("source_id", F.col("canonical_url").alias("page_url"), "body")
     return crawl.page_links(pages)
@@ -179,7 +201,7 @@ def html_main_text(spark: SparkSession, d: str) -> DataFrame:
     return found.select("record_id", "document_id", "reason", T.page_title(F.col("raw_title"), F.coalesce("display_name", F.lit(""))).alias("title"), "extracted_text", "extracted_sha256", F.size("heading_outline").alias("n_headings"))
 
 
-@query()
+@query(f"select source_id, true as ok, false as is_index, canonical_url as url from {NEWEST}")
 def sitemap_urls(spark: SparkSession, d: str) -> DataFrame:
     """The catalog written as one sitemap per source and read again."""
     pages = newest(spark, d).groupBy("source_id").agg(F.array_sort(F.collect_set("canonical_url")).alias("locs"))
@@ -187,7 +209,8 @@ def sitemap_urls(spark: SparkSession, d: str) -> DataFrame:
     return pages.select("source_id", crawl.parse_sitemap(xml).alias("s")).select("source_id", "s.ok", "s.is_index", F.explode("s.urls").alias("url"))
 
 
-@query()
+@query(f"""with r as (select canonical_url as url from {NEWEST}), {url_parts('r')}
+  select u.host, u.url, coalesce(not starts_with(regexp_replace(regexp_extract(u.url, '^https?://[^/]*(.*)$', 1), '#.*$', ''), allowed_path_prefixes[1] || '/'), false) as allowed from u left join sources on u.host = allowed_hosts[1]""")
 def robots_permissions(spark: SparkSession, d: str) -> DataFrame:
     """Each page against rules that close its source's first listed path."""
     known = table(spark, d, "sources").select(F.get("allowed_hosts", F.lit(0)).alias("host"), F.lit(200).alias("status"), F.concat(F.lit("User-agent: *\nDisallow: "), F.get("allowed_path_prefixes", F.lit(0)), F.lit("/")).alias("body"))
@@ -215,21 +238,29 @@ def first_discoverers(spark: SparkSession, d: str) -> DataFrame:
 # --- text
 
 
-@query()
+@query(f"""with recursive t as (select extract_id, nfc_normalize(extracted_text) as text from extract_results where extracted_text is not null), {fence_lines('t', 'extract_id')}, {SEGMENTS},
+  b as (select extract_id, n, seg, inside, case when inside then line else regexp_replace(line, '{BLANK}+$', '') end as line from s),
+  r as (select *, sum(case when line = '' then 0 else 1 end) over (partition by extract_id, seg order by n) as run from b),
+  x as (select extract_id, n, line from r qualify inside or line <> '' or row_number() over (partition by extract_id, seg, run, line = '' order by n) <= 2),
+  j as (select extract_id, regexp_replace(string_agg(line, chr(10) order by n), '^{BLANK}+|{BLANK}+$', '', 'g') as text from x group by extract_id)
+  select e.extract_id, j.text, sha256(j.text) as sha256 from extract_results e left join j on j.extract_id = e.extract_id""")
 def normalized_text(spark: SparkSession, d: str) -> DataFrame:
     bound_batches(spark)
     rows = spread(table(spark, d, "extract_results").select("extract_id", "extracted_text"))
     return rows.select("extract_id", T.normalize_text("extracted_text").alias("text")).withColumn("sha256", ids.sha256_text(F.col("text")))
 
 
-@query()
+@query(f"""with recursive t as (select extract_id, extracted_text as text from extract_results where extracted_text is not null), {fence_lines('t', 'extract_id')},
+  h as (select extract_id, n, regexp_replace(regexp_extract(line, '^#{{1,6}}([^#].*)?$', 1, 's'), '^{BLANK}+|{BLANK}+$', '', 'g') as heading from k where not inside and regexp_matches(line, '^#{{1,6}}([^#].*)?$', 's'))
+  select extract_id, (row_number() over (partition by extract_id order by n) - 1)::int as position, heading from h where heading <> ''""")
 def heading_outlines(spark: SparkSession, d: str) -> DataFrame:
     bound_batches(spark)
     rows = spread(table(spark, d, "extract_results").select("extract_id", "extracted_text"))
     return rows.select("extract_id", F.posexplode(T.outline("extracted_text")).alias("position", "heading"))
 
 
-@query()
+@query(f"""with recursive t as (select extract_id, extracted_text as text from extract_results where extracted_text is not null), {fence_lines('t', 'extract_id')}, {SEGMENTS}
+  select extract_id, (seg - 1)::int as position, bool_or(inside) as is_fence, (sum(length(line)) + count(*) - 1)::int as n_chars from s group by extract_id, seg""")
 def fence_segments(spark: SparkSession, d: str) -> DataFrame:
     bound_batches(spark)
     rows = spread(table(spark, d, "extract_results").where("extracted_text is not null").select("extract_id", "extracted_text"))

@@ -2,6 +2,8 @@
 
 import glob
 import os
+import subprocess
+import sys
 from decimal import Decimal
 
 import pytest
@@ -51,3 +53,19 @@ def test_entry(spark, data):
     assert set(catalogue.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["query_id", "point_id", "score", "rank"]
+
+
+def test_from_another_folder(data, tmp_path):
+    """Executors get the package from the driver, wherever it was started."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+import __spark_entry__
+print("rows", __spark_entry__.queries()["html_main_text"](spark, {data!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows" in done.stdout, done.stderr[-2000:]

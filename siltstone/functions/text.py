@@ -17,6 +17,12 @@ MAX_QUERY, MAX_ERROR, REDUNDANT_CHARS = 2000, 180, 256
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 URL_IN_TEXT = r"""https://[^\s)\]>"']+"""
 TOKEN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\f\r]"
+#: Secrets in messages and what is shown instead (fixed values).
+SECRETS = (
+    (r"(?i)\b(authorization|proxy-authorization|cookie|set-cookie)[ \t\n\f\r]*[:=][ \t\n\f\r]*[^ \t\n\f\r]+(?:[ \t\n\f\r]+[^ \t\n\f\r]+)*", "$1=<redacted>"),
+    (r"(?i)\bbearer[ \t\n\f\r]+[^ \t\n\f\r]+", "Bearer <redacted>"),
+    (r"(?i)\b(api[_-]?key|access_token|token|password|secret)=([^& \t\n\f\r]+)", "$1=<redacted>"),
+)
 FENCE = re.compile(r"(`{3,}|~{3,})")
 
 
@@ -110,9 +116,9 @@ def stored_text(crumb: Column, overlap: Column, primary: Column) -> Column:
 
 def sanitize_error(message: Column, kind: str = "Error") -> Column:
     """One line without secrets, of bounded length, after the kind of error."""
-    text = F.regexp_replace(message, r"(?i)\b(authorization|proxy-authorization|cookie|set-cookie)[ \t\n\f\r]*[:=][ \t\n\f\r]*[^ \t\n\f\r]+(?:[ \t\n\f\r]+[^ \t\n\f\r]+)*", "$1=<redacted>")
-    text = F.regexp_replace(text, r"(?i)\bbearer[ \t\n\f\r]+[^ \t\n\f\r]+", "Bearer <redacted>")
-    text = F.regexp_replace(text, r"(?i)\b(api[_-]?key|access_token|token|password|secret)=([^& \t\n\f\r]+)", "$1=<redacted>")
+    text = message
+    for pattern, shown in SECRETS:
+        text = F.regexp_replace(text, pattern, shown)
     text = F.trim(F.regexp_replace(text, "\n", " "))
     text = F.when(F.length(text) > MAX_ERROR, F.concat(F.substring(text, 1, MAX_ERROR), F.lit("..."))).otherwise(text)
     return F.when(text.isNull() | (text == ""), F.lit(kind)).otherwise(F.concat(F.lit(f"{kind}: "), text))

@@ -14,6 +14,7 @@ PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))
 HOST = r"^(?:.*@)?(\[[^\]]*\]|[^:\[\]]*)(?::(.*))?$"
 #: Reasons, in the order in which they are looked for (fixed values).
 MALFORMED, HTTPS_REQUIRED, UNSUPPORTED, CREDENTIALS, INVALID_HOST, INVALID_PATH, OK = "malformed_url", "https_required", "unsupported_scheme", "credentials_rejected", "invalid_host", "invalid_path", "ok"
+#: Links that are no pages, and where a library's pages lie (fixed values).
 SKIPPED_SCHEMES = ("mailto:", "javascript:", "data:", "tel:")
 SKIPPED_SUFFIXES = (".pdf", ".zip", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".css", ".js", ".woff", ".woff2", ".ico")
 LIBRARY_ROOT = "/3/library"

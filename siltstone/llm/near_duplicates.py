@@ -167,18 +167,42 @@ def similar_sets(df: DataFrame, words: int = WORDS, t: float = SIMILARITY) -> tu
 
     exact = stage(df.select("extract_id", "extracted_text").join(asked, "extract_id", "left_semi").mapInArrow(arrays, "extract_id bigint, s binary").dropDuplicates(["extract_id"]), "exact")
 
-    def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            js = []
-            for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                both = len(p) + len(q) - len(np.union1d(p, q))
-                js.append(both / (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(js, pa.float64())], names=["a", "b", "jaccard"])
-
-    held = close.join(exact.select(F.col("extract_id").alias("a"), F.col("s").alias("sa")), "a").join(exact.select(F.col("extract_id").alias("b"), F.col("s").alias("sb")), "b")
-    links = held.select("a", "b", "sa", "sb").mapInArrow(intersect, "a bigint, b bigint, jaccard double").where(F.col("jaccard") >= t)
-    return links, members
+    return intersected(close, exact).where(F.col("jaccard") >= t), members
+
+
+def intersected(pairs: DataFrame, sets: DataFrame, block: int = 512) -> DataFrame:
+    """(a, b, jaccard) of pairs(a, b) from sets(extract_id, s), the sorted arrays, by exact intersection.
+
+    Pairs are gathered by neighbourhood (the least id that a is paired with), and a neighbourhood of more than `block` sets is cut into squares of about block by
+    block sets. A set is sent once to each square that needs it, not once for each pair, and no task holds more than two blocks of sets at a time.
+    """
+    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("place"))
+    placed = pairs.join(near, "a")
+    wide = placed.select("place", F.explode(F.array("a", "b")).alias("id")).distinct().groupBy("place").agg(F.ceil(F.count("*") / block).cast("int").alias("g"))
+    side = lambda c: F.pmod(F.xxhash64(c), F.col("g")).cast("int")
+    squares = placed.join(wide, "place").select("place", side("a").alias("i"), side("b").alias("j"), "a", "b")
+    needed = squares.select("place", "i", "j", F.explode(F.array("a", "b")).alias("extract_id")).distinct().join(sets, "extract_id")
+
+    def measure(asked: pa.Table, held: pa.Table) -> pa.Table:
+        arrays = {k: np.frombuffer(v, np.uint64) for k, v in zip(held.column("extract_id").to_pylist(), held.column("s").to_pylist())}
+        by: dict[int, list[int]] = {}
+        for x, y in zip(asked.column("a").to_pylist(), asked.column("b").to_pylist()):
+            by.setdefault(x, []).append(y)
+        left, right, js = [], [], []
+        for x, others in by.items():
+            own = arrays[x]
+            sizes = np.array([len(arrays[y]) for y in others])
+            whole = np.concatenate([arrays[y] for y in others])
+            hit = own[np.minimum(np.searchsorted(own, whole), len(own) - 1)] == whole
+            both = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+            left += [x] * len(others)
+            right += others
+            js.append(both / (len(own) + sizes - both))
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64()), "jaccard": pa.array(np.concatenate(js) if js else np.zeros(0), pa.float64())})
+
+    needed = needed.select(F.col("place").alias("place_of"), F.col("i").alias("i_of"), F.col("j").alias("j_of"), "extract_id", "s")
+    return squares.groupBy("place", "i", "j").cogroup(needed.groupBy("place_of", "i_of", "j_of")).applyInArrow(measure, "a bigint, b bigint, jaccard double")
 
 
 def document_pairs(links: DataFrame, members: DataFrame) -> DataFrame:

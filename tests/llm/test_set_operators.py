@@ -125,6 +125,16 @@ def test_near_duplicates(spark):
     assert all(r.links == sum(r.document_id in p for p in want) for r in groups)
 
 
+def test_intersections_in_squares(spark):
+    rng = np.random.default_rng(4)
+    sets = {i: np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64)) for i in range(40)}
+    pairs = [(i, j) for i in sets for j in sets if i < j and (i + j) % 3]
+    held = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets.items()], "extract_id bigint, s binary")
+    got = near_duplicates.intersected(spark.createDataFrame(pairs, "a bigint, b bigint"), held, block=7).collect()
+    assert sorted((r.a, r.b) for r in got) == pairs
+    assert all(r.jaccard == pytest.approx(len(np.intersect1d(sets[r.a], sets[r.b])) / len(np.union1d(sets[r.a], sets[r.b]))) for r in got)
+
+
 def test_a_large_group_of_copies(spark):
     rows = [(i, f"d{i:04}", AT, True, "the same text stands in all of these pages again") for i in range(300)] + [(1000 + i, f"e{i}", AT, True, f"the same text stands in all of these pages again {i}") for i in range(3)]
     links, members = near_duplicates.similar_sets(spark.createDataFrame(rows, EXTRACT))

@@ -117,7 +117,7 @@ def similar_sets(df: DataFrame, words: int = WORDS, t: float = SIMILARITY) -> tu
     """
     spark = df.sparkSession
     bound_batches(spark)
-    slots = min(MAX_SLOTS, max(CHUNK, 1 << math.ceil(math.log2(max(1, 256 * df.count())))))
+    slots = min(MAX_SLOTS, max(CHUNK, 1 << math.ceil(math.log2(max(1, 512 * df.count())))))
     levels = spark.sparkContext.broadcast(count_sketch(df, words, slots))
     pages = stage(signed_pages(df, words, t, levels, slots), "pages")
     newest = pages.groupBy("document_id").agg(F.max(F.struct(F.coalesce("at", F.lit("0001-01-01").cast("timestamp")).alias("at"), "extract_id", "ok", "size", "h1", "h2")).alias("r")).select("document_id", "r.*").where("ok")
@@ -126,18 +126,18 @@ def similar_sets(df: DataFrame, words: int = WORDS, t: float = SIMILARITY) -> tu
 
     reps = members.where("rep is not null").select(F.col("rep").alias("extract_id")).distinct()
     own = pages.where("size(shingles) > 0").select("extract_id", "size", "shingles", "places").join(reps, "extract_id", "left_semi")
-    wide = 2 * math.log(1 / t)  # a band is so wide that a set reaches at most into the next one
+    wide = 4 * math.log(1 / t)  # a band is so wide that a set reaches at most into the next one, and most sets not even there
 
     def band(size: str, factor: float = 1.0):  # noqa: ANN202
         return F.floor(F.log(F.col(size) * F.lit(factor)) / F.lit(wide)).cast("int")
 
-    # a row of a tile is three numbers: hash of shingle and band, page, and size, place and visit in one
+    # a row of a tile is three numbers: 32-bit hash of shingle and band (tiles that share it only add candidates), page, and size, place and visit in one
     posted = own.select("extract_id", "size", F.explode(F.arrays_zip("shingles", "places")).alias("x")).select(F.col("extract_id").alias("id"), "size", F.col("x.shingles").alias("shingle"), F.col("x.places").alias("place"))
     packed = F.shiftleft(F.col("size").cast("bigint"), 32) + F.shiftleft(F.col("place").cast("bigint"), 1)
-    home = posted.select(F.xxhash64("shingle", band("size")).alias("tile"), "id", packed.alias("w"))
+    home = posted.select(F.hash("shingle", band("size")).alias("tile"), "id", packed.alias("w"))
     next_band = band("size", (1 + 1e-9) / t)
     bands = F.when(next_band > band("size"), F.array(F.struct(band("size").alias("band"), F.lit(0).alias("visit")), F.struct(next_band.alias("band"), F.lit(1).alias("visit")))).otherwise(F.array(F.struct(band("size").alias("band"), F.lit(0).alias("visit"))))
-    reach = posted.withColumn("to", F.explode(bands)).select(F.xxhash64("shingle", "to.band").alias("tile"), "id", (packed + F.col("to.visit")).alias("w"))
+    reach = posted.withColumn("to", F.explode(bands)).select(F.hash("shingle", "to.band").alias("tile"), "id", (packed + F.col("to.visit")).alias("w"))
     # unpacked inside the join's condition, so that the packed form is what is shuffled and hot tiles can be split at run time
     (xn, xp), (yn, yp) = ((F.shiftright(f"{c}.w", 32), F.shiftright(F.col(f"{c}.w").bitwiseAND(0xFFFFFFFF), 1)) for c in "xy")
     xi, yi, visit = F.col("x.id"), F.col("y.id"), F.col("x.w").bitwiseAND(1) == 1

@@ -86,7 +86,7 @@ def signed_pages(df: DataFrame, words: int, t: float, levels: Broadcast, slots:
     rows = df.where("document_id is not null").select("extract_id", "document_id", F.col("extracted_at").alias("at"), F.coalesce("ok", F.lit(False)).alias("ok"), "extracted_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, level = ShingleSets(words), levels.value
+        sets, level = ShingleSets(words), np.frombuffer(zstandard.ZstdDecompressor().decompress(levels.value), np.uint8)
         for batch in batches:
             out: list[tuple] = []
             for text, ok in zip(batch.column(4).to_pylist(), batch.column(3).to_pylist()):
@@ -118,7 +118,8 @@ def similar_sets(df: DataFrame, words: int = WORDS, t: float = SIMILARITY) -> tu
     spark = df.sparkSession
     bound_batches(spark)
     slots = min(MAX_SLOTS, max(CHUNK, 1 << math.ceil(math.log2(max(1, 512 * df.count())))))
-    levels = spark.sparkContext.broadcast(count_sketch(df, words, slots))
+    # compressed: most counters are empty, and a broadcast lies on the disk of every executor
+    levels = spark.sparkContext.broadcast(zstandard.ZstdCompressor(level=3).compress(count_sketch(df, words, slots).tobytes()))
     pages = stage(signed_pages(df, words, t, levels, slots), "pages")
     newest = pages.groupBy("document_id").agg(F.max(F.struct(F.coalesce("at", F.lit("0001-01-01").cast("timestamp")).alias("at"), "extract_id", "ok", "size", "h1", "h2")).alias("r")).select("document_id", "r.*").where("ok")
     sets = newest.where("size > 0").groupBy("h1", "h2").agg(F.min("extract_id").alias("rep"))

@@ -14,6 +14,7 @@ reaches to the end.
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import re
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from siltstone.llm.words import fenced
 from siltstone.session import bound_batches, spread
 
+KINDS = ("html", "markdown", "wiki", "latex")
 #: Names of HTML elements (fixed values).
 ELEMENTS = (
     "a abbr address article aside b big blockquote body br button caption center cite code col colgroup dd del details dfn dialog div dl dt em embed "
@@ -62,12 +64,15 @@ BREAKS = frozenset("address article aside blockquote center dd div dl dt fieldse
 
 
 class Element:
-    """A node of the tree: parts are strings and elements; tags, chars and their link shares are those of the subtree."""
+    """A node of the tree: parts are strings and elements; tags, chars and their link shares are those of the subtree.
 
-    __slots__ = ("name", "attrs", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    kind is that of the tag, None for the body. A leaf of Markdown, wiki or LaTeX has its shown text as part and stands for `source`.
+    """
 
-    def __init__(self, name: str, attrs: str = "", parent: Element | None = None) -> None:
-        self.name, self.attrs, self.parent, self.parts = name, attrs, parent, []
+    __slots__ = ("name", "attrs", "parent", "parts", "kind", "source", "chars", "tags", "link_chars", "link_tags", "density", "total")
+
+    def __init__(self, name: str, attrs: str = "", parent: Element | None = None, kind: str | None = None, source: str | None = None) -> None:
+        self.name, self.attrs, self.parent, self.parts, self.kind, self.source = name, attrs, parent, [], kind, source
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
         if parent is not None:
@@ -118,18 +123,56 @@ def threshold(root: Element) -> float:
     return least
 
 
+def marks(text: str) -> list[tuple[int, int, str, bool, str]]:
+    """(start, end, kind, whether it is a link, shown text) of the pieces of Markdown, wiki and LaTeX of a text, by start."""
+    out = []
+    if any(x in text for x in ("](", "][", "]:", "[^", "*", "~~", "__", ":::", "--", "- [", "|\n", "|\r")) or text.endswith("|"):
+        out += [(m.start(), m.end(), "markdown", m["text"] is not None or m["ref"] is not None, _markdown(m)) for m in MARKDOWN.finditer(text)]
+    if any(x in text for x in ("''", "[[", "{{", "==", "{|", "|}", "|-", "!!", "||", "[http", "TOC__", "<")):
+        out += [(m.start(), m.end(), "wiki", m["link"] is not None or m["named"] is not None, _wiki(m)) for m in WIKI.finditer(text)]
+    if "\\" in text or "$" in text:
+        out += [(m.start(), m.end(), "latex", False, _latex(m)) for m in LATEX.finditer(text)]
+    return sorted(out, key=lambda x: (x[0], -x[1]))
+
+
 def tree(text: str) -> Element:
-    """The tree of a text's HTML; comments are dropped, entities become text."""
+    """The tree of a text's markup: HTML elements nest, all else is a leaf. Comments hold nothing, entities their text.
+
+    A piece of Markdown, wiki or LaTeX that crosses an HTML tag or another piece counts as a tag, and its text stays with the element around it.
+    """
     root = Element("body")
     node, at = root, 0
-    for m in HTML.finditer(text):
-        if m.start() > at:
-            node.parts.append(text[at : m.start()])
+    html_tags = list(HTML.finditer(text)) if "<" in text or "&" in text else []
+    others = marks(text)
+    ends = [m.end() for m in html_tags]
+    n = 0
+
+    def leaves(until: int) -> None:
+        """Append the leaves that start before a position to the open element, and the text between them."""
+        nonlocal at, n
+        while n < len(others) and others[n][0] < until:
+            start, end, kind, link, shown = others[n]
+            n += 1
+            i = bisect.bisect_right(ends, start)
+            if start < at or (i < len(ends) and html_tags[i].start() < end):
+                Element("a" if link else kind, "", node, kind, "")
+                continue
+            if start > at:
+                node.parts.append(text[at:start])
+            Element("a" if link else kind, "", node, kind, text[start:end]).parts.append(shown)
+            at = end
+        if until > at:
+            node.parts.append(text[at:until])
+            at = until
+
+    for m in html_tags:
+        leaves(m.start())
         at = m.end()
         name = m[2]
         if name is None:
+            leaf = Element(m[0][0], "", node, "html")
             if m[0][0] == "&":
-                node.parts.append(html.unescape(m[0]).replace("\xa0", " "))
+                leaf.parts.append(html.unescape(m[0]).replace("\xa0", " "))
             continue
         name = name.lower()
         if m[1]:
@@ -138,6 +181,8 @@ def tree(text: str) -> Element:
                 up = up.parent
             if up is not None and up.parent is not None:
                 node = up.parent
+            else:
+                Element(f"/{name}", "", node, "html")  # it closes nothing
             continue
         if name in ENDS:
             same, bounds = ENDS[name]
@@ -148,14 +193,23 @@ def tree(text: str) -> Element:
                 node = up.parent
                 while name == "tr" and node.name in same:
                     node = node.parent
-        new = Element(name, m[3] or "", node)
+        new = Element(name, m[3] or "", node, "html")
         if name not in VOID and not (m[3] or "").endswith("/"):
             node = new
-    if at < len(text):
-        node.parts.append(text[at:])
+    leaves(len(text))
     return root
 
 
+def kinds_of(root: Element) -> list[str]:
+    """The kinds of the tags counted in a tree."""
+    found, todo = set(), [root]
+    while todo:
+        node = todo.pop()
+        found.add(node.kind)
+        todo += [p for p in node.parts if isinstance(p, Element)]
+    return [k for k in KINDS if k in found]
+
+
 def render(node: Element, least: float) -> str:
     """Clean text of a tree: headings, items, rows, code and images' texts in the tables' own form."""
     out = []
@@ -163,6 +217,9 @@ def render(node: Element, least: float) -> str:
         if isinstance(part, str):
             out.append(part)
             continue
+        if part.source is not None:
+            out.append(part.source)
+            continue
         name = part.name
         if name in ("script", "style", "head", "noscript", "template"):
             continue
@@ -241,21 +298,6 @@ def segments(text: str) -> list[tuple[bool, str]]:
     return [(inside, "\n".join(lines)) for inside, lines in out]
 
 
-def kinds_of(body: str) -> list[str]:
-    """The kinds of markup in a text whose fences and inline code are taken out."""
-    found = []
-    if ("<" in body or "&" in body) and HTML.search(body):
-        found.append("html")
-    if any(x in body for x in ("](", "][", "]:", "[^", "*", "~~", "__", ":::", "--", "- [", "|\n", "|\r")) or body.endswith("|"):
-        if MARKDOWN.search(body):
-            found.append("markdown")
-    if any(x in body for x in ("''", "[[", "{{", "==", "{|", "|}", "|-", "!!", "||", "[http", "TOC__", "<")) and WIKI.search(body):
-        found.append("wiki")
-    if ("\\" in body or "$" in body) and LATEX.search(body):
-        found.append("latex")
-    return found
-
-
 def clean(text: str) -> tuple[list[str], str]:
     """(kinds, clean text) of a text."""
     parts = segments(text)
@@ -263,7 +305,8 @@ def clean(text: str) -> tuple[list[str], str]:
     body = "\n".join(x for inside, x in parts if not inside)
     if "`" in body:
         body = CODE.sub(" ", body)
-    kinds = kinds_of(body)
+    root = tree(body)
+    kinds = kinds_of(root)
     if not kinds:
         return [], text
 
@@ -288,7 +331,7 @@ def clean(text: str) -> tuple[list[str], str]:
     if "html" in kinds:
         for _ in range(2):  # escaped tags become tags, which are taken out in turn
             if HTML.search(whole):
-                root = tree(whole)
+                root = root if whole == body else tree(whole)
                 measure(root)
                 whole = render(root, threshold(root))
     if "wiki" in kinds:

@@ -126,6 +126,22 @@ def test_clean_text():
     assert clean("a <b>x</b>\n```\n<i>\n```") == "a x\n```\n<i>\n```"
 
 
+def test_markup_of_every_kind_is_in_the_tree():
+    root = markup.tree("<p>a **b** [c](/d)</p> [[E|ee]] $x^2$ &amp; </i>")
+    assert markup.kinds_of(root) == ["html", "markdown", "wiki", "latex"]
+    markup.measure(root)
+    assert root.tags == 8 and root.link_tags == 2 and root.link_chars == 3  # the body, p, two, a link, a formula, an entity and a tag that closes nothing
+    assert markup.kinds_of(markup.tree("plain")) == []
+
+
+def test_groups_of_marked_links_are_left_out():
+    """Links count whatever their markup is."""
+    content = "<div>" + "".join(f"<p>{'A sentence with many words stands here, and it goes on. ' * 8}</p>" for _ in range(3)) + "</div>"
+    for links in ("[Home](/a) [Guides](/b) [Help](/c)", "[[Home]] [[Guides]] [[Help]]"):
+        assert "Guides" not in markup.clean(f"<div>{links}</div>{content}")[1]
+    assert "Guides" in markup.clean(f"<div>Guides tell how to do it, step by step. [Home](/a)</div>{content}")[1]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/ab*_[]()|={}'\\$`~&;!-:^ \n\x00", max_size=80))
 def test_clean_never_fails(text):

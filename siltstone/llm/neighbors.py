@@ -3,12 +3,16 @@
 Method: permutation index. Pivots are drawn from the vectors by hash. Each vector is represented by its pivots in order of
 nearness (a prefix of `prefix` pivots). A vector is posted in the inverted file of its nearest pivot; as a query it is posted in the
 files of its `probes` nearest pivots. Inside a file the members are ranked by the footrule distance between the pivot orders,
-and the best `rerank` are reranked by their exact cosine (a file of at most `rerank` members is reranked whole).
+and the best `rerank`, with all that tie with the last of them, are reranked by their exact cosine (a file of at most `rerank` members is reranked whole).
+Cosines are those of the vectors as given, in float64; ties are broken where they arise, before any member is left out.
+
+Files of near pivots lie together, at most `TOGETHER` of them in a task, about `GROUP_BYTES` on average: a vector whose probes fall into one group is sent there once.
 
 Every usable vector is indexed and every usable vector is a query. The number of pivots grows with the square root of the
 number of vectors, up to `max_pivots` (4,096 pivots of 384 floats are 6 MB, the only thing sent to all executors). As pivots are
-drawn from the data, dense regions get more pivots and the files stay even. Equal vectors are collapsed to one representative
-before they are posted, so a group of copies of any size costs one posting; its members come back at the end.
+drawn from the data, dense regions get more pivots and the files stay even. Vectors of one direction (equal in float64 when divided by
+their largest number) are collapsed to one representative before they are posted, so a group of copies or multiples of any size costs one
+posting; its members come back at the end.
 
 Defined results: of each point_id only the row with the greatest created_at counts (a null created_at is the smallest), and only if
 it is active and its vector has `dim` finite numbers that are not all zero. Similarities equal after rounding to 9 decimals are ties and the
@@ -30,7 +34,8 @@ from pyspark.sql.window import Window
 from siltstone.session import stage
 
 K, DIM, PROBES, PREFIX, RERANK, MAX_PIVOTS = 10, 384, 6, 8, 1024, 4096
-POSTED = T.StructType([T.StructField("file", T.IntegerType()), T.StructField("no", T.LongType()), T.StructField("member", T.BooleanType()), T.StructField("pivots", T.BinaryType()), T.StructField("scale", T.FloatType()), T.StructField("vector", T.BinaryType())])
+TOGETHER, GROUP_BYTES = 8, 64 << 20
+POSTED = T.StructType([T.StructField("files", T.IntegerType()), T.StructField("no", T.LongType()), T.StructField("pivots", T.BinaryType()), T.StructField("vector", T.BinaryType())])
 RANKED = "no bigint, near array<struct<sim: double, no: bigint>>"
 
 
@@ -41,15 +46,19 @@ def usable(vector: Column, dim: int) -> Column:
 
 
 def newest(df: DataFrame, dim: int, with_vector: bool) -> DataFrame:
-    """(point_id, same, vector?) of the usable points; same is equal for equal vectors.
+    """(point_id, vector) of the usable points, or (point_id, same); same is equal for vectors of one direction.
 
-    Without vectors only a hash of each is shuffled. Both forms choose the same row.
+    Without vectors only hashes of each are shuffled. Both forms choose the same row.
     """
     vector = F.col("vector")
     good = F.coalesce(F.col("is_active"), F.lit(False)) & usable(vector, dim)
-    rows = df.where("point_id is not null").select("point_id", F.struct(F.coalesce("created_at", F.lit("0001-01-01").cast("timestamp")).alias("at"), good.alias("good"), F.xxhash64(vector).alias("h1"), F.hash(vector).alias("h2")).alias("row"), *([F.when(good, vector).alias("vector")] if with_vector else []))
+    largest = F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))
+    direction = F.transform(F.arrays_zip(vector.alias("x"), F.array_repeat(largest, F.size(vector)).alias("m")), lambda s: F.try_divide(s["x"].cast("double"), s["m"]) + F.lit(0.0))
+    hashes = [] if with_vector else [F.when(good, F.xxhash64(direction)).alias("d1"), F.when(good, F.hash(direction)).alias("d2")]
+    row = F.struct(F.coalesce("created_at", F.lit("0001-01-01").cast("timestamp")).alias("at"), good.alias("good"), F.xxhash64(vector).alias("h1"), F.hash(vector).alias("h2"), *hashes)
+    rows = df.where("point_id is not null").select("point_id", row.alias("row"), *([F.when(good, vector).alias("vector")] if with_vector else []))
     best = rows.groupBy("point_id").agg(F.max("row").alias("row"), *([F.max_by("vector", "row").alias("vector")] if with_vector else [])).where("row.good")
-    return best.select("point_id", F.struct("row.h1", "row.h2").alias("same"), *(["vector"] if with_vector else []))
+    return best.select("point_id", *(["vector"] if with_vector else [F.struct("row.d1", "row.d2").alias("same")]))
 
 
 def draw_pivots(df: DataFrame, dim: int, max_pivots: int) -> np.ndarray:
@@ -66,9 +75,42 @@ def draw_pivots(df: DataFrame, dim: int, max_pivots: int) -> np.ndarray:
     return (found / np.linalg.norm(found, axis=1, keepdims=True)).astype(np.float32)
 
 
+def groups_of_files(pivots: np.ndarray, together: int) -> np.ndarray:
+    """The group of each pivot's file: a pivot and the nearest ones that have no group yet."""
+    group, sims, n = np.full(len(pivots), -1, np.int32), pivots @ pivots.T, 0
+    for i in range(len(pivots)):
+        if group[i] < 0:
+            order = np.argsort(-sims[i], kind="stable")
+            group[i] = n
+            group[order[(group[order] < 0)][: together - 1]] = n
+            n += 1
+    return group
+
+
+def directions(raw: np.ndarray) -> np.ndarray:
+    """Unit vectors in float64; very large numbers would overflow when squared."""
+    x = raw.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def first_best(sims: np.ndarray, top: int) -> np.ndarray:
+    """Positions of the `top` greatest of each row; the first of equal ones."""
+    if top >= sims.shape[1]:
+        return np.broadcast_to(np.arange(sims.shape[1]), sims.shape)
+    last = np.partition(sims, sims.shape[1] - top, axis=1)[:, [-top]]
+    above, equal = sims > last, sims == last
+    kept = above | (equal & (np.cumsum(equal, axis=1) <= top - above.sum(axis=1, keepdims=True)))
+    return np.nonzero(kept)[1].reshape(len(sims), top)
+
+
 def file_ranks(members: tuple, queries: tuple, k: int, rerank: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of the best members of each query and their cosines, by blocks of queries; members, queries: (vectors, pivot orders)."""
+    """Positions of the best members of each query and their cosines to 9 decimals, by blocks of queries; members, queries: (vectors, pivot orders).
+
+    Of members that tie the first ones are the best.
+    """
     (mv, mp), (qv, qp) = members, queries
+    mv = directions(mv)
     top = min(k, len(mv))
     table = None
     if len(mv) > rerank:
@@ -79,19 +121,28 @@ def file_ranks(members: tuple, queries: tuple, k: int, rerank: int) -> Iterator[
         table[local[: len(mp)], np.arange(len(mv))[:, None]] = np.arange(prefix)
         qlocal = local[len(mp) :]
     for at in range(0, len(qv), 256):
-        block = qv[at : at + 256]
+        block = directions(qv[at : at + 256])
         if table is None:
-            sims = block @ mv.T
-            best = np.argpartition(-sims, top - 1, axis=1)[:, :top] if top < sims.shape[1] else np.broadcast_to(np.arange(top), (len(block), top))
+            sims = np.round(block @ mv.T, 9)
+            best = first_best(sims, top)
             yield best, np.take_along_axis(sims, best, 1)
             continue
         foot = np.zeros((len(block), len(mv)), np.int16)
         for j in range(qlocal.shape[1]):
             foot += np.abs(table[qlocal[at : at + 256, j]] - j)
-        near = np.argpartition(foot, rerank - 1, axis=1)[:, :rerank]
-        sims = np.stack([mv[x] @ v for x, v in zip(near, block)])
-        best = np.argpartition(-sims, top - 1, axis=1)[:, :top]
-        yield np.take_along_axis(near, best, 1), np.take_along_axis(sims, best, 1)
+        cut = np.partition(foot, rerank - 1, axis=1)[:, rerank - 1]
+        bests, cosines = [], []
+        for near, least, v in zip(foot, cut, block):
+            x, sims = np.flatnonzero(near <= least), []
+            for i in range(0, len(x), rerank):
+                sims.append(np.round(mv[x[i : i + rerank]] @ v, 9))
+                if sum((s >= 1).sum() for s in sims) >= top:
+                    break  # nothing that follows is nearer or comes first
+            sims = np.concatenate(sims)
+            best = first_best(sims[None], top)[0]
+            bests.append(x[best])
+            cosines.append(sims[best])
+        yield np.stack(bests), np.stack(cosines)
 
 
 def most_similar(df: DataFrame, k: int = K, dim: int = DIM, probes: int = PROBES, prefix: int = PREFIX, rerank: int = RERANK, max_pivots: int = MAX_PIVOTS) -> DataFrame:
@@ -99,12 +150,16 @@ def most_similar(df: DataFrame, k: int = K, dim: int = DIM, probes: int = PROBES
     pivots = draw_pivots(df, dim, max_pivots)
     prefix = min(prefix, len(pivots))
     probes = min(probes, prefix)
+    kind = np.float64 if df.schema["vector"].dataType.elementType.typeName() == "double" else np.float32
     members = stage(newest(df, dim, False), "members")
-    # k + 1 of each group of equal vectors: one of a point's own group is the point itself
+    # k + 1 of each group of vectors of one direction: one of a point's own group is the point itself
     groups = Window.partitionBy("same").orderBy("point_id")
     firsts = members.withColumn("n", F.row_number().over(groups)).where(F.col("n") <= k + 1).groupBy("same").agg(F.sort_array(F.collect_list("point_id")).alias("ids"))
     # numbered in the order of their first point_id: 8 bytes instead of an id in all that follows, and ties still break by id
     firsts = stage(firsts.withColumn("first", F.col("ids")[0]).sort("first").withColumn("no", F.monotonically_increasing_id()), "groups")
+    count = firsts.count()
+    # a group is sent about three times its members; where files are long, fewer of them lie together
+    group = groups_of_files(pivots, max(1, min(TOGETHER, round(GROUP_BYTES * len(pivots) / (12 * dim * max(1, count))))))
     # the vectors lie by point_id after newest(), so this join moves only the ids of the representatives
     chosen = firsts.select(F.col("first").alias("point_id"), "no").hint("shuffle_hash")
     reps = newest(df, dim, True).join(chosen, "point_id").select("no", "vector")
@@ -113,47 +168,46 @@ def most_similar(df: DataFrame, k: int = K, dim: int = DIM, probes: int = PROBES
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                x = np.asarray(part.column(1).flatten()).reshape(-1, dim).astype(np.float64)
-                x /= np.abs(x).max(axis=1, keepdims=True)  # very large numbers would overflow when squared
-                x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+                raw = np.asarray(part.column(1).flatten()).reshape(-1, dim)
+                x = directions(raw).astype(np.float32)
                 near = x @ pivots.T
                 order = np.argpartition(-near, prefix - 1, axis=1)[:, :prefix] if prefix < len(pivots) else np.broadcast_to(np.arange(prefix), (len(x), prefix))
                 order = np.take_along_axis(order, np.argsort(-np.take_along_axis(near, order, 1), axis=1, kind="stable"), 1).astype(np.int16)
-                scale = np.abs(x).max(axis=1).astype(np.float32)
-                short = np.rint(x / scale[:, None] * 32767).astype(np.int16)
-                ids, orders = part.column(0), pa.array([o.tobytes() for o in order], pa.binary())
+                ids, orders, vectors = part.column(0), pa.array([o.tobytes() for o in order], pa.binary()), pa.array([v.tobytes() for v in raw], pa.binary())
+                to = group[order[:, :probes]]
                 for j in range(probes):
-                    vectors = [v.tobytes() for v in (short if j else x)]
-                    yield pa.RecordBatch.from_arrays([pa.array(order[:, j].astype(np.int32)), ids, pa.array(np.full(len(x), j == 0)), orders, pa.array(scale), pa.array(vectors, pa.binary())], names=POSTED.names)
-
-    def rank(file: pa.Table) -> pa.Table:
-        member = file.column("member").to_numpy()
-        ids = file.column("no").to_numpy()
-        orders = np.frombuffer(b"".join(file.column("pivots").to_pylist()), np.int16).reshape(-1, prefix)
-        scale, raw = file.column("scale").to_numpy(), file.column("vector").to_pylist()
-        home, away = np.flatnonzero(member), np.flatnonzero(~member)
-        mv = np.frombuffer(b"".join(raw[i] for i in home), np.float32).reshape(-1, dim)
-        if not len(home):
+                    fresh = pa.array(np.flatnonzero((to[:, :j] != to[:, [j]]).all(axis=1)))
+                    yield pa.RecordBatch.from_arrays([pa.array(to[:, j]).take(fresh), ids.take(fresh), orders.take(fresh), vectors.take(fresh)], names=POSTED.names)
+
+    def rank(files: pa.Table) -> pa.Table:
+        files = files.sort_by("no")  # of members that tie, those with the smaller ids come first
+        ids = files.column("no").to_numpy()
+        orders = np.frombuffer(b"".join(files.column("pivots").to_pylist()), np.int16).reshape(-1, prefix)
+        vectors = np.frombuffer(b"".join(files.column("vector").to_pylist()), kind).reshape(-1, dim)
+        here = files.column("files")[0].as_py()
+        keep, asked, counts, sims, names = k + 2, [], [], [], []
+        for file in np.flatnonzero(group == here):
+            home, queries = np.flatnonzero(orders[:, 0] == file), np.flatnonzero((orders[:, :probes] == file).any(axis=1))
+            if not len(home):
+                continue
+            asked.append(ids[queries])
+            n = 0
+            for best, cos in file_ranks((vectors[home], orders[home]), (vectors[queries], orders[queries]), keep, rerank):
+                ok = home[best] != queries[n : n + len(best), None]
+                counts.append(ok.sum(axis=1))
+                sims.append(cos[ok])
+                names.append(ids[home[best[ok]]])
+                n += len(best)
+        if not asked:
             return pa.table({"no": pa.array([], pa.int64()), "near": pa.array([], pa.list_(pa.struct([("sim", pa.float64()), ("no", pa.int64())])))})
-        vv = np.frombuffer(b"".join(raw[i] for i in away), np.int16).reshape(-1, dim).astype(np.float32) * (scale[away] / 32767)[:, None] if len(away) else np.zeros((0, dim), np.float32)
-        vv /= np.maximum(np.linalg.norm(vv, axis=1, keepdims=True), 1e-30)
-        queries = np.concatenate([home, away])
-        keep, counts, sims, names, n = k + 2, [], [], [], 0
-        for best, cos in file_ranks((mv, orders[home]), (np.concatenate([mv, vv]), orders[queries]), keep, rerank):
-            for b, c in zip(best, cos):
-                ok = home[b] != queries[n]
-                counts.append(int(ok.sum()))
-                sims.append(c[ok])
-                names.append(ids[home[b[ok]]])
-                n += 1
-        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        flat = pa.StructArray.from_arrays([pa.array(np.concatenate(sims).astype(np.float64)), pa.array(np.concatenate(names))], names=["sim", "no"])
-        return pa.table({"no": pa.array(ids[queries]), "near": pa.ListArray.from_arrays(pa.array(offsets), flat)})
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
+        flat = pa.StructArray.from_arrays([pa.array(np.concatenate(sims)), pa.array(np.concatenate(names))], names=["sim", "no"])
+        return pa.table({"no": pa.array(np.concatenate(asked)), "near": pa.ListArray.from_arrays(pa.array(offsets), flat)})
 
     if not len(pivots):
         none = F.array().cast("array<struct<sim: double, point_id: string>>")
         return members.where("false").select("point_id", none.alias("near"))
-    ranked = reps.mapInArrow(post, POSTED).groupBy("file").applyInArrow(rank, RANKED)
+    ranked = reps.mapInArrow(post, POSTED).groupBy("files").applyInArrow(rank, RANKED)
 
     best_first = F.array_sort(F.transform(F.flatten(F.collect_list("near")), lambda x: F.struct((-F.round(x["sim"], 9)).alias("far"), x["no"].alias("no"))))
     tops = ranked.groupBy("no").agg(F.slice(best_first, 1, k + 1).alias("top"))

@@ -51,6 +51,30 @@ def test_recall(spark, rerank):
     assert sum(len(got[i] & set(w)) for i, w in want.items()) >= 0.9 * 10 * len(want)
 
 
+@pytest.mark.parametrize("rerank", [1024, 40])
+def test_multiples_and_ties(spark, rerank):
+    """A third of all rows are multiples of one vector, exact ones and such that float32 rounds: the smaller ids win, whatever file they lie in."""
+    rng = np.random.default_rng(5)
+    vectors = {f"p{i:04}": rng.normal(size=16).astype(np.float32) for i in range(600)}
+    multiples = [f"p{i:04}" for i in rng.permutation(600)[:200]]
+    for n, i in enumerate(multiples):
+        vectors[i] = (vectors["p0007"] * np.float32([0.25, 3, 0.1, 7.3][n % 4] + (n // 4 if n % 4 > 1 else 0))).astype(np.float32)
+    vectors = {i: v.tolist() for i, v in vectors.items()}
+    df = spark.createDataFrame([(i, AT, True, v) for i, v in vectors.items()], POINT)
+    got = {r.point_id: [x.point_id for x in r.near] for r in neighbors.most_similar(df, dim=16, probes=99, rerank=rerank, max_pivots=3).collect()}
+    want = brute_neighbors(vectors, 10)
+    assert {i: got[i] for i in multiples} == {i: want[i] for i in multiples}
+    assert rerank < 600 or got == want  # fewer are ranked by their pivots, but all that tie are kept
+
+
+def test_the_first_of_ties_win():
+    assert neighbors.first_best(np.array([[0.5, 1, 0.5, 1, 0.5], [1, 1, 1, 1, 1.0]]), 3).tolist() == [[0, 1, 3], [0, 1, 2]]
+    x = np.tile(np.eye(8, dtype=np.float32)[:1], (90, 1)) * np.linspace(1, 9, 90, dtype=np.float32)[:, None]
+    orders = np.zeros((90, 2), np.int16) + [0, 1]
+    best, cos = next(neighbors.file_ranks((x, orders), (x, orders), 12, 20))
+    assert (np.sort(best, axis=1) == np.arange(12)).all() and (cos == 1).all()
+
+
 def test_few_points(spark):
     df = spark.createDataFrame([("a", AT, True, [1.0, 0.0]), ("b", AT, True, [2.0, 0.0])], POINT)
     assert {r.point_id: [x.point_id for x in r.near] for r in neighbors.most_similar(df, dim=2).collect()} == {"a": ["b"], "b": ["a"]}

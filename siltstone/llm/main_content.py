@@ -4,9 +4,10 @@ Method: tree scoring. Paragraphs get points for length and commas and pass them
 grandparent; an element's points are discounted by its link density. The element with the most points is the container of the content; its siblings
 are kept if their own points reach a share of the best, and groups inside it that have no points are dropped.
 
-An HTML page is the tree of its elements. A text is a tree of two levels, the page over its blocks; link density is the share of a block's characters in
-lines that look like links: Markdown links, short fragments in a row, fixed phrases and lines that name a site. Names of sites come from the sources
-table (`names`; one per source, so the list is as short as that table).
+An HTML page is the tree of its elements. A text is a tree of page, sections (each starts with a heading), blocks and lines. A block's points go to its
+section and by half to the page, and so do its characters and those of its lines that look like links. Blocks of the container, and of its siblings with enough
+points, stay if they have points; in other sections one of its lines must have points and little in links. Phrases of notices and names of sites
+lower the points of a line and decide nothing by themselves. Names come from the sources table (`names`; one per source, so the list is as short as that table).
 
 Defined results: null bodies and texts have no units; a page without any paragraph has no container, and all its units are
 boilerplate; rows that occur twice come out twice under their own ids.
@@ -59,7 +60,9 @@ OWN = re.compile(r"`|\\[a-zA-Z]+|\$\$|\{\||\|\}|^\|-|!!|\|\||\[\[|\]\]|\{\{|'''|
 ROW = re.compile(r"^\|?[^|]+(?:\|[^|]+)*\|\s*\d[\d.,]* [^\W\d]+\s*\|?$")
 CODE_NAME = re.compile(r"^[a-z]+(?:[._][a-z]\w*|[A-Z]\w*)+(?:\(\))?$")
 WIDE = re.compile(r"[぀-ヿ㐀-鿿]")
-SIBLING_SHARE, KEPT = 0.2, frozenset("p pre h1 h2 h3 h4 h5 h6 ul ol dl table blockquote figure".split())
+#: What a phrase and a name take from a line's points: a notice of one sentence has less, a paragraph of some length or with commas has more.
+CUE_COST, NAME_COST, HEADING = 3.0, 1.75, 1.0
+SIBLING_SHARE, LINK_SHARE, KEPT = 0.2, 0.25, frozenset("p pre h1 h2 h3 h4 h5 h6 ul ol dl table blockquote figure".split())
 UNITS = "record_id bigint, unit_no int, own boolean"
 
 
@@ -74,20 +77,29 @@ class Points:
             self.anchors.add_word(a, True)
         self.anchors.make_automaton()
 
-    def notice(self, text: str) -> bool:
-        """Whether a line reads like a notice: it is not long, and holds a fixed phrase or names a site."""
-        if len(text) > 300 or next(self.anchors.iter(text.lower()), None) is None:
-            return False
-        return bool(CUES.search(text) or (self.name and "`" not in text and self.name.search(text)))
+    def cost(self, text: str) -> float:
+        """What fixed phrases and names of sites take from a text's points."""
+        if next(self.anchors.iter(text.lower()), None) is None:
+            return 0.0
+        return CUE_COST * bool(CUES.search(text)) + NAME_COST * bool(self.name and "`" not in text and self.name.search(text))
 
     def __call__(self, text: str) -> float:
-        """Points of a line or paragraph for length and commas, 0 for what looks like a link."""
+        """Points of a line or paragraph for length and commas, less what its phrases and names cost, 0 for what looks like a link."""
+        text = " ".join(text.split())
+        worth = self.worth(text)
+        return max(0.0, worth - self.cost(text)) if worth > 0 else 0.0
+
+    def notice(self, text: str) -> bool:
+        """Whether a text reads like a notice: phrases and names cost all its points."""
         text = " ".join(text.split())
+        cost = self.cost(text)
+        return cost > 0 and self.worth(text) <= cost
+
+    def worth(self, text: str) -> float:
+        """Points of a line or paragraph without runs of blanks, before phrases and names are looked at."""
         bare = LINK.sub("", text) if "](" in text else text
         if bare != text and sum(c.isalnum() for c in bare) < 0.3 * sum(c.isalnum() for c in text) and not text.startswith("!"):
             return 0.0
-        if self.notice(text):
-            return 0.0
         words = text.count(" ") + 1
         wide = len(WIDE.findall(text)) if not text.isascii() else 0
         if (words >= 4 or wide >= 8) and END.search(text[-8:]):
@@ -118,20 +130,37 @@ def blocks(text: str) -> list[list[tuple[str, bool]]]:
 
 def own_blocks(text: str, points: Points) -> list[bool]:
     """Whether each block of a text holds a line of the page's own content."""
-    out = []
+    root = Node("body", "", None)
+    section = Node("section", "", root)
+    nodes = []
     for block in blocks(text):
-        own = any(inside or line.lstrip().startswith("#") for line, inside in block)
-        if not own:
+        heads = [not inside and line.lstrip().startswith("#") for line, inside in block]
+        if any(heads):
+            section = Node("section", "", root)
+        node = Node("p", "", section)
+        nodes.append(node)
+        for (line, inside), head in zip(block, heads):
+            chars = len(line.strip())
+            worth = HEADING if head else 1.0 + min(chars / 100, 3) if inside else points(line)
+            node.chars += chars
+            node.score += worth
+            links = 0 if inside else sum(x.index("](") for x in LINK.findall(line)) if worth > 0 or points.worth(" ".join(line.split())) > 0 else chars
+            node.linked += links
+            node.tags += worth > 0 and links < LINK_SHARE * chars  # lines that hold by themselves
+        if not node.score and len(block) > 1:
             lines = [line for line, _ in block]
-            scores = [points(line) for line in lines]
-            chars = [len(line.strip()) for line in lines]
-            linked = sum(c for c, s in zip(chars, scores) if s <= 0)
-            own = sum(scores) * (1 - linked / max(1, sum(chars))) > 0
-            if not own and len(lines) > 1:
-                cells = {line.count("|") for line in lines}
-                own = len(cells) == 1 and cells.pop() > 1 and not any(points.notice(line) for line in lines) and all(CODE_NAME.match(line.split("|")[0].strip()) for line in lines)
-        out.append(own)
-    return out
+            cells = {line.count("|") for line in lines}
+            if len(cells) == 1 and cells.pop() > 1 and all(CODE_NAME.match(line.split("|")[0].strip()) for line in lines):  # rows without a sentence
+                node.score = max(0.0, 1.0 + min(node.chars / 100, 3) - max(map(points.cost, lines)))
+                node.linked, node.tags = (0, 1) if node.score else (node.linked, 0)
+        for up, share in ((section, 1.0), (root, 0.5)):
+            up.score += share * node.score
+            up.chars += node.chars
+            up.linked += node.linked
+    total = lambda x: x.score * (1 - x.linked / max(1, x.chars))
+    best = max([root, *root.children], key=total)
+    least = 0.0 if best is root else SIBLING_SHARE * total(best)
+    return [x.score > 0 and (total(x.parent) >= least or x.parent is best or x.tags > 0) for x in nodes]
 
 
 def own_units(page: Page, points: Points) -> list[bool]:

@@ -176,6 +176,22 @@ def test_text_blocks():
     assert main_content.own_blocks(text, main_content.Points(["Acme"])) == [False, True, True, False, True, True, True, False, False, False]
 
 
+def test_texts_are_scored_as_trees():
+    points = main_content.Points(["Acme"])
+    # names and phrases lower points, whatever the length of the line
+    content = "The cache of Acme holds entries, keeps them in order, and drops the oldest one when there is no room left for another."
+    notice = "This material is provided as is, and Acme gives no warranty."
+    assert main_content.own_blocks(f"# Caches\n\n{content}\n\n{notice}", points) == [True, True, False]
+    assert points(content) < points(content.replace("Acme", "it")) and points.notice(notice) and not points.notice(content)
+    # a section with far fewer points than the best one keeps what is no link
+    long = "A cache holds entries, keeps them in order, and drops the oldest one when there is no room left for another. " * 6
+    links = "See also [the page on sizes](/a), [the index](/b), for more."
+    text = f"{links}\n\n# Caches\n\n{long}\n\n## More\n\nThe last entry leaves first."
+    assert main_content.own_blocks(text, points) == [False, True, True, True, True]
+    # the same block stays where it stands in the container
+    assert main_content.own_blocks(links, points) == [True]
+
+
 def test_unit_rows(spark):
     texts = spark.createDataFrame([(1, "# A\n\nHome | Docs"), (2, None), (3, ""), (4, "x" * 100000)], "extract_id bigint, extracted_text string").withColumn("own", F.lit(1))
     assert sorted((r.record_id, r.unit_no, r.own) for r in main_content.text_units(texts, []).collect() if r.record_id < 4) == [(1, 0, True), (1, 1, False)]

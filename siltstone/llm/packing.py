@@ -3,7 +3,9 @@
 Method: bin completion branch-and-bound. Containers are filled one at a time: each starts with the largest text left, and only
 undominated completions are tried (a completion is dominated if a text left out could take the place of a smaller one in it). Branches
 whose waste exceeds what the best known solution allows are pruned. Best-fit decreasing gives the first solution; the search stops as
-soon as a solution reaches the lower bound ceil(total / capacity), or after `budget` nodes, with the best solution known.
+soon as a solution reaches the lower bound ceil(total / capacity), or after `budget` nodes or `DIVES` for each container (one node fills one container),
+with the best solution known; stopped_short() tells the groups where that is above the bound. A node has at most `COMPLETIONS` completions, looked for in
+`STEPS` steps for each.
 
 Texts are dealt to groups of about `group` texts by a hash of doc_id, each packed in its own task, so no task holds more than a bounded number
 of sizes; a group leaves at most its last container partly filled beyond the optimum, which is under 0.1 % of the space.
@@ -26,6 +28,7 @@ from siltstone.llm.tokens import encode_corpus
 from siltstone.session import stage
 
 CAPACITY, GROUP, BUDGET = 2048, 8192, 2000
+DIVES, COMPLETIONS, STEPS = 8, 4, 50
 SCHEMA = "doc_id bigint, piece_no int, start_token int, n_tokens int, container_id string, container_tokens int"
 
 
@@ -62,7 +65,7 @@ def completions(kinds: list[int], left: Counter, room: int, slack: int, most: in
     def grow(at: int, space: int, chosen: tuple[int, ...]) -> bool:
         """Largest sizes first; true once enough were found."""
         steps[0] += 1
-        if steps[0] > 50 * most:
+        if steps[0] > STEPS * most:
             return True
         fits = bisect.bisect_right(kinds, space, 0, at)
         taken = Counter(chosen)
@@ -102,34 +105,61 @@ def pack(sizes: list[int], capacity: int = CAPACITY, budget: int = BUDGET) -> li
     """Containers (lists of sizes) that hold the sizes, each 1..capacity."""
     best = best_fit(sizes, capacity)
     total, bound = sum(sizes), -(-sum(sizes) // capacity)
-    nodes = 0
-    while len(best) > bound and nodes < budget:
+    nodes, most = 0, max(budget, DIVES * len(best))
+    while len(best) > bound and nodes < most:
         # depth-first dive for a solution of len(best) - 1 containers; backtracking over alternative completions
-        slack_all = (len(best) - 1) * capacity - total
-        stack: list[tuple[Counter, int, list[list[int]]]] = [(Counter(sizes), slack_all, [])]
+        left = Counter(sizes)
+        kinds = sorted(left)
+        slack = (len(best) - 1) * capacity - total
+        path: list[tuple[int, list, list, int]] = []  # first, what it may be completed with, what it is completed with, slack before
+
+        def take(k: int) -> None:
+            left[k] -= 1
+            if not left[k]:
+                del kinds[bisect.bisect_left(kinds, k)]
+
+        def put(k: int) -> None:
+            if not left[k]:
+                bisect.insort(kinds, k)
+            left[k] += 1
+
         found = None
-        while stack and nodes < budget:
-            left, slack, done = stack.pop()
+        while nodes < most:
             nodes += 1
-            kinds = sorted(k for k, n in left.items() if n)
             if not kinds:
-                found = done
+                found = [[first, *rest] for first, _, rest, _ in path]
                 break
             first = kinds[-1]
-            left = left.copy()
-            left[first] -= 1
-            if not left[first]:
-                kinds = kinds[:-1]
-            for waste, rest in reversed(completions(kinds, left, capacity - first, slack, 4)):
-                after = left.copy()
-                after.subtract(rest)
-                stack.append((after, slack - waste, [*done, [first, *rest]]))
+            take(first)
+            path.append((first, completions(kinds, left, capacity - first, slack, COMPLETIONS)[::-1], [], slack))
+            while path:
+                first, options, rest, before = path[-1]
+                for k in rest:
+                    put(k)
+                rest.clear()
+                if options:
+                    waste, chosen = options.pop()
+                    for k in chosen:
+                        take(k)
+                    rest.extend(chosen)
+                    slack = before - waste
+                    break
+                put(first)
+                path.pop()
+            if not path:
+                break
         if found is None:
             break
         best = found
     return best
 
 
+def stopped_short(filled: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(g, containers, bound) of the groups of fill_containers' rows that have more containers than the lower bound."""
+    groups = filled.groupBy(F.split("container_id", "-")[0].cast("int").alias("g")).agg(F.countDistinct("container_id").alias("containers"), F.ceil(F.sum("n_tokens") / capacity).alias("bound"))
+    return groups.where("containers > bound")
+
+
 def fill_containers(df: DataFrame, capacity: int = CAPACITY, group: int = GROUP, budget: int = BUDGET, **tokenizer: str) -> DataFrame:
     """(doc_id, piece_no, start_token, n_tokens, container_id, container_tokens) of every non-empty text of df(doc_id, text)."""
     sizes = stage(encode_corpus(df.where(F.length("text") > 0), counts=True, **tokenizer).where("n_tokens > 0"), "sizes")

@@ -192,6 +192,19 @@ def test_bin_completion_beats_best_fit():
     assert len(packing.pack(sizes, 100)) == 9 == sum(sizes) // 100
 
 
+def test_groups_of_many_containers_are_searched():
+    rng = random.Random(1)
+    sizes = [max(1, int(rng.gauss(700, 250))) for _ in range(8192)]
+    bins = packing.pack(sizes)
+    assert sorted(s for b in bins for s in b) == sorted(sizes) and all(sum(b) <= 2048 for b in bins)
+    assert len(bins) < len(packing.best_fit(sizes, 2048))  # a dive is longer than 2,000 nodes
+
+
+def test_groups_that_stopped_short(spark):
+    rows = [("0-0", 2048), ("0-1", 5), ("1-0", 1000), ("1-1", 1000), ("1-1", 48), ("2-0", 7)]
+    assert [tuple(r) for r in packing.stopped_short(spark.createDataFrame(rows, "container_id string, n_tokens int")).collect()] == [(1, 2, 1)]
+
+
 def test_containers(spark):
     texts = [None, "", "a", "word " * 5000, "word " * 100, "x y z " * 300, "word " * 2048] * 3
     df = spark.createDataFrame(list(enumerate(texts)) + [(4, texts[4])], "doc_id bigint, text string").withColumn("g", F.lit("x"))

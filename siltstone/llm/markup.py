@@ -18,7 +18,7 @@ import bisect
 import html
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,6 +57,8 @@ LATEX = re.compile(
     r"""|\\(?:frac|sum|int|alpha|beta|lambda|leq|geq|cdot|log|maketitle|par|noindent|hline|centering)\b""",
     re.M | re.S,
 )
+#: A command whose argument holds others.
+OPENED = re.compile(r"\\[A-Za-z]{2,}\*?(?:\[[^\]\n]*\])?\{")
 VOID = frozenset("br hr img input link meta wbr col embed param source".split())
 #: A start tag that ends an open element of the same group, up to the nearest of its bounds.
 ENDS = {"li": (("li",), ("ul", "ol", "menu")), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tr": (("tr", "td", "th"), ("table",))}
@@ -126,7 +128,7 @@ def threshold(root: Element) -> float:
 def marks(text: str) -> list[tuple[int, int, str, bool, str]]:
     """(start, end, kind, whether it is a link, shown text) of the pieces of Markdown, wiki and LaTeX of a text, by start."""
     out = []
-    if any(x in text for x in ("](", "][", "]:", "[^", "*", "~~", "__", ":::", "--", "- [", "|\n", "|\r")) or text.endswith("|"):
+    if any(x in text for x in ("](", "][", "]:", "[^", "*", "~~", "__", ":::", "--", "[ ]", "[x]", "[X]", "\n|")) or text.startswith("|"):
         out += [(m.start(), m.end(), "markdown", m["text"] is not None or m["ref"] is not None, _markdown(m)) for m in MARKDOWN.finditer(text)]
     if any(x in text for x in ("''", "[[", "{{", "==", "{|", "|}", "|-", "!!", "||", "[http", "TOC__", "<")):
         out += [(m.start(), m.end(), "wiki", m["link"] is not None or m["named"] is not None, _wiki(m)) for m in WIKI.finditer(text)]
@@ -298,6 +300,13 @@ def segments(text: str) -> list[tuple[bool, str]]:
     return [(inside, "\n".join(lines)) for inside, lines in out]
 
 
+def settled(text: str, change: Callable[[str], str]) -> str:
+    """A text after as many changes as change it."""
+    while (changed := change(text)) != text:
+        text = changed
+    return text
+
+
 def clean(text: str) -> tuple[list[str], str]:
     """(kinds, clean text) of a text."""
     parts = segments(text)
@@ -323,22 +332,21 @@ def clean(text: str) -> tuple[list[str], str]:
             out.append(CODE.sub(hold, x.replace("\x00", "")))
     whole = "\n".join(out)
     if "latex" in kinds:
-        for _ in range(3):  # commands in commands, innermost first
-            before = whole
-            whole = LATEX.sub(lambda m: hold(m) if m["formula"] is not None else _latex(m), whole)
-            if whole == before:
-                break
+        whole = settled(whole, lambda x: LATEX.sub(lambda m: hold(m) if m["formula"] is not None else m[0] if OPENED.fullmatch(m[0]) else _latex(m), x))  # innermost first
+        whole = LATEX.sub(lambda m: hold(m) if m["formula"] is not None else _latex(m), whole)  # what is never closed
     if "html" in kinds:
-        for _ in range(2):  # escaped tags become tags, which are taken out in turn
-            if HTML.search(whole):
-                root = root if whole == body else tree(whole)
-                measure(root)
-                whole = render(root, threshold(root))
+        def plain(x: str) -> str:
+            if not HTML.search(x):
+                return x
+            top = root if x == body else tree(x)
+            measure(top)
+            return render(top, threshold(top))
+
+        whole = settled(whole, plain)  # escaped tags become tags, which are taken out in turn
     if "wiki" in kinds:
         whole = WIKI.sub(_wiki, whole)
     if "markdown" in kinds:
-        for _ in range(2):
-            whole = MARKDOWN.sub(_markdown, whole)
+        whole = settled(whole, lambda x: MARKDOWN.sub(_markdown, x))
     for _ in range(len(held) + 1):
         if "\x00" not in whole:
             break

@@ -126,6 +126,12 @@ def test_clean_text():
     assert clean("a <b>x</b>\n```\n<i>\n```") == "a x\n```\n<i>\n```"
 
 
+def test_rare_and_nested_markup():
+    assert markup.clean("+ [ ] task") == (["markdown"], "+ task") and markup.clean("| a | b |  \nc")[0] == ["markdown"] and markup.clean("x\n| a | b | \t") == (["markdown"], "x\na | b")
+    assert markup.clean("\\textbf{\\emph{\\texttt{\\textit{\\underline{x}}}}} y") == (["latex"], "x y")
+    assert markup.clean("[[[[a](/1)](/2)](/3)](/4)")[1] == "a" and markup.clean("&amp;amp;lt;b&amp;amp;gt;x")[1] == "x"
+
+
 def test_markup_of_every_kind_is_in_the_tree():
     root = markup.tree("<p>a **b** [c](/d)</p> [[E|ee]] $x^2$ &amp; </i>")
     assert markup.kinds_of(root) == ["html", "markdown", "wiki", "latex"]

@@ -16,7 +16,8 @@ posting; its members come back at the end.
 
 Defined results: of each point_id only the row with the greatest created_at counts (a null created_at is the smallest), and only if
 it is active and its vector has `dim` finite numbers that are not all zero. Similarities equal after rounding to 9 decimals are ties and the
-smaller point_id wins. With k or fewer other points, all of them are returned. Null point_ids are dropped.
+smaller point_id wins. With k or fewer other points, all of them are returned.
+Up to `rerank` vectors lie in one file, so small tables are exact. Null point_ids are dropped.
 """
 
 from __future__ import annotations
@@ -158,6 +159,8 @@ def most_similar(df: DataFrame, k: int = K, dim: int = DIM, probes: int = PROBES
     # numbered in the order of their first point_id: 8 bytes instead of an id in all that follows, and ties still break by id
     firsts = stage(firsts.withColumn("first", F.col("ids")[0]).sort("first").withColumn("no", F.monotonically_increasing_id()), "groups")
     count = firsts.count()
+    if count <= rerank:  # one file holds all
+        pivots, prefix, probes = pivots[:1], min(prefix, 1), min(probes, 1)
     # a group is sent about three times its members; where files are long, fewer of them lie together
     group = groups_of_files(pivots, max(1, min(TOGETHER, round(GROUP_BYTES * len(pivots) / (12 * dim * max(1, count))))))
     # the vectors lie by point_id after newest(), so this join moves only the ids of the representatives

@@ -75,6 +75,13 @@ def test_the_first_of_ties_win():
     assert (np.sort(best, axis=1) == np.arange(12)).all() and (cos == 1).all()
 
 
+def test_small_sets_are_exact_as_they_are_run(spark):
+    rng = np.random.default_rng(6)
+    vectors = {f"p{i:03}": rng.normal(size=16).astype(np.float32).tolist() for i in range(200)}
+    df = spark.createDataFrame([(i, AT, True, v) for i, v in vectors.items()], POINT)
+    assert {r.point_id: [x.point_id for x in r.near] for r in neighbors.most_similar(df, dim=16).collect()} == brute_neighbors(vectors, 10)
+
+
 def test_few_points(spark):
     df = spark.createDataFrame([("a", AT, True, [1.0, 0.0]), ("b", AT, True, [2.0, 0.0])], POINT)
     assert {r.point_id: [x.point_id for x in r.near] for r in neighbors.most_similar(df, dim=2).collect()} == {"a": ["b"], "b": ["a"]}

@@ -218,7 +218,7 @@ def document_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, root): the smallest id that each linked id reaches, by alternating large and small stars; each round is written to the shared folder."""
+    """(id, root): the smallest id that each linked id reaches, by alternating large and small stars; each round is written to the shared folder. An error if `rounds` do not settle it."""
     edges = stage(links.select(F.col("a").alias("u"), F.col("b").alias("v")), "edges")
     for r in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -232,6 +232,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         edges = new
         if now == then:
             break
+    else:
+        raise ValueError(f"not settled after {rounds} rounds")
     roots = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("id"), "root")
     return roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
 

@@ -101,8 +101,8 @@ def discoveries(*found: DataFrame) -> DataFrame:
     return rows.groupBy("source_id", "canonical_url").agg(F.min_by("discovered_from", F.struct("at", "discovered_from")).alias("discovered_from"), F.min("at").alias("first_at"))
 
 
-def frontier(edges: DataFrame, seeds: DataFrame, levels: int = 50) -> DataFrame:
-    """(node, level) of the nodes that seeds(node) reach over edges(src, dst), by breadth-first levels.
+def frontier(edges: DataFrame, seeds: DataFrame, levels: int = 100_000) -> DataFrame:
+    """(node, level) of the nodes that seeds(node) reach over edges(src, dst), by breadth-first levels until one is empty; an error if there are more than `levels`.
 
     Each level is one join of the last level with the edges and one anti-join with the visited nodes; it is written to the shared
     folder, so the plan stays short and lost executors cost one level.
@@ -113,6 +113,8 @@ def frontier(edges: DataFrame, seeds: DataFrame, levels: int = 50) -> DataFrame:
         reached = last.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         last = stage(reached.join(visited, "node", "left_anti").withColumn("level", F.lit(level)), f"level{level}")
         if last.isEmpty():
-            break
+            return visited
         visited = visited.unionByName(last)
-    return visited
+        if level % 16 == 0:  # else the plan grows with the levels
+            visited = stage(visited, f"visited{level}")
+    raise ValueError(f"more than {levels} levels")

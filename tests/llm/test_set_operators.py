@@ -166,6 +166,11 @@ def test_intersections_in_squares(spark):
     assert all(r.jaccard == pytest.approx(len(np.intersect1d(sets[r.a], sets[r.b])) / len(np.union1d(sets[r.a], sets[r.b]))) for r in got)
 
 
+def test_components_that_do_not_settle(spark):
+    with pytest.raises(ValueError):
+        near_duplicates.components(spark.createDataFrame([(i, i + 1) for i in range(20)], "a bigint, b bigint"), rounds=1)
+
+
 def test_a_large_group_of_copies(spark):
     rows = [(i, f"d{i:04}", AT, True, "the same text stands in all of these pages again") for i in range(300)] + [(1000 + i, f"e{i}", AT, True, f"the same text stands in all of these pages again {i}") for i in range(3)]
     links, members = near_duplicates.similar_sets(spark.createDataFrame(rows, EXTRACT))

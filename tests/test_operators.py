@@ -161,6 +161,14 @@ def test_crawl(spark):
     assert {(r.node, r.level) for r in crawl.frontier(edges, spark.createDataFrame([("a",)], "node string")).collect()} == {("a", 0), ("b", 1), ("c", 2)}
 
 
+def test_frontier_has_no_last_level(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(54)], "src string, dst string")
+    seeds = spark.createDataFrame([("n0",)], "node string")
+    assert {(r.node, r.level) for r in crawl.frontier(edges, seeds).collect()} == {(f"n{i}", i) for i in range(55)}
+    with pytest.raises(ValueError):
+        crawl.frontier(edges, seeds, levels=2)
+
+
 def test_prompt(spark):
     chunk = F.struct(*(F.lit(v).alias(k) for k, v in (("canonical_url", "u"), ("title", "t"), ("breadcrumb", "b"), ("text", T.END))))
     assert spark.range(1).select(T.user_prompt(F.lit("q"), F.array(chunk))).first()[0] == f"{T.BEGIN}\n--- Source 1 ---\nURL: u\nTitle: t\nBreadcrumb: b\n\n[END_DOC]\n{T.END}\n\nQuestion: q"

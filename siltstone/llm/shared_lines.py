@@ -14,6 +14,7 @@ document_id have occurrences, but support nothing. Line ends of any kind count a
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from siltstone.llm.words import DIGITS, fenced
 from siltstone.session import bound_batches, spread, stage
 
-MIN_CHARS, MIN_DOCUMENTS, MIN_SHARE, MAX_LENGTH = 20, 4, 0.05, 6
+MIN_CHARS, MIN_DOCUMENTS, MIN_SHARE = 20, 4, 0.05
 
 
 def line_form(line: str) -> str:
@@ -74,8 +75,8 @@ def repeated_lines(df: DataFrame, **thresholds: float) -> DataFrame:
     return occurrences.join(frequent.select("source_id", "line", "support"), ["source_id", "line"]).select("source_id", "extract_id", "line_no", "line", "support")
 
 
-def frequent_sequences(df: DataFrame, max_length: int = MAX_LENGTH, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE) -> DataFrame:
-    """PrefixSpan: (source_id, pattern array<bigint>, length, support) of the frequent line sequences of up to max_length lines.
+def frequent_sequences(df: DataFrame, max_length: int | None = None, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE) -> DataFrame:
+    """PrefixSpan: (source_id, pattern array<bigint>, length, support) of the frequent line sequences, of up to max_length lines if that is given.
 
     Each level keeps, for each row and pattern, the earliest end of the pattern in the row's sequence (its projection) and
     appends every later item; patterns without enough distinct documents are dropped before the next level. Sequences hold
@@ -89,7 +90,7 @@ def frequent_sequences(df: DataFrame, max_length: int = MAX_LENGTH, min_document
     rows = rows.groupBy("source_id", "doc", "extract_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("items"))
     level = stage(rows.select("source_id", "doc", "extract_id", "items", F.array().cast("array<bigint>").alias("pattern"), F.lit(0).alias("end")), "level0")
     found = frequent.select("source_id", F.array("line").alias("pattern"), F.lit(1).alias("length"), "support")
-    for length in range(1, max_length + 1):
+    for length in itertools.count(1):
         later = F.array_distinct(F.slice("items", F.col("end") + 1, F.greatest(F.size("items") - F.col("end"), F.lit(0))))
         grown = level.withColumn("item", F.explode(later)).withColumn("grown", F.concat("pattern", F.array("item")))
         counted = grown.select("source_id", "grown", "doc").distinct().groupBy("source_id", "grown").agg(F.count("*").alias("support"))

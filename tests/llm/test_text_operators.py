@@ -95,6 +95,12 @@ def test_frequent_sequences(spark):
     assert got == want
 
 
+def test_long_sequences(spark):
+    rows = [("s", f"d{i}", i, "\n".join(f"line {c * 3} of the footer on every page" for c in "abcdefgh")) for i in range(4)]
+    found = shared_lines.frequent_sequences(spark.createDataFrame(rows, TEXT)).collect()
+    assert len(found) == 2**8 - 1 and max(r.length for r in found) == 8
+
+
 # --- 4
 
 

@@ -1,12 +1,10 @@
 """The page catalog and the run ledger as snapshots: every mutation is a join of the old snapshot with a batch of changes.
 
-A snapshot is never overwritten while it is read: commit() writes a new folder and then moves a pointer.
+A snapshot is never overwritten while it is read: snapshots.commit() writes a new version beside it.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +15,10 @@ DELETE_AFTER = 2
 
 
 def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The row of each key with the greatest `order` (a null one is the smallest; ties by the row's hash): one aggregate with a partial maximum, no sort of the table."""
+    """The row of each key with the greatest `order` (a null one is the smallest; ties by the row's hash): one aggregate with a partial maximum in each task before the one shuffle.
+
+    Rows hold strings, so the aggregate sorts within its tasks; a hash aggregate over times and hashes alone would need a second shuffle to fetch the rows.
+    """
     rest = [c for c in df.columns if c not in keys]
     row = F.struct(F.col(order).isNotNull().alias("_known"), F.col(order).alias("_at"), F.xxhash64(*rest).alias("_tie"), *rest)
     return df.groupBy(*keys).agg(F.max(row).alias("_row")).select(*keys, *(F.col(f"_row.{c}").alias(c) for c in rest))
@@ -96,27 +97,3 @@ def exact_duplicates(df: DataFrame, keys: list[str], order: list[str]) -> DataFr
     ident = order[-1]
     both = df.alias("d").join(first.alias("f"), [F.col(f"d.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys])
     return both.select("d.*", F.when(F.col(f"f._first.{ident}") != F.col(f"d.{ident}"), F.col(f"f._first.{ident}")).alias("duplicate_of"))
-
-
-def commit(df: DataFrame, folder: str, name: str) -> str:
-    """Write a snapshot beside the others and point to it: readers see the old or the new one, never half of it."""
-    spark = df.sparkSession
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    pointer = f"{folder}/{name}.current"
-    jvm = spark._jvm
-    new, at = jvm.org.apache.hadoop.fs.Path(f"{pointer}.new"), jvm.org.apache.hadoop.fs.Path(pointer)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    out = fs.create(new, True)
-    out.write(bytearray(path.encode()))
-    out.close()
-    fs.delete(at, False)
-    if not fs.rename(new, at):
-        raise OSError(f"can't move the pointer {pointer}")
-    return path
-
-
-def current(spark, folder: str, name: str) -> DataFrame:  # noqa: ANN001
-    """The snapshot that the pointer names."""
-    path = spark.read.text(f"{folder}/{name}.current", wholetext=True).first()[0]
-    return spark.read.parquet(path)

@@ -1,10 +1,16 @@
 """Problem 3: process only what is new or changed.
 
-Method: per-partition fingerprints. The rows of a table are dealt to partitions by a hash of their key; a partition's
-fingerprint is its number of rows and two sums of row hashes, which do not depend on the order of rows. A run compares the fingerprints with those of the last
-successful run, recomputes only the partitions that differ and replaces each atomically by dynamic partition overwrite. The fingerprints
-are written last: a run that fails before leaves them as they were, so the next run recomputes the same partitions and comes to the same rows, and no
-record is skipped or handed on twice.
+Method: per-partition fingerprints. The rows of a table are dealt to partitions by their key; a partition's fingerprint is its number of rows and two
+sums of row hashes, which do not depend on the order of rows. A run compares the fingerprints with those of the last
+successful run, recomputes only the partitions that differ and replaces each atomically by dynamic partition overwrite.
+
+A partition has a fingerprint only while its stored result belongs to it: before a run overwrites partitions it records the fingerprints without
+theirs, and after it has written them it records all. Whatever step fails, and whatever the table holds when the next run comes, partitions that were begun, that
+lie in the folder without a fingerprint or that have lost all rows are recomputed, so no record is skipped, repeated or left over.
+
+Records change together: a crawl touches the pages of one source. The columns `cluster` (leading keys) choose a group of partitions, the whole key one of its
+`spread` partitions, so a run over one source leaves the other sources' partitions alone, and one source with most rows still has many partitions. A partition
+has about `ROWS` rows; their number is kept with the state, and a table that has outgrown it fourfold is dealt anew, which recomputes all.
 
 Defined results: an empty table gives no page; of several rows of a page the one with the greatest updated_at holds (a null one is the
 oldest, ties are broken by the row's hash); outer blanks and case of hashes and versions make no difference, an empty value is a missing one;
@@ -13,69 +19,107 @@ partitions whose rows have vanished are emptied. Rows without a source_id or can
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.operators import snapshots
 from siltstone.session import stage
 
-PARTITIONS = 64
+#: Rows of a partition on average, the least and the greatest number of partitions, and how many of them the records of one cluster are spread over.
+ROWS, FEWEST, MOST, SPREAD = 100_000, 32, 8192, 8
+PRINTS = "part int, n bigint, h1 string, h2 string, of int"
+
+
+def partitions_for(rows: int) -> int:
+    """A power of two, so that partitions hold about `ROWS` rows."""
+    return min(MOST, max(FEWEST, 1 << math.ceil(math.log2(max(1, rows / ROWS)))))
 
 
-def bucket(keys: list[str], partitions: int) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(partitions)).cast("int")
+def bucket(keys: list[str], partitions: int, cluster: list[str] | None = None, spread: int = SPREAD) -> Column:
+    """The partition of a key: by the hash of all keys, or a group of `spread` partitions by the hash of `cluster` and one of them by that of all."""
+    if not cluster or partitions < 2 * spread:
+        return F.pmod(F.xxhash64(*keys), F.lit(partitions)).cast("int")
+    group = F.pmod(F.xxhash64(F.lit(1), *cluster), F.lit(partitions // spread))
+    return (group * spread + F.pmod(F.xxhash64(*keys), F.lit(spread))).cast("int")
 
 
-def fingerprints(df: DataFrame, keys: list[str], columns: list[str], partitions: int = PARTITIONS) -> DataFrame:
-    """(part, n, h1, h2): number of rows and additive hashes of each partition. One partial aggregate per task, one row per partition shuffled."""
-    rows = df.select(bucket(keys, partitions).alias("part"), F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(7), *columns).alias("b"))
+def fingerprints(df: DataFrame, part: Column, columns: list[str], partitions: int) -> DataFrame:
+    """(part, n, h1, h2, of): number of rows and additive hashes of each partition. One partial aggregate per task, one row per partition shuffled."""
+    rows = df.select(part.alias("part"), F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(7), *columns).alias("b"))
     wide = lambda c: F.sum(F.col(c).cast("decimal(20,0)")).cast("string")
-    return rows.groupBy("part").agg(F.count("*").alias("n"), wide("a").alias("h1"), wide("b").alias("h2"))
+    return rows.groupBy("part").agg(F.count("*").alias("n"), wide("a").alias("h1"), wide("b").alias("h2")).withColumn("of", F.lit(partitions))
 
 
-def _exists(df: DataFrame, path: str) -> bool:
-    jvm = df.sparkSession._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).exists(at)
+@dataclass
+class Change:
+    """What a run has to do: the fingerprints now, the partitions that differ from the stored ones, and those that stay."""
 
+    part: Column
+    partitions: int
+    now: DataFrame
+    parts: list[int]
+    same: DataFrame
 
-def refresh(df: DataFrame, keys: list[str], columns: list[str], compute: Callable[[DataFrame], DataFrame], state: str, partitions: int = PARTITIONS) -> DataFrame:
-    """compute(df) by partition of its keys, kept in the folder `state` and recomputed for the changed partitions only.
 
-    compute must give, for the rows of some keys, the result of those keys. Its result gets the column `part` while stored. The
-    stored result holds one marker row per partition, so that a partition that becomes empty is replaced too.
+def changes(df: DataFrame, keys: list[str], columns: list[str], state: str, partitions: int | None = None, cluster: list[str] | None = None) -> Change:
+    """Compare the table with the state. The partitions come to the driver: their number is bounded by `MOST`, or given."""
+    spark = df.sparkSession
+    then = snapshots.current(spark, state, "fingerprints") if snapshots.exists(spark, state, "fingerprints") else spark.createDataFrame([], PRINTS)
+    kept = then.agg(F.max("of")).first()[0]
+    if partitions is None:
+        wanted = partitions_for(df.count())
+        partitions = kept if kept and wanted <= 4 * kept else wanted
+    part = bucket(keys, partitions, cluster)
+    now = stage(fingerprints(df, part, columns, partitions), "fingerprints")
+    row = ["part", "n", "h1", "h2", "of"]
+    same = stage(then.join(now, row, "left_semi").select(*row), "same")
+    stays = {r[0] for r in same.select("part").collect()}
+    stored = {int(c.removeprefix("part=")) for c in snapshots.children(spark, f"{state}/result") if c.startswith("part=")}
+    parts = sorted(({r[0] for r in now.select("part").collect()} | stored) - stays)
+    return Change(part, partitions, now, parts, same)
+
+
+def replace(df: DataFrame, change: Change, compute: Callable[[DataFrame], DataFrame], state: str) -> None:
+    """Take back the fingerprints of the changed partitions, then overwrite these partitions of the result.
+
+    The stored result holds one marker row per partition, so that a partition that becomes empty is replaced too.
     """
     spark = df.sparkSession
-    now = stage(fingerprints(df, keys, columns, partitions), "fingerprints")
-    result, known = f"{state}/result", f"{state}/fingerprints"
-    changed = now.select("part")
-    if _exists(df, f"{known}/_SUCCESS"):
-        then = spark.read.parquet(known)
-        same = ["part", "n", "h1", "h2"]
-        changed = now.join(then, same, "left_anti").select("part").unionByName(then.join(now, "part", "left_anti").select("part"))
-    # one row per partition of the state, a fixed number: small enough for every executor
-    parts = sorted(r[0] for r in changed.distinct().collect())
-    if parts:
-        rows = df.where(bucket(keys, partitions).isin(parts)) if len(parts) < partitions else df
-        found = compute(rows).withColumn("part", bucket(keys, partitions)).withColumn("marker", F.lit(False))
-        markers = spark.createDataFrame([(p,) for p in parts], "part int").withColumn("marker", F.lit(True))
-        whole = found.unionByName(markers, allowMissingColumns=True).repartition("part")
-        whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(result)
-        fresh = f"{state}/fingerprints-new"
-        now.write.mode("overwrite").parquet(fresh)
-        _swap(df, fresh, known)
-    return spark.read.parquet(result).where("not marker").drop("part", "marker")
-
-
-def _swap(df: DataFrame, fresh: str, known: str) -> None:
-    """Put the new fingerprints in the old ones' place; a failure in between leaves none, and all partitions are recomputed."""
-    jvm = df.sparkSession._jvm
-    a, b = jvm.org.apache.hadoop.fs.Path(fresh), jvm.org.apache.hadoop.fs.Path(known)
-    fs = a.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
-    fs.delete(b, True)
-    if not fs.rename(a, b):
-        raise OSError(f"can't rename {fresh}")
+    snapshots.commit(change.same, state, "fingerprints")
+    rows = df.where(change.part.isin(change.parts)) if len(change.parts) < change.partitions else df
+    found = compute(rows).withColumn("part", change.part).withColumn("marker", F.lit(False))
+    markers = spark.createDataFrame([(p,) for p in change.parts], "part int").withColumn("marker", F.lit(True))
+    whole = found.unionByName(markers, allowMissingColumns=True).repartition("part")
+    whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{state}/result")
+
+
+def record(change: Change, state: str) -> None:
+    """The run was successful: its fingerprints hold."""
+    snapshots.commit(change.now, state, "fingerprints")
+
+
+def stored(spark: SparkSession, state: str) -> DataFrame:
+    """The stored result."""
+    return spark.read.parquet(f"{state}/result").where("not marker").drop("part", "marker")
+
+
+def refresh(df: DataFrame, keys: list[str], columns: list[str], compute: Callable[[DataFrame], DataFrame], state: str, partitions: int | None = None, cluster: list[str] | None = None) -> DataFrame:
+    """compute(df) by partition of its keys, kept in the folder `state` and recomputed for the changed partitions only.
+
+    compute must give, for the rows of some keys, the result of those keys, with the keys and without columns `part` and `marker`. Without rows and
+    without a state its empty result comes back.
+    """
+    change = changes(df, keys, columns, state, partitions, cluster)
+    if change.parts:
+        replace(df, change, compute, state)
+        record(change, state)
+    elif not snapshots.children(df.sparkSession, f"{state}/result"):
+        return compute(df)
+    return stored(df.sparkSession, state)
 
 
 PAGE_KEY = ["source_id", "canonical_url"]
@@ -102,6 +146,6 @@ def pending_pages(catalog: DataFrame) -> DataFrame:
     return newest_pages(catalog).where(wanted).select(*PAGE_KEY)
 
 
-def pending_since(catalog: DataFrame, state: str, partitions: int = PARTITIONS) -> DataFrame:
+def pending_since(catalog: DataFrame, state: str, partitions: int | None = None) -> DataFrame:
     """pending_pages(catalog), kept in `state` by partition."""
-    return refresh(catalog, PAGE_KEY, PAGE_COLUMNS, pending_pages, state, partitions)
+    return refresh(catalog, PAGE_KEY, PAGE_COLUMNS, pending_pages, state, partitions, PAGE_KEY[:1])

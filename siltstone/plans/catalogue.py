@@ -78,6 +78,11 @@ SEGMENTS = """s as (select *, sum(case when mark = '' and (inside or coalesce(be
     from (select *, lag(inside) over (partition by extract_id order by n) as before from k))"""
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A folder of this call's own among the shared ones."""
+    return f"{shared_dir(spark)}/siltstone-{uuid.uuid4().hex}"
+
+
 def newest(spark: SparkSession, d: str) -> DataFrame:
     return catalog.latest(table(spark, d, "catalog_urls").where("source_id is not null and canonical_url is not null"), catalog.KEY, "updated_at")
 
@@ -357,18 +362,49 @@ def utc_stamps(spark: SparkSession, d: str) -> DataFrame:
 # --- catalog, runs, index
 
 
-@query(rf"""select source_id, canonical_url from {NEWEST} where is_in_corpus = 1 and {CLEAN.format('duplicate_of')} is null and {CLEAN.format('extracted_sha256')} is not null
-  and not coalesce({CLEAN.format('indexed_sha256')} = {CLEAN.format('extracted_sha256')} and {CLEAN.format('indexed_chunker_version')} = {CLEAN.format('chunker_version')}, false)""")
+PENDING = rf"""is_in_corpus = 1 and {CLEAN.format('duplicate_of')} is null and {CLEAN.format('extracted_sha256')} is not null
+  and not coalesce({CLEAN.format('indexed_sha256')} = {CLEAN.format('extracted_sha256')} and {CLEAN.format('indexed_chunker_version')} = {CLEAN.format('chunker_version')}, false)"""
+
+
+@query(f"select source_id, canonical_url from {NEWEST} where {PENDING}")
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Pages to be processed now, through partition fingerprints; the state starts empty in a folder of this call's own."""
-    return incremental.pending_since(table(spark, d, "catalog_urls"), f"{shared_dir(spark)}/siltstone-{uuid.uuid4().hex}/state")
+    return incremental.pending_since(table(spark, d, "catalog_urls"), f"{own_folder(spark)}/state")
+
+
+def pending_at(run: int, quarters: int) -> str:
+    """SQL: the pages that run `run` hands on, when the table holds the rows of that many quarters of its time."""
+    return f"""select {run} as run_no, source_id, canonical_url from (select c.* from catalog_urls c, t where source_id is not null and canonical_url is not null and (updated_at is null or epoch_us(updated_at) <= lo + (hi - lo) * {quarters} // 4)
+      qualify row_number() over (partition by source_id, canonical_url order by updated_at desc nulls last) = 1) where {PENDING}"""
+
+
+@query(f"with t as (select min(epoch_us(updated_at)) as lo, max(epoch_us(updated_at)) as hi from catalog_urls) {pending_at(1, 2)} union all {pending_at(3, 2)} union all {pending_at(4, 3)} union all {pending_at(5, 4)}")
+def p3_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Successive runs over one state: half of the table's time; a run over three quarters that fails after its result was written and before it was recorded;
+    half again, as if the rows since had been lost; three quarters; all. Each hands on what the table then holds."""
+    rows = table(spark, d, "catalog_urls")
+    at = F.unix_micros("updated_at")
+    lo, hi = rows.agg(F.min(at), F.max(at)).first()
+    until = lambda quarters: rows if quarters == 4 or lo is None else rows.where(at.isNull() | (at <= lo + (hi - lo) * quarters // 4))
+    state, partitions = f"{own_folder(spark)}/state", incremental.partitions_for(rows.count())
+    found = None
+    for run, quarters in ((1, 2), (2, 3), (3, 2), (4, 3), (5, 4)):
+        if run == 2:
+            lost = incremental.changes(until(quarters), incremental.PAGE_KEY, incremental.PAGE_COLUMNS, state, partitions, incremental.PAGE_KEY[:1])
+            if lost.parts:
+                incremental.replace(until(quarters), lost, incremental.pending_pages, state)
+            continue
+        handed = stage(incremental.pending_since(until(quarters), state, partitions).select(F.lit(run).alias("run_no"), *incremental.PAGE_KEY), f"run{run}")
+        found = handed if found is None else found.unionByName(handed)
+    return found
 
 
 @query("select count(*) as n, count(distinct (source_id, canonical_url)) as pages from catalog_urls")
 def p3_fingerprint_counts(spark: SparkSession, d: str) -> DataFrame:
     """Fingerprints added up again: rows, and pages by partition."""
     rows = table(spark, d, "catalog_urls")
-    prints = incremental.fingerprints(rows, incremental.PAGE_KEY, incremental.PAGE_COLUMNS).agg(F.sum("n").alias("n"))
+    part = incremental.bucket(incremental.PAGE_KEY, incremental.FEWEST, incremental.PAGE_KEY[:1])
+    prints = incremental.fingerprints(rows, part, incremental.PAGE_COLUMNS, incremental.FEWEST).agg(F.sum("n").alias("n"))
     pages = rows.select(*incremental.PAGE_KEY).distinct().agg(F.count("*").alias("pages"))
     return prints.join(pages, F.lit(True))
 
@@ -575,7 +611,7 @@ def question_answers(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select event_type, count(distinct event_id) as n from events group by 1")
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
-    once = streams.run_to_table(spark, streams.deduplicated(streams.event_stream(spark, f"{d}/events.parquet"), delay="36500 days"), "append")
+    once = streams.run_to_table(streams.deduplicated(streams.event_stream(spark, f"{d}/events.parquet"), delay="7 days"), "append", own_folder(spark))
     return once.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
@@ -583,21 +619,20 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
   s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from g)
   select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as session_start, count(*) as n, round(sum(value), 2) as total from s group by user_id, k""")
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    done = streams.run_to_table(spark, streams.sessions(streams.event_stream(spark, f"{d}/events.parquet")), "complete")
+    done = streams.run_to_table(streams.sessions(streams.event_stream(spark, f"{d}/events.parquet")), "complete", own_folder(spark))
     return done.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n", F.round("total", 2).alias("total"))
 
 
 @query("select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as window_start, event_type, count(*) as n, round(sum(value), 2) as total from events group by all")
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
-    done = streams.run_to_table(spark, streams.windows(streams.event_stream(spark, f"{d}/events.parquet")), "complete")
+    done = streams.run_to_table(streams.windows(streams.event_stream(spark, f"{d}/events.parquet")), "complete", own_folder(spark))
     return done.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 @query("select user_id, event_id from events qualify row_number() over (partition by user_id order by event_id desc) = 1")
 def stream_upserts(spark: SparkSession, d: str) -> DataFrame:
     rows = streams.event_stream(spark, f"{d}/events.parquet").select("user_id", "event_id")
-    state = streams.upserts(spark, rows.withColumn("order", F.col("event_id")), ["user_id"], "order")
-    return state().select("user_id", "event_id")
+    return streams.upserts(rows.withColumn("order", F.col("event_id")), ["user_id"], "order", own_folder(spark)).select("user_id", "event_id")
 
 
 # --- relational smoke over the star schema

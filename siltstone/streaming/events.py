@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.session import shared_dir
+from siltstone.operators import snapshots
+from siltstone.operators.catalog import latest
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -45,31 +43,57 @@ def windows(events: DataFrame, width: str = "1 hour", delay: str | None = "10 mi
     return grouped.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
 
-def upserts(spark: SparkSession, events: DataFrame, keys: list[str], order: str) -> Callable[[], DataFrame]:
-    """Keep the last row of each key over all micro-batches: every batch is merged with the state into a new folder, and the pointer moves after it is
-    written, so a repeated batch gives the same state. Returns a reader of the state."""
-    from siltstone.operators.catalog import commit, current, latest
+#: Micro-batches whose changes lie beside the state before they are folded into it.
+FOLD_AFTER = 16
+
+
+def merged_state(spark: SparkSession, folder: str, keys: list[str], order: str) -> DataFrame:
+    """The last row of each key: the newest whole state and the changes beside it. Changes that the state holds already make no difference."""
+    parts = [snapshots.current(spark, folder, "state")] if snapshots.exists(spark, folder, "state") else []
+    parts += [spark.read.parquet(f"{folder}/changes/{b}") for b in _batches(spark, folder)]
+    if not parts:
+        raise FileNotFoundError(f"no state in {folder}")
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return latest(rows, keys, order)
+
+
+def _batches(spark: SparkSession, folder: str) -> list[str]:
+    """The whole changes beside the state, by their batch."""
+    fs = lambda b: snapshots.file_system(spark, f"{folder}/changes/{b}/_SUCCESS")
+    return [b for b in snapshots.children(spark, f"{folder}/changes") if (lambda f: f[0].exists(f[1]))(fs(b))]
+
+
+def upserts(events: DataFrame, keys: list[str], order: str, folder: str, fold_after: int = FOLD_AFTER) -> DataFrame:
+    """Keep the last row of each key over all micro-batches, in `folder`, and give the state after what is there was read.
 
-    folder = f"{shared_dir(spark)}/siltstone-{uuid.uuid4().hex}"
-    first = [True]
+    A batch writes the last rows of its own keys, in proportion to itself, under its number: a batch that is repeated replaces what it wrote. Every `fold_after`
+    batches the changes are folded into a new version of the state, and deleted after it is whole. The checkpoint lies in the folder too, so a
+    stream that was stopped at any step goes on where it was.
+    """
 
-    def merge(batch: DataFrame, _: int) -> None:
-        rows = batch if first[0] else batch.unionByName(current(batch.sparkSession, folder, "state"))
-        commit(latest(rows, keys, order), folder, "state")
-        first[0] = False
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        latest(batch, keys, order).write.mode("overwrite").parquet(f"{folder}/changes/{number:012d}")
+        done = _batches(spark, folder)
+        if len(done) >= fold_after:
+            snapshots.commit(merged_state(spark, folder, keys, order), folder, "state")
+            for b in done:
+                fs, at = snapshots.file_system(spark, f"{folder}/changes/{b}")
+                fs.delete(at, True)
 
-    query = events.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return lambda: current(spark, folder, "state")
+    events.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return merged_state(events.sparkSession, folder, keys, order)
 
 
-def run_to_table(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there and give its result. Append mode is written to the shared folder; complete mode is kept in memory (it is an aggregate)."""
-    where = f"{shared_dir(spark)}/siltstone-{uuid.uuid4().hex}"
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True)
+def run_to_table(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Run a stream over what is there and give its result, which lies in `folder` with the checkpoint: in append mode all rows written so far, in
+    complete mode the newest whole version of the aggregate. A stream that was stopped goes on where it was."""
+    spark = stream.sparkSession
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
     if mode == "append":
-        writer.format("parquet").start(f"{where}/out").awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{where}/out")
-    name = f"s{uuid.uuid4().hex}"
-    writer.format("memory").queryName(name).start().awaitTermination()
-    return spark.table(name)
+        writer.format("parquet").start(f"{folder}/out").awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    writer.foreachBatch(lambda batch, _: snapshots.commit(batch, folder, "out") and None).start().awaitTermination()
+    return snapshots.current(spark, folder, "out")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
-from siltstone.operators import catalog, chunking, crawl, html_extract, incremental, retrieval
+from siltstone.operators import catalog, chunking, crawl, html_extract, incremental, retrieval, snapshots
 
 AT = dt.datetime(2026, 8, 29, 12)
 PAGE = """<html><head><title>Page - Site</title></head><body><nav>menu</nav><main><h1>Title</h1><p>Text &amp; <b>bold</b> <a href="/x">link</a> <a href="#y">local</a>
@@ -82,19 +82,64 @@ def test_incremental_runs(spark, tmp_path):
 
 
 def test_a_failed_run_is_repeated(spark, tmp_path, monkeypatch):
+    """Runs that stop at any step, followed by runs over tables that have lost rows or are as they were."""
     state = f"{tmp_path}/state"
-    df = spark.createDataFrame([page(f"u{i}") for i in range(9)], COLUMNS)
+    whole, few = (spark.createDataFrame([page(f"u{i}") for i in range(n)], COLUMNS) for n in (14, 2))
+    assert found(few, state) == {"u0", "u1"}
+    write = incremental.snapshots.commit
+    for fail_at in (0, 1):  # before the result is written, and between it and the fingerprints
+        done = []
+
+        def failing(*args, done=done, fail_at=fail_at):
+            if len(done) == fail_at:
+                raise OSError("lost")
+            done.append(write(*args))
+
+        with monkeypatch.context() as m:
+            m.setattr(incremental.snapshots, "commit", failing)
+            with pytest.raises(OSError, match="lost"):
+                found(whole, state)
+        assert found(few, state) == {"u0", "u1"}  # the run's rows have vanished, and nothing of it is handed on
     with monkeypatch.context() as m:
-        m.setattr(incremental, "_swap", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        m.setattr(incremental, "record", lambda *a: (_ for _ in ()).throw(OSError("lost")))
         with pytest.raises(OSError, match="lost"):
-            found(df, state)
-    assert found(df, state) == {f"u{i}" for i in range(9)}
-    assert incremental.pending_since(df, state, 8).count() == 9
+            found(few.where("false"), state)
+    assert found(whole, state) == {f"u{i}" for i in range(14)}
+    assert incremental.pending_since(whole, state, 8).count() == 14
+
+
+def test_a_state_that_is_not_recorded_at_all(spark, tmp_path, monkeypatch):
+    state = f"{tmp_path}/state"
+    df = spark.createDataFrame([page(f"u{i}") for i in range(14)], COLUMNS)
+    with monkeypatch.context() as m:
+        m.setattr(incremental, "record", lambda *a: None)
+        found(df, state)
+    assert found(df.where("canonical_url < 'u11'"), state) == {"u0", "u1", "u10"}
+
+
+def test_another_number_of_partitions(spark, tmp_path):
+    state = f"{tmp_path}/state"
+    df = spark.createDataFrame([page(f"u{i}") for i in range(30)], COLUMNS)
+    for partitions in (8, 64, 16, None, None):
+        assert {r.canonical_url for r in incremental.pending_since(df, state, partitions).collect()} == {f"u{i}" for i in range(30)}
+    assert incremental.partitions_for(0) == incremental.FEWEST and incremental.partitions_for(10**13) == incremental.MOST
+    assert incremental.partitions_for(50_000_000) == 512
+
+
+def test_a_run_over_one_source_leaves_the_others_partitions(spark, tmp_path):
+    state = f"{tmp_path}/state"
+    df = spark.createDataFrame([page(f"u{i}", source=f"s{i % 9}") for i in range(200)], COLUMNS)
+    assert incremental.pending_since(df, state).count() == 200
+    more = df.unionByName(spark.createDataFrame([page(f"n{i}", source="s1") for i in range(100)], COLUMNS))
+    change = incremental.changes(more, incremental.PAGE_KEY, incremental.PAGE_COLUMNS, state, None, ["source_id"])
+    assert 0 < len(change.parts) <= incremental.SPREAD < change.partitions
+    assert incremental.pending_since(more, state).count() == 300
 
 
 def test_fingerprints_do_not_depend_on_order(spark):
     rows = [page(f"u{i % 7}", day=i) for i in range(30)]
-    prints = [sorted(map(tuple, incremental.fingerprints(spark.createDataFrame(r, COLUMNS), incremental.PAGE_KEY, incremental.PAGE_COLUMNS, 4).collect())) for r in (rows, rows[::-1])]
+    part = incremental.bucket(incremental.PAGE_KEY, 4)
+    prints = [sorted(map(tuple, incremental.fingerprints(spark.createDataFrame(r, COLUMNS), part, incremental.PAGE_COLUMNS, 4).collect())) for r in (rows, rows[::-1])]
     assert prints[0] == prints[1]
 
 
@@ -116,9 +161,18 @@ def test_runs_and_snapshots(spark, tmp_path):
     runs = spark.createDataFrame([("1", "s", AT, "started", None, None), ("2", "s", AT, "failed", AT, "x")], "id string, source_id string, started_at timestamp, status string, finished_at timestamp, error_message string")
     ends = spark.createDataFrame([("1", True, AT, None), ("2", True, AT, None)], "id string, succeeded boolean, finished_at timestamp, error_message string")
     assert {(r.id, r.status, r.rejected) for r in catalog.finish_runs(runs, ends).collect()} == {("1", "succeeded", False), ("2", "failed", True)}
-    catalog.commit(runs, str(tmp_path), "runs")
-    catalog.commit(runs.where("id = '2'"), str(tmp_path), "runs")
-    assert catalog.current(spark, str(tmp_path), "runs").count() == 1
+    assert not snapshots.exists(spark, str(tmp_path), "runs")
+    with pytest.raises(FileNotFoundError):
+        snapshots.current(spark, str(tmp_path), "runs")
+    first = snapshots.commit(runs, str(tmp_path), "runs")
+    reader = snapshots.current(spark, str(tmp_path), "runs")
+    second = snapshots.commit(runs.where("id = '2'"), str(tmp_path), "runs")
+    assert snapshots.current(spark, str(tmp_path), "runs").count() == 1 and reader.count() == 2  # who read the version before can go on
+    half = tmp_path / "runs" / "000000000009-x"
+    half.mkdir()  # a writer that was lost
+    assert snapshots.versions(spark, str(tmp_path), "runs") == [first, second]
+    third = snapshots.commit(runs, str(tmp_path), "runs")
+    assert snapshots.versions(spark, str(tmp_path), "runs") == [second, third] and not half.exists()
 
 
 def test_context(spark):

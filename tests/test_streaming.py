@@ -42,10 +42,26 @@ def test_late_rows_and_duplicates(spark, tmp_path):
 
 
 def test_upserts(spark, tmp_path):
-    schema = "user_id bigint, event_id bigint, ts timestamp"
-    write(spark, [(1, 1, dt.datetime(2026, 1, 1)), (1, 3, dt.datetime(2026, 1, 2)), (2, 2, None)], schema, tmp_path / "in")
-    rows = events.event_stream(spark, str(tmp_path / "in")).select("user_id", "event_id").withColumn("order", F.col("event_id"))
-    assert {(r.user_id, r.event_id) for r in events.upserts(spark, rows, ["user_id"], "order")().collect()} == {(1, 3), (2, 2)}
+    """A stream that is stopped goes on with its state, also after the changes were folded and after a writer was lost."""
+    schema, folder = "user_id bigint, event_id bigint, ts timestamp", f"{tmp_path}/state"
+    batches = [[(1, 1, None), (1, 3, None), (2, 2, None)], [(1, 2, None), (3, 9, None)], [(2, 8, None)], [(2, 7, None), (4, 1, None)]]
+    want = {}
+    for n, batch in enumerate(batches):
+        write(spark, batch, schema, tmp_path / "in")
+        rows = events.event_stream(spark, str(tmp_path / "in")).select("user_id", "event_id").withColumn("order", F.col("event_id"))
+        got = events.upserts(rows, ["user_id"], "order", folder, fold_after=3)
+        want = {u: max(e, want.get(u, 0)) for u, e in [*want.items(), *((u, e) for u, e, _ in batch)] if e >= want.get(u, 0)}
+        assert {(r.user_id, r.event_id) for r in got.collect()} == set(want.items())
+        if n == 1:
+            (tmp_path / "state" / "changes" / "000000000099").mkdir()
+
+
+def test_complete_results_lie_in_the_folder(spark, tmp_path):
+    schema = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double"
+    for n in (1, 2):
+        write(spark, [(n, dt.datetime(2026, 1, 1, 3), 1, "view", 2.0)], schema, tmp_path / "in")
+        got = events.run_to_table(events.windows(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))), "complete", f"{tmp_path}/out")
+        assert [(r.n, r.total) for r in got.collect()] == [(n, 2.0 * n)]
 
 
 def test_sitemap_indexes(spark):

@@ -33,19 +33,20 @@ def test_small_sets_are_exact(spark):
     rows = [(i, AT, True, v) for i, v in vectors.items()]
     rows += [("p000", AT - dt.timedelta(1), True, [1.0] * 8), ("p001", None, True, [1.0] * 8), ("off", AT, False, [1.0] * 8), ("off2", AT, None, [1.0] * 8), ("zero", AT, True, [0.0] * 8), ("nan", AT, True, [float("nan")] * 8), ("inf", AT, True, [float("inf")] + [1.0] * 7), ("short", AT, True, [1.0]), ("none", AT, True, None), ("part", AT, True, [None] + [1.0] * 7), (None, AT, True, [1.0] * 8), ("was", AT, True, [1.0] * 8), ("was", AT + dt.timedelta(1), False, [1.0] * 8)]
     df = spark.createDataFrame(rows + rows[:3], POINT).withColumn("row", F.lit(1)).withColumn("same", F.lit("x")).withColumn("no", F.lit(0))
-    got = {r.point_id: [x.point_id for x in r.near] for r in neighbors.most_similar(df, k=5, dim=8, probes=99).collect()}
+    got = {r.point_id: [x.point_id for x in r.near] for r in neighbors.most_similar(df, k=5, dim=8, posts=99, asks=99, small=8, rerank=99).collect()}
     assert got == brute_neighbors(vectors, 5)
-    pairs = neighbors.similar_pairs(neighbors.most_similar(df, k=5, dim=8, probes=99)).collect()
+    pairs = neighbors.similar_pairs(neighbors.most_similar(df, k=5, dim=8, posts=99, asks=99, small=8, rerank=99)).collect()
     assert {(r.point_id_a, r.point_id_b) for r in pairs} == {tuple(sorted((a, b))) for a, bs in got.items() for b in bs}
 
 
-@pytest.mark.parametrize("rerank", [1024, 40])
-def test_recall(spark, rerank):
+@pytest.mark.parametrize("how", [{}, {"rerank": 60, "max_pivots": 40}, {"flat": 8, "max_pivots": 400, "rerank": 80}, {"file_rows": 50}])
+def test_recall(spark, how):
+    """As it is run; with files of five times the rerank budget and more; with pivots on two levels; with files that are dealt to several tasks."""
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(60, 32))
     vectors = {f"p{i:05}": (centres[i % 60] + 0.4 * rng.normal(size=32)).astype(np.float32).tolist() for i in range(3000)}
     df = spark.createDataFrame([(i, AT, True, v) for i, v in vectors.items()], POINT)
-    got = {r.point_id: {x.point_id for x in r.near} for r in neighbors.most_similar(df, dim=32, rerank=rerank).collect()}
+    got = {r.point_id: {x.point_id for x in r.near} for r in neighbors.most_similar(df, dim=32, **how).collect()}
     want = brute_neighbors(vectors, 10)
     assert all(len(x) == 10 for x in got.values())
     assert sum(len(got[i] & set(w)) for i, w in want.items()) >= 0.9 * 10 * len(want)
@@ -61,7 +62,7 @@ def test_multiples_and_ties(spark, rerank):
         vectors[i] = (vectors["p0007"] * np.float32([0.25, 3, 0.1, 7.3][n % 4] + (n // 4 if n % 4 > 1 else 0))).astype(np.float32)
     vectors = {i: v.tolist() for i, v in vectors.items()}
     df = spark.createDataFrame([(i, AT, True, v) for i, v in vectors.items()], POINT)
-    got = {r.point_id: [x.point_id for x in r.near] for r in neighbors.most_similar(df, dim=16, probes=99, rerank=rerank, max_pivots=3).collect()}
+    got = {r.point_id: [x.point_id for x in r.near] for r in neighbors.most_similar(df, dim=16, posts=99, asks=99, small=8, rerank=rerank, max_pivots=3).collect()}
     want = brute_neighbors(vectors, 10)
     assert {i: got[i] for i in multiples} == {i: want[i] for i in multiples}
     assert rerank < 600 or got == want  # fewer are ranked by their pivots, but all that tie are kept
@@ -70,9 +71,30 @@ def test_multiples_and_ties(spark, rerank):
 def test_the_first_of_ties_win():
     assert neighbors.first_best(np.array([[0.5, 1, 0.5, 1, 0.5], [1, 1, 1, 1, 1.0]]), 3).tolist() == [[0, 1, 3], [0, 1, 2]]
     x = np.tile(np.eye(8, dtype=np.float32)[:1], (90, 1)) * np.linspace(1, 9, 90, dtype=np.float32)[:, None]
-    orders = np.zeros((90, 2), np.int16) + [0, 1]
-    best, cos = next(neighbors.file_ranks((x, orders), (x, orders), 12, 20))
-    assert (np.sort(best, axis=1) == np.arange(12)).all() and (cos == 1).all()
+    rows = (np.arange(90), x, np.zeros((90, 2), np.int32) + [0, 1])
+    for rerank in (20, 2):  # all tie in footrule, so all are reranked
+        for q, best, cos in neighbors.file_ranks(rows, rows, 0, 12, 2, 2, rerank):
+            assert sorted(best) == [i for i in range(13) if i != q][:12] and (cos == 1).all()
+
+
+def test_files_rank_by_footrule():
+    """Members whose orders are far from the query's are not reranked, and a pair is ranked in the file of the query's nearest shared pivot only."""
+    x = np.eye(4, dtype=np.float32)
+    members = (np.arange(4), x, np.array([[0, 1, 2], [0, 1, 2], [0, 2, 1], [3, 0, 4]], np.int32))
+    query = (np.array([9]), x[3:], np.array([[0, 1, 2]], np.int32))
+    near = lambda file, rerank, q=query, **kw: {int(i) for _, best, _ in neighbors.file_ranks(members, q, file, 9, 2, 2, rerank) for i in best}
+    assert near(0, 9) == {0, 1, 2, 3} and near(0, 2) == {0, 1} and near(0, 1) == {0, 1} and near(0, 3) == {0, 1, 2}
+    assert near(1, 9) == set()  # all that are posted under 1 are met under 0
+    assert near(0, 9, (np.array([9]), x[3:], np.array([[1, 0, 2]], np.int32))) == {2, 3}
+
+
+def test_near_pivots_on_two_levels():
+    rng = np.random.default_rng(3)
+    x = neighbors.directions(rng.normal(size=(3000, 16)) + 3 * np.eye(16)[rng.integers(0, 16, 3000)]).astype(np.float32)
+    flat, two = neighbors.NearPivots(x[:1500], 8, 9999)(x), neighbors.NearPivots(x[:1500], 8, 10)(x)
+    assert np.mean([len(np.intersect1d(a, b)) for a, b in zip(flat, two)]) > 7
+    group = neighbors.groups_of_files(x[:100], 8)
+    assert sorted(np.unique(group)) == list(range(group.max() + 1)) and np.bincount(group).max() <= 8
 
 
 def test_small_sets_are_exact_as_they_are_run(spark):

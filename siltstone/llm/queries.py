@@ -90,16 +90,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_units(spark: SparkSession, d: str) -> DataFrame:
-    names = main_content.site_names(table(spark, d, "sources"))
-    texts = main_content.text_units(table(spark, d, "extract_results"), names).withColumn("record_table", F.lit("extract_results"))
-    pages = main_content.page_units(table(spark, d, "fetch_results"), names).withColumn("record_table", F.lit("fetch_results"))
+    texts = main_content.text_units(table(spark, d, "extract_results")).withColumn("record_table", F.lit("extract_results"))
+    pages = main_content.page_units(table(spark, d, "fetch_results")).withColumn("record_table", F.lit("fetch_results"))
     return texts.unionByName(pages)
 
 
 def p6_content(spark: SparkSession, d: str) -> DataFrame:
-    names = main_content.site_names(table(spark, d, "sources"))
-    texts = main_content.own_text(table(spark, d, "extract_results"), names, "text").withColumn("record_table", F.lit("extract_results"))
-    return texts.unionByName(main_content.own_text(table(spark, d, "fetch_results"), names, "page").withColumn("record_table", F.lit("fetch_results")))
+    texts = main_content.own_text(table(spark, d, "extract_results"), "text").withColumn("record_table", F.lit("extract_results"))
+    return texts.unionByName(main_content.own_text(table(spark, d, "fetch_results"), "page").withColumn("record_table", F.lit("fetch_results")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_lines, p2_sequences, p2_clean, p4_found, p4_clean, p5_found, p6_found, p6_units, p6_content, p7_found, p7_groups, p8_ids, p9_containers, p10_found, p10_shares, p10_perplexity)}

@@ -178,41 +178,61 @@ y = 2</pre><ul><li>First entry of the list</li><li>Second</li></ul><aside class=
 
 def test_page_units():
     page = dom.Page(dom.decode(PAGE.encode()))
-    own = main_content.own_units(page, main_content.Points([]))
     assert [t.strip()[:20] for t in page.texts] == ["Home", "Docs", "Working with caches", "A cache holds n entr", "Was this page helpfu", "Yes", "x = 1\n\ny = 2", "First entry of the l", "Second", "Hold the lock while ", "Copyright 2020", "Imprint"]
-    assert own == [False, False, True, True, False, False, True, True, True, True, False, False]
+    own = [False, False, True, True, False, False, True, True, True, True, False, False]
+    assert main_content.own_units(page, frozenset([4])) == own  # the question and its answers are a group with few points
+    notice = dom.Page("<main><p>A cache holds entries, and the oldest leaves.</p><div>We use cookies, for more.</div><p>Read on, in peace, here.</p></main>")
+    assert main_content.own_units(notice) == [True, True, True] and main_content.own_units(notice, frozenset([1])) == [True, False, True]
 
 
 def test_text_blocks():
     text = "Home / Guides / Caches\n\n# Caches\n\nA cache holds entries, and the oldest leaves.\n\n- Contents\n- Caches\n\n```\nHome\n\nDocs\n```\n\nget_entry | old cache | 3 rows\nput_entry | new cache | 4 rows\n\nWritten by the Acme crew on 2020-01-01\nMore of the page stands here, in a sentence.\n\nPrivacy | Terms | Imprint\n\n[Prev: A](/a) | [Next: B](/b)\n\nGet Acme now"
-    assert main_content.own_blocks(text, main_content.Points(["Acme"])) == [False, True, True, False, True, True, True, False, False, False]
+    assert main_content.own_blocks(text) == [False, True, True, False, True, True, True, False, False, False]
 
 
 def test_texts_are_scored_as_trees():
-    points = main_content.Points(["Acme"])
-    # names and phrases lower points, whatever the length of the line
     content = "The cache of Acme holds entries, keeps them in order, and drops the oldest one when there is no room left for another."
     notice = "This material is provided as is, and Acme gives no warranty."
-    assert main_content.own_blocks(f"# Caches\n\n{content}\n\n{notice}", points) == [True, True, False]
-    assert points(content) < points(content.replace("Acme", "it")) and points.notice(notice) and not points.notice(content)
+    text = f"# Caches\n\n{content}\n\n{notice}"
+    assert main_content.own_blocks(text) == [True, True, True] and main_content.own_blocks(text, frozenset([4])) == [True, True, False]
     # a section with far fewer points than the best one keeps what is no link
     long = "A cache holds entries, keeps them in order, and drops the oldest one when there is no room left for another. " * 6
     links = "See also [the page on sizes](/a), [the index](/b), for more."
-    text = f"{links}\n\n# Caches\n\n{long}\n\n## More\n\nThe last entry leaves first."
-    assert main_content.own_blocks(text, points) == [False, True, True, True, True]
+    assert main_content.own_blocks(f"{links}\n\n# Caches\n\n{long}\n\n## More\n\nThe last entry leaves first.") == [False, True, True, True, True]
     # the same block stays where it stands in the container
-    assert main_content.own_blocks(links, points) == [True]
+    assert main_content.own_blocks(links) == [True]
+
+
+TEXTS = "extract_id bigint, source_id string, extracted_text string"
+
+
+@pytest.mark.parametrize("most_shared", [100, 0])
+def test_repeated_lines_have_no_points(spark, most_shared):
+    """A notice that reads like a sentence is known by its repetition within its source; copies of a page are one page. Both ways of sending the repeated lines."""
+    own = [f"# Page\n\nThe {w} cache holds entries, keeps them in order, and drops the oldest.\n\nWe keep cookies, as you may know, since {i}." for i, w in enumerate("red green blue grey pink white black brown".split())]
+    rows = [(i, "s", x) for i, x in enumerate(own)] + [(100 + i, "s", own[0]) for i in range(30)]  # most rows are copies of one page
+    rows += [(200, "t", own[0]), (201, None, own[0])] + [(300 + i, "u", own[0]) for i in range(9)] + [(400, "s", None), (401, "s", "")]
+    df = spark.createDataFrame(rows, TEXTS).withColumn("shared", F.lit(1)).withColumn("page", F.lit("x"))
+    got = {}
+    for r in main_content.text_units(df, most_shared=most_shared).collect():
+        got.setdefault(r.record_id, {})[r.unit_no] = r.own
+    assert all(got[i] == {0: True, 1: True, 2: False} for i in (*range(8), *range(100, 130)))
+    assert all(got[i] == {0: True, 1: True, 2: True} for i in (200, 201, *range(300, 309))) and 400 not in got
+    kept = {r.record_id: r.content for r in main_content.own_text(df, "text", most_shared=most_shared).collect()}
+    assert kept[3] == "\n\n".join(own[3].split("\n\n")[:2]) and kept[200] == own[0] and kept[400] is None and kept[401] == ""
 
 
 def test_unit_rows(spark):
-    texts = spark.createDataFrame([(1, "# A\n\nHome | Docs"), (2, None), (3, ""), (4, "x" * 100000)], "extract_id bigint, extracted_text string").withColumn("own", F.lit(1))
-    assert sorted((r.record_id, r.unit_no, r.own) for r in main_content.text_units(texts, []).collect() if r.record_id < 4) == [(1, 0, True), (1, 1, False)]
-    pages = spark.createDataFrame([(1, bytearray(PAGE.encode())), (2, None), (3, bytearray(b"")), (4, bytearray(b"\xff<<p")), (5, bytearray(b"<div><a href=x>Home</a></div>"))], "fetch_id bigint, body binary")
-    got = main_content.page_units(pages, []).collect()
+    texts = spark.createDataFrame([(1, "s", "# A\n\nHome | Docs"), (2, "s", None), (3, "s", ""), (4, None, "x" * 100000)], TEXTS).withColumn("own", F.lit(1))
+    assert sorted((r.record_id, r.unit_no, r.own) for r in main_content.text_units(texts).collect() if r.record_id < 4) == [(1, 0, True), (1, 1, False)]
+    pages = spark.createDataFrame([(1, "s", bytearray(PAGE.encode())), (2, "s", None), (3, "s", bytearray(b"")), (4, "s", bytearray(b"\xff<<p")), (5, None, bytearray(b"<div><a href=x>Home</a></div>"))], "fetch_id bigint, source_id string, body binary")
+    got = main_content.page_units(pages).collect()
     assert sum(r.record_id == 1 for r in got) == 12 and [r.own for r in got if r.record_id == 5] == [False]
-    assert main_content.text_units(texts.where("false"), []).count() == 0
-    kept = {r.record_id: r.content for r in main_content.own_text(pages, [], "page").collect()}
+    assert main_content.text_units(texts.where("false")).count() == 0
+    kept = {r.record_id: r.content for r in main_content.own_text(pages, "page").collect()}
     assert kept[1].startswith("Working with caches\nA cache holds n entries") and kept[2] is None and kept[3] == ""
+    deep = spark.createDataFrame([(1, "s", bytearray(b"<div>" * 5000 + b"<p>A sentence stands here, deep down.</p>"))], "fetch_id bigint, source_id string, body binary")
+    assert [r.own for r in main_content.page_units(deep).collect()] == [True]
 
 
 # --- 8

@@ -2,14 +2,14 @@
 
 Method: composite text density. A text becomes a tree: HTML elements nest, and every other piece of markup is a leaf that counts as a tag; links
 count as link tags with link characters. Each node has the density (characters / tags), lowered by the share of links, of its subtree; the densities of
-its children are added up. The subtree with the largest sum is selected, the smallest density on the path from it up to the body is the threshold, and
-HTML subtrees below the threshold that consist of links are left out. The kinds of a text are the kinds of the tags counted in its tree.
+its children are added up. The subtree with the largest sum is selected and stays whole; the smallest density on the path from it up to the body is the threshold, and
+outside the selected subtree HTML elements below it that consist of links are left out. The kinds of a text are the kinds of the tags counted in its tree.
 
 What counts is outside fences and inline code. The form that the tables' own texts have is no markup: `#` headings, plain items, `>` quotes, rows
 `a | b` without a rule, fences and inline code. Formulas count as LaTeX and stay as they are.
 
 Defined results: null and empty texts have no row; a text without markup comes back unchanged with no kinds; a fence that is never closed
-reaches to the end.
+reaches to the end. Rows with the same key come out one by one.
 """
 
 from __future__ import annotations
@@ -110,19 +110,24 @@ def measure(root: Element) -> None:
             node.parent.total += node.density
 
 
-def threshold(root: Element) -> float:
-    """The smallest density on the path from the node with the largest sum of child densities up to the body."""
+def select(root: Element) -> tuple[set[int], float]:
+    """(the elements of the selected subtree by id, threshold): the subtree of the node with the largest sum of child densities, and the smallest density on
+    the path from that node up to the body."""
     best, todo = root, [root]
     while todo:
         node = todo.pop()
         if node.total > best.total:
             best = node
         todo += [p for p in node.parts if isinstance(p, Element)]
-    least = best.density
+    inside, todo, least = set(), [best], best.density
+    while todo:
+        node = todo.pop()
+        inside.add(id(node))
+        todo += [p for p in node.parts if isinstance(p, Element)]
     while best.parent is not None:
         best = best.parent
         least = min(least, best.density)
-    return least
+    return inside, least
 
 
 def marks(text: str) -> list[tuple[int, int, str, bool, str]]:
@@ -212,44 +217,54 @@ def kinds_of(root: Element) -> list[str]:
     return [k for k in KINDS if k in found]
 
 
-def render(node: Element, least: float) -> str:
-    """Clean text of a tree: headings, items, rows, code and images' texts in the tables' own form."""
-    out = []
-    for part in node.parts:
-        if isinstance(part, str):
-            out.append(part)
-            continue
-        if part.source is not None:
-            out.append(part.source)
-            continue
-        name = part.name
-        if name in ("script", "style", "head", "noscript", "template"):
-            continue
-        if name in BREAKS and part.density < least and part.link_chars > 0.5 * part.chars > 0:
-            continue  # a group of links below the threshold
-        if name == "br":
-            out.append("\n")
-        elif name == "img":
-            alt = re.search(r"""\balt\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", part.attrs, re.I)
-            out.append(html.unescape(alt[1].strip("\"'")) if alt else "")
-        elif name == "tr":
-            cells = [" ".join(render(c, least).split()) for c in part.parts if isinstance(c, Element) and c.name in ("td", "th")]
-            out.append("\n" + " | ".join(cells) + "\n")
-        else:
-            inner = render(part, least)
-            if re.fullmatch(r"h[1-6]", name):
-                out.append(f"\n\n{'#' * int(name[1])} {' '.join(inner.split())}\n\n")
-            elif name == "li":
-                out.append(f"\n- {inner.strip()}\n")
-            elif name == "pre":
-                out.append(f"\n```\n{inner.strip(chr(10))}\n```\n")
-            elif name in ("code", "kbd", "samp") and inner.strip() and "`" not in inner:
-                out.append(f"`{inner}`")
-            elif name in BREAKS:
-                out.append(f"\n{inner}\n")
+def render(root: Element) -> str:
+    """Clean text of a measured tree: headings, items, rows, code and images' texts in the tables' own form.
+
+    The selected subtree stays whole; outside it, groups of links below the threshold are left out. Elements are written from the innermost outwards, without recursion.
+    """
+    selected, least = select(root)
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [p for p in node.parts if isinstance(p, Element)]
+    inner: dict[int, str] = {}
+    for node in reversed(order):
+        out = []
+        for part in node.parts:
+            if isinstance(part, str):
+                out.append(part)
+            elif part.source is not None:
+                out.append(part.source)
+            elif part.name in BREAKS and id(part) not in selected and part.density < least and part.link_chars > 0.5 * part.chars > 0:
+                continue  # a group of links outside the selected subtree
             else:
-                out.append(inner)
-    return "".join(out)
+                out.append(written(part, inner))
+        inner[id(node)] = "".join(out)
+    return inner[id(root)]
+
+
+def written(e: Element, inner: dict[int, str]) -> str:
+    """An element in the tables' own form, given what it and its children hold."""
+    name, text = e.name, inner[id(e)]
+    if name in ("script", "style", "head", "noscript", "template"):
+        return ""
+    if name == "br":
+        return "\n"
+    if name == "img":
+        alt = re.search(r"""\balt\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", e.attrs, re.I)
+        return html.unescape(alt[1].strip("\"'")) if alt else ""
+    if name == "tr":
+        return "\n" + " | ".join(" ".join(inner[id(c)].split()) for c in e.parts if isinstance(c, Element) and c.name in ("td", "th")) + "\n"
+    if re.fullmatch(r"h[1-6]", name):
+        return f"\n\n{'#' * int(name[1])} {' '.join(text.split())}\n\n"
+    if name == "li":
+        return f"\n- {text.strip()}\n"
+    if name == "pre":
+        return f"\n```\n{text.strip(chr(10))}\n```\n"
+    if name in ("code", "kbd", "samp") and text.strip() and "`" not in text:
+        return f"`{text}`"
+    return f"\n{text}\n" if name in BREAKS else text
 
 
 def _markdown(m: re.Match) -> str:
@@ -340,7 +355,7 @@ def clean(text: str) -> tuple[list[str], str]:
                 return x
             top = root if x == body else tree(x)
             measure(top)
-            return render(top, threshold(top))
+            return render(top)
 
         whole = settled(whole, plain)  # escaped tags become tags, which are taken out in turn
     if "wiki" in kinds:

@@ -74,7 +74,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_clean(spark: SparkSession, d: str) -> DataFrame:
-    return _p4(spark, d).select("record_table", "record_id", F.concat_ws(" ", "kinds").alias("kinds"), "clean_text").dropDuplicates(["record_table", "record_id"])
+    return _p4(spark, d).select("record_table", "record_id", F.concat_ws(" ", "kinds").alias("kinds"), "clean_text")
 
 
 def _p4(spark: SparkSession, d: str) -> DataFrame:

@@ -154,6 +154,31 @@ def test_groups_of_marked_links_are_left_out():
     assert "Guides" in markup.clean(f"<div>Guides tell how to do it, step by step. [Home](/a)</div>{content}")[1]
 
 
+def test_deep_and_wide_trees():
+    assert markup.clean("<div>" * 20000 + "deep")[1] == "deep"
+    assert markup.clean("<b>" * 3000 + "x" + "</b>" * 3000 + " y") == (["html"], "x y")
+    assert markup.clean("\\textbf{" * 200 + "x" + "}" * 200)[1] == "x"
+    assert markup.clean("<ul>" + "<li>a</li>" * 5000 + "</ul>")[1].count("- a") == 5000
+
+
+def test_the_selected_subtree_stays_whole():
+    items = "".join(f"<li><a href='/{i}'>Entry number {i}, which is described there, at length</a></li>" for i in range(9))
+    text = f"<div><p>Short.</p></div><div><ul>{items}</ul></div><div><a href='/h'>Home</a> <a href='/d'>Docs</a></div>"
+    root = markup.tree(text)
+    markup.measure(root)
+    inside, least = markup.select(root)
+    best = max((x for x in walk(root)), key=lambda e: e.total)
+    assert id(best) in inside and {id(x) for x in walk(best)} == inside and least <= best.density
+
+
+def walk(root):
+    todo = [root]
+    while todo:
+        e = todo.pop()
+        yield e
+        todo += [p for p in e.parts if isinstance(p, markup.Element)]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/ab*_[]()|={}'\\$`~&;!-:^ \n\x00", max_size=80))
 def test_clean_never_fails(text):

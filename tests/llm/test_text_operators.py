@@ -3,13 +3,14 @@
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siltstone.llm import dom, main_content, markup, repetition, shared_lines, split, tokens
-from siltstone.llm.words import TOKEN
+from siltstone.llm.words import TOKEN, WordHash
 
 # --- 1
 
@@ -325,6 +326,14 @@ def test_perplexity(spark):
     assert len(got) == len(docs) and got[60].lang == "en" and got[61].perplexity is None and got[62].n_words == 0
     assert got[60].perplexity < min(got[i].perplexity for i in range(60)) and got[60].rejected
     rows = df.select("text", F.hash(repetition.language()).alias("lang"))
-    sums = repetition.log_probabilities(rows).groupBy("uv").agg(F.sum(F.exp("logp")).alias("p"))
-    assert 0.5 < sums.agg(F.max("p")).first()[0] <= 1 + 1e-9
+    lang = next(r.lang for r in rows.collect() if r.text and r.text.startswith("wa wb"))
+    known = WordHash()
+    vocabulary = [repetition.opened(w, lang, known)[2] for w in words]
+    for cut, kept in ((0.0, len({h for _, x, t in docs if x and x.lower().strip() == "en" and t for h in zip(["", "", *t.split()], ["", *t.split()], t.split())}) + 3), (2e-3, None)):
+        model = repetition.train(rows, cut)
+        assert len(model.three[0].keys) == kept if kept else 0 < len(model.three[0].keys) <= 1 / cut
+        for context in ([1, 1], "wa wb", "wx wq", "never seen"):
+            u, v = [np.uint64(x) ^ np.uint64(lang & 0xFFFFFFFF) for x in context] if isinstance(context, list) else repetition.opened(context, lang, known)[2:4]
+            ps = [float(np.exp(model.log_probabilities(np.array([u, v, w], np.uint64), lang))[0]) for w in [*vocabulary, np.uint64(12345)]]
+            assert min(ps) > 0 and sum(ps) == pytest.approx(1)
     assert repetition.perplexities(df.where("false")).count() == 0

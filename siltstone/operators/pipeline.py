@@ -44,7 +44,7 @@ def pages_to_chunks(pages: DataFrame, sources: DataFrame, known: DataFrame) -> D
     """
     good = html_extract.extract_pages(pages).where("reason = 'ok'").join(sources.select("source_id", "display_name"), "source_id")
     fresh = good.join(known.select("document_id", F.col("indexed_sha256").alias("extracted_sha256")), ["document_id", "extracted_sha256"], "left_anti")
-    titled = fresh.withColumn("title", T.page_title(F.col("raw_title"), F.col("display_name")))
+    titled = fresh.withColumn("title", T.document_title(F.col("extracted_text"), T.page_title(F.col("raw_title"), F.col("display_name"))))
     return chunking.chunk_documents(titled.select("document_id", "source_id", "display_name", "canonical_url", "title", "extracted_text", "extracted_sha256"))
 
 

@@ -203,7 +203,7 @@ def html_links(spark: SparkSession, d: str) -> DataFrame:
 def html_main_text(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "fetch_results").select(F.col("fetch_id").alias("record_id"), "source_id", "canonical_url", "body")
     found = html_extract.extract_pages(pages).join(table(spark, d, "sources").select("source_id", "display_name"), "source_id", "left")
-    return found.select("record_id", "document_id", "reason", T.page_title(F.col("raw_title"), F.coalesce("display_name", F.lit(""))).alias("title"), "extracted_text", "extracted_sha256", F.size("heading_outline").alias("n_headings"))
+    return found.select("record_id", "document_id", "reason", T.document_title(F.col("extracted_text"), T.page_title(F.col("raw_title"), F.coalesce("display_name", F.lit("")))).alias("title"), "extracted_text", "extracted_sha256", F.size("heading_outline").alias("n_headings"))
 
 
 @query(f"select source_id, true as ok, false as is_index, canonical_url as url from {NEWEST}")
@@ -424,12 +424,42 @@ def catalog_upsert(spark: SparkSession, d: str) -> DataFrame:
     return merged.select("source_id", "canonical_url", "discovered_from", "fetch_status", "last_seen_run_id", F.col("consecutive_missing_success_runs").alias("misses"), "is_in_corpus")
 
 
-@query(f"""with b as (select source_id, canonical_url, count(*)::int as n, arg_max(ok, (fetched_at, ok, fetch_id)) as last_ok, arg_max(status, (fetched_at, ok, fetch_id)) as last_status from fetch_results where fetched_at is not null group by all)
-  select c.source_id, c.canonical_url, coalesce(attempt_count, 0) + coalesce(n, 0) as attempt_count, coalesce(last_status, fetch_status) as fetch_status from {NEWEST} c left join b on c.source_id = b.source_id and c.canonical_url = b.canonical_url""")
+@query(f"""with f as (select *, row_number() over (partition by source_id, canonical_url order by fetched_at desc nulls last, fetch_id desc) as r, count(*) over (partition by source_id, canonical_url) as n from fetch_results),
+  b as (select * from f where r = 1), s as (select * from f where coalesce(ok, false) qualify row_number() over (partition by source_id, canonical_url order by r) = 1),
+  h as (select * from f where coalesce(ok, false) or http_status is not null qualify row_number() over (partition by source_id, canonical_url order by r) = 1)
+  select c.source_id, c.canonical_url, (coalesce(c.attempt_count, 0) + coalesce(b.n, 0))::int as attempt_count, case when b.r is null then c.fetch_status when coalesce(b.ok, false) then 'fetched' else coalesce(b.status, 'failed') end as fetch_status,
+    case when h.r is not null then h.http_status else c.http_status end as http_status, case when s.r is not null then s.etag else c.etag end as etag, case when s.r is not null then s.size_bytes else c.size_bytes end as size_bytes,
+    case when s.r is not null then sha256(s.body) else c.content_sha256 end as content_sha256, case when b.r is null then c.error_type when coalesce(b.ok, false) then null else b.error_type end as error_type,
+    strftime(coalesce(s.fetched_at, c.last_success_at), '%Y-%m-%d %H:%M:%S') as last_success, case when b.r is null then c.last_touched_run_id else b.run_id end as last_touched_run_id
+  from {NEWEST} c left join b using (source_id, canonical_url) left join s using (source_id, canonical_url) left join h using (source_id, canonical_url)""")
 def catalog_fetches(spark: SparkSession, d: str) -> DataFrame:
-    fetched = table(spark, d, "fetch_results").where("fetched_at is not null").select("source_id", "canonical_url", "ok", "status", "http_status", "error_type", F.struct("fetched_at", "ok", "fetch_id").alias("at"))
-    batch = fetched.groupBy(*catalog.KEY).agg(F.count("*").cast("int").alias("n"), F.max_by("status", "at").alias("last_status"))
-    return newest(spark, d).join(batch, catalog.KEY, "left").select(*catalog.KEY, (F.coalesce("attempt_count", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("attempt_count"), F.coalesce("last_status", "fetch_status").alias("fetch_status"))
+    rows = table(spark, d, "fetch_results").select(*catalog.KEY, "run_id", "ok", "status", "http_status", "etag", "last_modified", "content_type", "size_bytes", F.sha2("body", 256).alias("content_sha256"), "error_type", "error_message", F.struct("fetched_at", "fetch_id").alias("at"))
+    done = catalog.record_fetches(newest(spark, d), rows)
+    return done.select(*catalog.KEY, "attempt_count", "fetch_status", "http_status", "etag", "size_bytes", "content_sha256", "error_type", F.date_format("last_success_at", "yyyy-MM-dd HH:mm:ss").alias("last_success"), "last_touched_run_id")
+
+
+@query(f"""with e as (select *, sha256(extracted_text) as h from extract_results where ok and source_id is not null and canonical_url is not null),
+  m as (select source_id, h, min(document_id) as first from e group by all),
+  x as (select e.*, nullif(m.first, e.document_id) as dup from e join m using (source_id, h)),
+  b as (select * from x qualify row_number() over (partition by source_id, canonical_url order by extracted_at desc nulls last, run_id desc nulls last, h desc, dup desc nulls last) = 1)
+  select c.source_id, c.canonical_url, case when b.h is null then c.extracted_sha256 else b.h end as extracted_sha256, case when b.h is null then c.chunker_version else 'heading-v1' end as chunker_version,
+    case when b.h is null then c.duplicate_of else b.dup end as duplicate_of, case when b.h is null then c.last_touched_run_id else b.run_id end as last_touched_run_id from {NEWEST} c left join b using (source_id, canonical_url)""")
+def catalog_extractions(spark: SparkSession, d: str) -> DataFrame:
+    """Good extractions recorded, with the first document of the same text in their source."""
+    good = table(spark, d, "extract_results").where("ok and source_id is not null and canonical_url is not null").select(*catalog.KEY, "document_id", "run_id", "extracted_at", ids.sha256_text(F.col("extracted_text")).alias("extracted_sha256"))
+    same = catalog.exact_duplicates(good, ["source_id", "extracted_sha256"], ["document_id"])
+    done = catalog.record_extractions(newest(spark, d), same.withColumn("chunker_version", F.lit(ids.CHUNKER_VERSION)).withColumn("at", F.col("extracted_at")))
+    return done.select(*catalog.KEY, "extracted_sha256", "chunker_version", "duplicate_of", "last_touched_run_id")
+
+
+@query(f"""with b as (select source_id, canonical_url, max((extracted_sha256, chunker_version)) as r from document_chunks where extracted_sha256 is not null and chunker_version is not null group by all)
+  select c.source_id, c.canonical_url, case when b.r is null then c.indexed_sha256 else r[1] end as indexed_sha256, case when b.r is null then c.indexed_chunker_version else r[2] end as indexed_chunker_version
+  from {NEWEST} c left join b using (source_id, canonical_url)""")
+def catalog_indexing(spark: SparkSession, d: str) -> DataFrame:
+    """The pages whose chunks there are, recorded as indexed."""
+    rows = table(spark, d, "document_chunks").where("extracted_sha256 is not null and chunker_version is not null").select(*catalog.KEY, "extracted_sha256", "chunker_version").distinct()
+    done = catalog.record_indexing(newest(spark, d), rows.withColumn("run_id", F.lit("run")).withColumn("at", F.lit(None).cast("timestamp")))
+    return done.select(*catalog.KEY, "indexed_sha256", "indexed_chunker_version")
 
 
 @query(rf"""with f as (select {CLEAN.format('extracted_sha256')} as e, {CLEAN.format('chunker_version')} as v, {CLEAN.format('indexed_sha256')} as i, {CLEAN.format('indexed_chunker_version')} as w from {NEWEST})
@@ -462,10 +492,27 @@ def soft_deletes(spark: SparkSession, d: str) -> DataFrame:
 STATUS_RANK = "case status when 'started' then 0 when 'failed' then 1 else 2 end"
 
 
-@query(f"select id, max_by(status, ({STATUS_RANK})) as status, count(*) as n_rows from ingestion_runs where id is not null group by id")
+def ledger(spark: SparkSession, d: str) -> DataFrame:
+    """The runs, opened once for each id and ended by its rows that tell an end; a success outweighs a failure."""
+    rows = table(spark, d, "ingestion_runs").where("id is not null")
+    starts = rows.groupBy("id").agg(F.min("source_id").alias("source_id"), F.min("started_at").alias("started_at"))
+    ends = rows.where("status != 'started'").groupBy("id").agg(F.bool_or(F.col("status") == "succeeded").alias("succeeded"), F.max("finished_at").alias("finished_at"), F.max("error_message").alias("error_message"))
+    none = spark.createDataFrame([], "id string, source_id string, status string, started_at timestamp, finished_at timestamp, error_message string")
+    return catalog.finish_runs(catalog.open_runs(none, starts), ends)
+
+
+@query(f"select id, min(source_id) as source_id, max_by(status, ({STATUS_RANK})) as status, strftime(max(finished_at) filter (where status <> 'started'), '%Y-%m-%d %H:%M:%S') as finished from ingestion_runs where id is not null group by id")
 def run_ledger(spark: SparkSession, d: str) -> DataFrame:
-    rank = F.when(F.col("status") == "started", 0).when(F.col("status") == "failed", 1).otherwise(2)
-    return table(spark, d, "ingestion_runs").where("id is not null").groupBy("id").agg(F.max_by("status", rank).alias("status"), F.count("*").alias("n_rows"))
+    return ledger(spark, d).select("id", "source_id", "status", F.date_format("finished_at", "yyyy-MM-dd HH:mm:ss").alias("finished"))
+
+
+@query(f"""with r as (select id, max_by(status, ({STATUS_RANK})) as status from ingestion_runs where id is not null group by id),
+  f as (select run_id, count(distinct canonical_url) as urls, count(*) filter (where ok) as fetched, count(*) filter (where not coalesce(ok, false)) as failures from fetch_results group by 1)
+  select id, status, coalesce(urls, 0) as urls, coalesce(fetched, 0) as fetched, coalesce(failures, 0) as failures, round(coalesce(failures / nullif(fetched + failures, 0), 0.0), 6) as failure_ratio, coalesce(failures / nullif(fetched + failures, 0), 0.0) > 0.1 as over_limit,
+    case when status = 'succeeded' then 0 else 1 end as exit_code from r left join f on run_id = id""")
+def run_report(spark: SparkSession, d: str) -> DataFrame:
+    done = catalog.run_report(ledger(spark, d), table(spark, d, "fetch_results").select("run_id", "canonical_url", "ok"))
+    return done.select("id", "status", "urls", "fetched", "failures", "failure_ratio", "over_limit", "exit_code")
 
 
 @query("""select source_id, count(distinct canonical_url) as urls, count(*) filter (where ok) as fetched, count(*) filter (where not ok) as failures, round(avg(case when ok then 0.0 else 1.0 end), 6) as failure_ratio,

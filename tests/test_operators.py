@@ -25,6 +25,34 @@ def test_extraction():
     assert html_extract.extract(b"<main><p>" + b"word " * 60)[0] == "ok"
 
 
+def test_deep_pages_and_nested_lists():
+    deep = b"<main>" + b"<div><b>" * 20000 + b"<p>" + b"text " * 60 + b"</main>"
+    assert html_extract.extract(deep)[2] == ("text " * 60).strip()
+    nested = "<main><ol><li>a<ul><li>b<pre>x</pre></li><li> </li></ul></li><li></li><li>c <a href='/u'>d <b>e</b></a><br>f</li></ol><p>g<ul><li>h</li></ul></p><li>i</li></main>"
+    assert html_extract.extract(nested)[2] == "1. a\n  - b```\n  x\n  ```\n2. c [d e](/u)\nf\n\ngh\n\ni"
+    assert html_extract.language(html_extract.parse("<pre class='x lang-C++ py'></pre>").find("pre")) == "c++"
+
+
+def test_selectors_of_a_source(spark):
+    body = bytearray(b"<main><p>" + b"main text " * 30 + b"</p></main><div id=own><p>" + b"own text " * 30 + b"</p><em>x</em></div>")
+    df = spark.createDataFrame([(1, "a", "u", body), (2, "b", "u", body)], "record_id bigint, source_id string, canonical_url string, body binary")
+    got = {r.record_id: r.extracted_text for r in html_extract.extract_pages(df, {"b": (("#own",), ("em",))}).collect()}
+    assert got[1] == ("main text " * 30).strip() and got[2] == ("own text " * 30).strip()
+
+
+def test_titles(spark):
+    rows = [("# A b \nx", "p", "A b"), ("\n## Sub\n\n# Main", "p", "Main"), ("text\n# A", " p ", "p"), ("## only", "p", "p"), ("#no\n# yes", "p", "yes"), (None, "p", "p"), ("", None, ""), ("# ", "p", "")]
+    df = spark.createDataFrame(rows, "text string, page string, want string")
+    assert all(r.got == r.want for r in df.select("want", T.document_title(F.col("text"), F.col("page")).alias("got")).collect())
+
+
+def test_replies(spark):
+    rows = [(200, '{"choices":[{"message":{"content":"hi"}}]}', "hi", None), (200, '{"choices":[]}', None, "malformed_response"), (200, "x", None, "malformed_response"), (200, '{"choices":[{"message":{"content":" \\n"}}]}', None, "malformed_response"), (429, "{}", None, "rate_limited"), (500, "{}", None, "provider_error"), (None, None, None, "provider_error")]
+    text, error = T.reply_text(F.col("status"), F.col("body"))
+    assert [(r.text, r.error) for r in spark.createDataFrame(rows, "status int, body string, a string, b string").select(text.alias("text"), error.alias("error")).collect()] == [r[2:] for r in rows]
+    assert spark.range(1).select(T.system_prompt()).first()[0].count("\n") == 6
+
+
 def test_chunk_limits():
     long = " ".join(f"tok{i}" for i in range(700))
     assert [chunking.tokens(p) for p in chunking.cut_section(long)] == [400, 300]
@@ -151,14 +179,47 @@ def test_catalog(spark):
     assert (got["b"].last_seen_run_id, got["c"].discovered_from, got["c"].fetch_status) == (None, "z", "pending")
     missed = catalog.soft_delete(catalog.count_missing(old, spark.createDataFrame([("s", "r1")], "source_id string, run_id string")))
     assert {(r.canonical_url, r.misses, r.newly_deleted, r.deleted) for r in missed.collect()} == {("a", 1, False, True), ("b", 1, False, False)}
-    fetched = spark.createDataFrame([("s", "a", False, "failed", None, "timeout", AT), ("s", "a", True, "fetched", 200, None, AT + dt.timedelta(1))], "source_id string, canonical_url string, ok boolean, status string, http_status int, error_type string, at timestamp")
-    more = old.withColumn("http_status", F.lit(500)).withColumn("error_type", F.lit("x")).withColumn("last_success_at", F.lit(None).cast("timestamp"))
-    a = {r.canonical_url: r for r in catalog.record_fetches(more, fetched).collect()}["a"]
-    assert (a.attempt_count, a.fetch_status, a.http_status, a.error_type, a.last_success_at) == (4, "fetched", 200, None, AT + dt.timedelta(1))
+
+
+def outcome(url, minutes, ok, status=None, http=None, etag=None, error=None, run="r2"):
+    at = None if minutes is None else AT + dt.timedelta(minutes=minutes)
+    return ("s", url, run, ok, status, http, etag, None, "text/html", 10, "h", error, error and f"{error}!", at)
+
+
+def test_fetches_are_folded_in_order(spark):
+    old = spark.createDataFrame([("s", u, "fetched", 2, 200, "e0", "x", AT, "mine") for u in "abcdef"], "source_id string, canonical_url string, fetch_status string, attempt_count int, http_status int, etag string, error_type string, last_success_at timestamp, more string")
+    schema = "source_id string, canonical_url string, run_id string, ok boolean, status string, http_status int, etag string, last_modified string, content_type string, size_bytes int, content_sha256 string, error_type string, error_message string, at timestamp"
+    rows = [
+        outcome("a", 1, False, "failed", None, error="timeout"), outcome("a", 2, True, "fetched", 200, "e1"),  # success last
+        outcome("b", 1, True, "fetched", None, "e2"), outcome("b", 2, False, None, None, error="timeout"),  # failure last: validators of the success, its empty HTTP status too
+        outcome("c", 1, False, "gone", 404, error="gone"), outcome("c", 3, False, None, None, error="x"),  # the status known before is kept
+        outcome("d", None, True, "fetched", 200, "e3"), outcome("d", 1, False, "skipped", 500), outcome("e", None, False, None, None), outcome("zzz", 1, True),
+    ]
+    got = {r.canonical_url: r for r in catalog.record_fetches(old, spark.createDataFrame(rows, schema)).collect()}
+    assert set(got) == set("abcdef") and {r.more for r in got.values()} == {"mine"}
+    pick = lambda u: (got[u].attempt_count, got[u].fetch_status, got[u].http_status, got[u].etag, got[u].error_type, got[u].last_success_at)
+    assert pick("a") == (4, "fetched", 200, "e1", None, AT + dt.timedelta(minutes=2))
+    assert pick("b") == (4, "failed", None, "e2", "timeout", AT + dt.timedelta(minutes=1))
+    assert pick("c") == (4, "failed", 404, "e0", "x", AT)
+    assert pick("d") == (4, "skipped", 500, "e3", None, AT) and pick("e") == (3, "failed", 200, "e0", None, AT) and pick("f") == (2, "fetched", 200, "e0", "x", AT)
+    assert got["b"].content_sha256 == "h" and got["f"].content_sha256 is None and got["c"].error_message == "x!"
+
+
+def test_extractions_and_indexing(spark):
+    old = spark.createDataFrame([("s", "a", "h0", "v0", "d", None, None), ("s", "b", None, None, None, "h", "v")], "source_id string, canonical_url string, extracted_sha256 string, chunker_version string, duplicate_of string, indexed_sha256 string, indexed_chunker_version string")
+    rows = spark.createDataFrame([("s", "a", "r1", "h1", "v1", "dup", AT), ("s", "a", "r2", "h2", "v1", None, AT + dt.timedelta(1)), ("s", "a", "r3", "h3", "v1", "y", None)], "source_id string, canonical_url string, run_id string, extracted_sha256 string, chunker_version string, duplicate_of string, at timestamp")
+    got = {r.canonical_url: r for r in catalog.record_indexing(catalog.record_extractions(old, rows), rows.where("run_id = 'r1'")).collect()}
+    a, b = got["a"], got["b"]
+    assert (a.extracted_sha256, a.chunker_version, a.duplicate_of, a.indexed_sha256, a.indexed_chunker_version, a.last_touched_run_id, a.updated_at) == ("h2", "v1", None, "h1", "v1", "r1", AT + dt.timedelta(1))
+    assert (b.extracted_sha256, b.indexed_sha256, b.last_touched_run_id) == (None, "h", None)
 
 
 def test_runs_and_snapshots(spark, tmp_path):
     runs = spark.createDataFrame([("1", "s", AT, "started", None, None), ("2", "s", AT, "failed", AT, "x")], "id string, source_id string, started_at timestamp, status string, finished_at timestamp, error_message string")
+    opened = catalog.open_runs(runs, spark.createDataFrame([("2", "s", AT), ("3", "t", AT)], "id string, source_id string, started_at timestamp"))
+    assert {(r.id, r.status) for r in opened.collect()} == {("1", "started"), ("2", "failed"), ("3", "started")}
+    report = catalog.run_report(opened, spark.createDataFrame([("1", "u", True), ("1", "u", False), ("9", "u", True)], "run_id string, canonical_url string, ok boolean"))
+    assert {(r.id, r.urls, r.fetched, r.failures, r.over_limit, r.exit_code) for r in report.collect()} == {("1", 1, 1, 1, True, 1), ("2", 0, 0, 0, False, 1), ("3", 0, 0, 0, False, 1)}
     ends = spark.createDataFrame([("1", True, AT, None), ("2", True, AT, None)], "id string, succeeded boolean, finished_at timestamp, error_message string")
     assert {(r.id, r.status, r.rejected) for r in catalog.finish_runs(runs, ends).collect()} == {("1", "succeeded", False), ("2", "failed", True)}
     assert not snapshots.exists(spark, str(tmp_path), "runs")

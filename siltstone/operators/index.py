@@ -21,6 +21,18 @@ def check_dimension(points: DataFrame, dim: int = DIM) -> DataFrame:
     return points.withColumn("dimension_ok", F.coalesce(F.size("vector") == dim, F.lit(False)))
 
 
+def require_dimension(points: DataFrame, dim: int = DIM) -> DataFrame:
+    """points; the job fails at a vector of another length, before anything is written."""
+    wrong = F.col("vector").isNotNull() & (F.size("vector") != dim)
+    return points.withColumn("vector", F.when(wrong, F.raise_error(F.concat(F.lit(f"a vector must have {dim} numbers, not "), F.size("vector").cast("string")))).otherwise(F.col("vector")))
+
+
+def set_active(points: DataFrame, chosen: DataFrame, flag: bool) -> DataFrame:
+    """points with is_active set to `flag` for chosen(point_id)."""
+    hit = chosen.select("point_id").distinct().withColumn("_chosen", F.lit(True))
+    return points.join(hit, "point_id", "left").withColumn("is_active", F.when(F.col("_chosen"), F.lit(flag)).otherwise(F.col("is_active"))).drop("_chosen")
+
+
 def stale_points(points: DataFrame, chunks: DataFrame) -> DataFrame:
     """Active points whose chunk is not among chunks(source_id, canonical_url, chunk_index): an anti-join on the identity that the chunk would have."""
     wanted = chunks.select(ids.point_id(ids.chunk_id(F.col("source_id"), F.col("canonical_url"), F.col("chunk_index"))).alias("point_id")).distinct()

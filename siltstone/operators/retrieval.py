@@ -16,28 +16,31 @@ from siltstone.functions.vectors import norm
 BLOCK = 2048
 
 
-def blocks(df: DataFrame, key: str, vector: str, size: int = BLOCK) -> DataFrame:
-    """(ids, vectors): the rows of each task in blocks, vectors as the bytes of float64 at length 1. Vectors of length 0 and nulls are left out."""
+def blocks(df: DataFrame, key: str, vector: str, size: int = BLOCK, group: str | None = None) -> DataFrame:
+    """(g, ids, vectors): the rows of each task in blocks, by `group` if one is given, vectors as the bytes of float64 at length 1. Vectors of length 0 and nulls are left out."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for at in range(0, len(part), size):
-                rows = part.iloc[at : at + size]
-                x = np.stack(rows["v"].to_numpy()).astype(np.float64)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                yield pd.DataFrame({"ids": [rows["id"].to_numpy()], "vectors": [x.tobytes()]})
+            for g, own in part.groupby("g", dropna=False):
+                for at in range(0, len(own), size):
+                    rows = own.iloc[at : at + size]
+                    x = np.stack(rows["v"].to_numpy()).astype(np.float64)
+                    x /= np.linalg.norm(x, axis=1, keepdims=True)
+                    yield pd.DataFrame({"g": [g if group else ""], "ids": [rows["id"].to_numpy()], "vectors": [x.tobytes()]})
 
-    usable = df.where(F.col(key).isNotNull() & (F.size(vector) > 0)).select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v")).where(norm(F.col("v")) > 0)
-    return usable.mapInPandas(run, "ids array<bigint>, vectors binary")
+    name = F.col(group).cast("string") if group else F.lit("")
+    usable = df.where(F.col(key).isNotNull() & (F.size(vector) > 0) & name.isNotNull()).select(name.alias("g"), F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v")).where(norm(F.col("v")) > 0)
+    return usable.mapInPandas(run, "g string, ids array<bigint>, vectors binary")
 
 
-def search(queries: DataFrame, points: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", digits: int = 6) -> DataFrame:
-    """(query_id, point_id, score, rank): the k points of greatest cosine for each query, ties by the smaller id.
+def search(queries: DataFrame, points: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", digits: int = 6, group: str | None = None) -> DataFrame:
+    """(query_id, point_id, score, rank): the k points of greatest cosine for each query, ties by the smaller id. With `group`, only points of the query's own group.
 
     A stated query set against all points, block by block: a task multiplies one block of points with one block of queries and keeps the k best of each
     query, so what is shuffled is k rows per query and block, whatever the sizes.
     """
-    pairs = blocks(points, key, vector).crossJoin(blocks(queries, key, vector).select(F.col("ids").alias("qids"), F.col("vectors").alias("qvectors")))
+    mine = blocks(queries, key, vector, group=group).select("g", F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"))
+    pairs = blocks(points, key, vector, group=group).join(mine, "g") if group else blocks(points, key, vector).drop("g").crossJoin(mine.drop("g"))
 
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -66,6 +69,13 @@ def first_of(df: DataFrame, keys: list[str], order: list[Column], name: str = "n
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) == 1).drop(name)
 
 
+def with_defaults(hits: DataFrame) -> DataFrame:
+    """hits with what absent fields of a point's payload count as: empty texts and lists, position 0, the point's id for its chunk's."""
+    empty = {c: F.coalesce(F.col(c), F.lit("")) for c in ("source_id", "document_id", "canonical_url", "title", "breadcrumb", "text")}
+    more = {"chunk_id": F.coalesce("chunk_id", "point_id"), "headings": F.coalesce("headings", F.array().cast("array<string>")), "chunk_index": F.coalesce("chunk_index", F.lit(0))}
+    return hits.withColumns({c: v for c, v in {**empty, **more}.items() if c in hits.columns})
+
+
 def without_redundant(hits: DataFrame, group: str, order: list[Column], least: int = T.REDUNDANT_CHARS) -> DataFrame:
     """hits(…, source_id, document_id, canonical_url, text) without later ones whose text, in compatible form and `least` characters or longer, a hit of the same page had before."""
     same = hits.withColumn("_form", T.compatible_form("text")).withColumn("_long", F.coalesce(F.length("_form") >= least, F.lit(False)))

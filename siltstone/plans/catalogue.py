@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,6 +14,7 @@ from siltstone.functions import text as T
 from siltstone.functions.vectors import norm
 from siltstone.operators import catalog, chunking, crawl, html_extract, incremental, index, pipeline, retrieval
 from siltstone.session import bound_batches, shared_dir, spread, stage
+from siltstone.sources.registry import registry
 from siltstone.sources.tables import table
 from siltstone.streaming import events as streams
 
@@ -130,9 +131,15 @@ def canonical_urls(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "fetch_results").select("fetch_id", urls.canonical_url(F.col("requested_url")).alias("canonical"))
 
 
+@query("""select source_id, list_transform(allowed_hosts, lambda h: lower(h)) as hosts, list_transform(allowed_path_prefixes, lambda p: case when p = '/' then p else regexp_replace(p, '/+$', '') end) as paths,
+  case when coalesce(len(allowed_hosts), 0) = 0 then 'no_hosts' when len(list_filter(allowed_path_prefixes, lambda p: not starts_with(p, '/'))) > 0 then 'relative_path' end as invalid from sources""")
+def registry_rules(spark: SparkSession, d: str) -> DataFrame:
+    return registry(table(spark, d, "sources")).select("source_id", F.col("allowed_hosts").alias("hosts"), F.col("allowed_path_prefixes").alias("paths"), "invalid")
+
+
 @query(f"with r as (select fetch_id, source_id, requested_url as url, allowed_hosts, allowed_path_prefixes from fetch_results left join sources using (source_id)), {url_parts('r')} select fetch_id, {REASON} as reason from u")
 def url_validation(spark: SparkSession, d: str) -> DataFrame:
-    known = table(spark, d, "sources").select("source_id", "allowed_hosts", "allowed_path_prefixes")
+    known = registry(table(spark, d, "sources")).select("source_id", "allowed_hosts", "allowed_path_prefixes")
     rows = table(spark, d, "fetch_results").select("fetch_id", "source_id", "requested_url").join(known, "source_id", "left")
     return rows.select("fetch_id", urls.url_reason(F.col("requested_url"), F.col("allowed_hosts"), F.coalesce("allowed_path_prefixes", F.array().cast("array<string>"))).alias("reason"))
 
@@ -140,7 +147,7 @@ def url_validation(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with r as (select source_id, discovered_from as url, allowed_hosts, allowed_path_prefixes from catalog_urls left join sources using (source_id)), {url_parts('r')}
   select source_id, {REASON} as reason, count(*) as n from u group by all""")
 def validation_reasons_count(spark: SparkSession, d: str) -> DataFrame:
-    known = table(spark, d, "sources").select("source_id", "allowed_hosts", "allowed_path_prefixes")
+    known = registry(table(spark, d, "sources")).select("source_id", "allowed_hosts", "allowed_path_prefixes")
     rows = table(spark, d, "catalog_urls").select("source_id", "discovered_from").join(known, "source_id", "left")
     reason = urls.url_reason(F.col("discovered_from"), F.col("allowed_hosts"), F.coalesce("allowed_path_prefixes", F.array().cast("array<string>")))
     return rows.groupBy("source_id", reason.alias("reason")).agg(F.count("*").alias("n"))
@@ -149,7 +156,7 @@ def validation_reasons_count(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with r as (select fetch_id, source_id, case when trim(final_url) <> '' then trim(final_url) end as url, allowed_hosts, allowed_path_prefixes from fetch_results left join sources using (source_id)), {url_parts('r')} select fetch_id, url as target, {REASON} as reason from u")
 def redirect_targets(spark: SparkSession, d: str) -> DataFrame:
     """Redirects resolved against the requested address and validated again."""
-    known = table(spark, d, "sources").select("source_id", "allowed_hosts", "allowed_path_prefixes")
+    known = registry(table(spark, d, "sources")).select("source_id", "allowed_hosts", "allowed_path_prefixes")
     rows = table(spark, d, "fetch_results").select("fetch_id", "source_id", urls.resolve_url("requested_url", "final_url").alias("target")).join(known, "source_id", "left")
     return rows.select("fetch_id", "target", urls.url_reason(F.col("target"), F.col("allowed_hosts"), F.coalesce("allowed_path_prefixes", F.array().cast("array<string>"))).alias("reason"))
 
@@ -240,6 +247,15 @@ def first_discoverers(spark: SparkSession, d: str) -> DataFrame:
     return crawl.discoveries(rows).select("source_id", "canonical_url", "discovered_from")
 
 
+@query(f"""with f as (select source_id, canonical_url as url, created_at from catalog_urls where canonical_url is not null), {url_parts('f')},
+  p as (select source_id, {CANONICAL} as canonical_url, min(created_at) as first_at from u where {CANONICAL} is not null group by all)
+  select source_id, canonical_url, (row_number() over (partition by source_id order by first_at nulls first, canonical_url))::int as page_no from p qualify page_no <= 10000""")
+def capped_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The pages that a crawl takes of each source, in the order in which they were found."""
+    rows = table(spark, d, "catalog_urls").where("canonical_url is not null").select("source_id", F.col("canonical_url").alias("url"), "discovered_from", F.col("created_at").alias("at"))
+    return crawl.capped(crawl.discoveries(rows)).select("source_id", "canonical_url", "page_no")
+
+
 # --- text
 
 
@@ -349,6 +365,19 @@ def error_redaction(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "fetch_results").select("fetch_id", T.sanitize_error(message).alias("message"))
 
 
+@query("""with r as (select doc_id, case doc_id % 5 when 0 then 429 when 1 then 500 else 200 end as status, case when doc_id % 5 = 2 then '{"choices":[]}' else to_json({'choices': [{'message': {'content': title}}]})::varchar end as body from documents),
+  t as (select doc_id, status, case when json_valid(body) then json_extract_string(body, '$.choices[0].message.content') end as x from r),
+  e as (select *, case when status = 429 then 'rate_limited' when status >= 400 then 'provider_error' when x is null or trim(regexp_replace(x, '[ \\t\\n\\f\\r\\x0b]', ' ', 'g')) = '' then 'malformed_response' end as error from t)
+  select doc_id, error, case when error is null then x end as text from e""")
+def provider_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Replies of a chat provider, made of the documents' titles."""
+    c = F.col
+    status = F.when(c("doc_id") % 5 == 0, 429).when(c("doc_id") % 5 == 1, 500).otherwise(200)
+    body = F.when(c("doc_id") % 5 == 2, '{"choices":[]}').otherwise(F.to_json(F.struct(F.array(F.struct(F.struct(c("title").alias("content")).alias("message"))).alias("choices"))))
+    text, error = T.reply_text(status, body)
+    return table(spark, d, "documents").select("doc_id", error.alias("error"), text.alias("text"))
+
+
 @query("select event_type, count(*) as n, sum(cast(json_extract_string(props, '$.k') as bigint))::bigint as total from events group by 1")
 def json_fields(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").cast("bigint")).alias("total"))
@@ -559,6 +588,11 @@ def vector_lengths(spark: SparkSession, d: str) -> DataFrame:
 # --- retrieval
 
 
+def usable_vector(dim: int) -> Column:
+    """Finite numbers, as many as there must be, and not all zero."""
+    return (F.size("vector") == dim) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vector", lambda x: x != 0)
+
+
 def ranked(spark: SparkSession, d: str, k: int) -> DataFrame:
     """The k nearest embeddings of every 20th one, with labels."""
     rows = table(spark, d, "embeddings")
@@ -580,6 +614,30 @@ def retrieve_filtered(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.search(rows.where("vec_id % 20 = 0"), rows.where("label in (0, 1, 2)"), 10)
 
 
+USABLE = "len(vector) = 384 and len(list_filter(vector, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0"
+
+
+@query(f"""with p as (select * from {POINTS} where is_active and source_id is not null and {USABLE}),
+  s as (select q.point_id as query_id, p.point_id, p.source_id, p.document_id, p.chunk_id, p.title, p.breadcrumb, p.headings, p.chunk_index, round(list_cosine_similarity(q.vector::double[], p.vector::double[]), 6) as score
+    from p q join p on q.source_id = p.source_id where ('0x' || substr(q.point_id, 1, 8))::bigint % 20 = 0 qualify row_number() over (partition by query_id order by score desc, p.source_id, p.document_id, p.chunk_id, p.point_id) <= 10),
+  o as (select * from s where score >= 0.0 qualify row_number() over (partition by query_id, coalesce(chunk_id, point_id) order by score desc, source_id, document_id, chunk_id, point_id) = 1)
+  select query_id, point_id, score, coalesce(document_id, '') as document_id, coalesce(chunk_id, point_id) as chunk_id, coalesce(title, '') as title, coalesce(breadcrumb, '') as breadcrumb, coalesce(len(headings), 0)::int as n_headings, coalesce(chunk_index, 0) as chunk_index,
+    (row_number() over (partition by query_id order by score desc, source_id, document_id, chunk_id, point_id))::int as rank from o""")
+def retrieve_points(spark: SparkSession, d: str) -> DataFrame:
+    """The points most like every 20th one (by its id) in its own source: active ones only, a total order, a threshold after the search, each chunk once, defaults for what a
+    payload lacks."""
+    points = index.current_points(table(spark, d, "vector_points").drop("text")).where("is_active and source_id is not null").where(usable_vector(index.DIM))
+    order = ["source_id", "document_id", "chunk_id", "point_id"]
+    rows = stage(points.sort(*order).withColumn("no", F.monotonically_increasing_id()), "points")  # numbered in the total order, so that ties fall by it
+    hits = retrieval.search(rows.where(F.conv(F.substring("point_id", 1, 8), 16, 10).cast("bigint") % 20 == 0), rows, 10, "no", "vector", group="source_id").where("score >= 0.0")
+    names = rows.select(F.col("no").alias("query_id"), F.col("point_id").alias("query"))
+    whole = hits.withColumnRenamed("point_id", "no").join(rows.drop("vector"), "no").join(names, "query_id")
+    best = [F.desc("score"), F.col("no")]
+    once = retrieval.with_defaults(retrieval.first_of(whole.withColumn("chunk", F.coalesce("chunk_id", "point_id")), ["query", "chunk"], best))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(*best))
+    return once.select(F.col("query").alias("query_id"), "point_id", "score", "document_id", "chunk_id", "title", "breadcrumb", F.size("headings").alias("n_headings"), "chunk_index", rank.alias("rank"))
+
+
 @query(f"select query_id, point_id, score from (select *, row_number() over (partition by query_id order by score desc, point_id) as rank from ({RANKED})) where rank <= 10 and score >= 0.5")
 def retrieve_threshold(spark: SparkSession, d: str) -> DataFrame:
     """The threshold comes after the top k, so that fewer than k may be left."""

@@ -1,5 +1,6 @@
 """A Python data source that reads pages over HTTP: spark.read.format("siltstone_http").option("urls", …).load().
 
+Options: urls, hosts, schemes, prefixes and robots as JSON, kind (page, sitemap or robots), agent, cap, attempts, rps, timeout.
 One partition per host, so that the minimum interval between two requests of a host holds whatever the number of executors. Each address is fetched
 with bounded retries, redirects are followed hop by hop and each hop is judged again, and a body is read up to a cap.
 """
@@ -13,13 +14,15 @@ from collections import defaultdict
 from collections.abc import Iterator
 from email.utils import parsedate_to_datetime
 from urllib.parse import urljoin, urlsplit
+from urllib.robotparser import RobotFileParser
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from siltstone.functions.http import BASE_BACKOFF, MAX_ATTEMPTS, MAX_BODY, MAX_DELAY, REDIRECTS, RETRYABLE, SECRET_FIELDS
 
-MAX_HOPS = 5
+#: Redirects that are followed, by what is read (fixed values).
+MAX_HOPS = {"page": 5, "sitemap": 3, "robots": 3}
 SCHEMA = "url string, final_url string, http_status int, headers map<string,string>, body binary, attempts int, error_type string"
 
 
@@ -65,7 +68,10 @@ class HttpReader(DataSourceReader):
         self.urls = json.loads(options.get("urls", "[]"))
         self.hosts = set(json.loads(options.get("hosts", "[]")))
         self.schemes = set(json.loads(options.get("schemes", '["https"]')))
+        self.prefixes = json.loads(options.get("prefixes", "[]"))
+        self.hops = MAX_HOPS[options.get("kind", "page")]
         self.agent, self.cap = options.get("agent", "siltstone"), int(options.get("cap", MAX_BODY))
+        self.robots = json.loads(options.get("robots", "{}"))  # host: text of its rules, null where nothing is allowed
         self.attempts, self.rps, self.timeout = int(options.get("attempts", MAX_ATTEMPTS)), float(options.get("rps", 1.0)), float(options.get("timeout", 20.0))
         self.pause = float(options.get("pause_scale", 1.0))
 
@@ -75,18 +81,32 @@ class HttpReader(DataSourceReader):
             by[(urlsplit(url).hostname or "").lower()].append(url)
         return [HostPartition(sorted(urls)) for _, urls in sorted(by.items())]
 
-    def allowed(self, url: str) -> bool:
+    def refused(self, url: str, rules: dict[str, RobotFileParser | None]) -> str | None:
+        """Why an address may not be read: its scheme, credentials, host or path, or the host's robots rules."""
         parts = urlsplit(url)
-        return parts.scheme in self.schemes and "@" not in parts.netloc and (not self.hosts or (parts.hostname or "") in self.hosts)
+        host, path = (parts.hostname or "").lower(), parts.path or "/"
+        if parts.scheme not in self.schemes or "@" in parts.netloc or (self.hosts and host not in self.hosts):
+            return "rejected"
+        if self.prefixes and not any(path == p or path.startswith(p.rstrip("/") + "/") for p in self.prefixes):
+            return "rejected"
+        if host in self.robots:
+            if host not in rules:
+                rules[host] = None if self.robots[host] is None else RobotFileParser()
+                if rules[host] is not None:
+                    rules[host].parse(self.robots[host].splitlines())
+            if rules[host] is None or not rules[host].can_fetch(self.agent, url):
+                return "robots_disallowed"
+        return None
 
     def read(self, partition: HostPartition) -> Iterator[tuple]:
         interval = 1.0 / self.rps if self.rps > 0 else 0.0
-        last = float("-inf")
+        last, rules = float("-inf"), {}
         for url in partition.urls:
             at, tries, status, headers, body, error = url, 0, None, {}, None, None
-            for hop in range(MAX_HOPS + 1):
-                if not self.allowed(at):
-                    error, body = "rejected", None
+            for hop in range(self.hops + 1):
+                error = self.refused(at, rules)
+                if error:
+                    body = None
                     break
                 for attempt in range(1, self.attempts + 1):
                     time.sleep(max(0.0, last + interval - time.monotonic()))
@@ -98,7 +118,7 @@ class HttpReader(DataSourceReader):
                     time.sleep(self.pause * wait_of(headers, attempt))
                 if status not in REDIRECTS or error:
                     break
-                if hop == MAX_HOPS:
+                if hop == self.hops:
                     error, body = "too_many_redirects", None
                     break
                 at = urljoin(at, headers.get("location", ""))

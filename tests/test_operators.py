@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
-from siltstone.operators import catalog, chunking, crawl, html_extract, incremental, retrieval, snapshots
+from siltstone.operators import catalog, chunking, crawl, html_extract, incremental, index, retrieval, snapshots
 
 AT = dt.datetime(2026, 8, 29, 12)
 PAGE = """<html><head><title>Page - Site</title></head><body><nav>menu</nav><main><h1>Title</h1><p>Text &amp; <b>bold</b> <a href="/x">link</a> <a href="#y">local</a>
@@ -263,6 +263,22 @@ def test_search(spark):
     assert [(r.query_id, r.point_id, r.score) for r in got] == [(0, 0, 1.0), (0, 3, 1.0), (1, 1, 1.0), (1, 4, 1.0)]
 
 
+def test_search_in_groups(spark):
+    df = spark.createDataFrame([(i, [1.0, float(i)], "ab"[i % 2]) for i in range(9)] + [(20, [1.0, 1.0], None)], "vec_id bigint, embedding array<double>, source string")
+    got = retrieval.search(df.where("vec_id in (2, 3, 20)"), df, 2, group="source").orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.point_id) for r in got] == [(2, 2), (2, 4), (3, 3), (3, 5)]
+    hit = spark.createDataFrame([("p", None, None, None, 0.5)], "point_id string, chunk_id string, headings array<string>, title string, score double")
+    assert tuple(retrieval.with_defaults(hit).first()) == ("p", "p", [], "", 0.5)
+
+
+def test_points(spark):
+    df = spark.createDataFrame([("a", [1.0, 2.0], True), ("b", None, True), ("c", [3.0, 4.0], None)], "point_id string, vector array<double>, is_active boolean")
+    assert index.require_dimension(df, 2).count() == 3 and len(index.require_dimension(df, 2).collect()) == 3
+    with pytest.raises(Exception, match="a vector must have 3 numbers, not 2"):
+        index.require_dimension(df, 3).collect()
+    assert {(r.point_id, r.is_active) for r in index.set_active(df, df.where("point_id != 'b'"), False).collect()} == {("a", False), ("b", True), ("c", False)}
+
+
 def test_crawl(spark):
     pages = spark.createDataFrame([("s", "https://a.example/x/", b'<a href="y">1</a><a href="y#f">2</a><a href="#z">3</a><a>4</a><a href="q.pdf">5</a>'), ("s", "https://a.example/", None)], "source_id string, page_url string, body binary")
     assert {r.link for r in crawl.page_links(pages).collect()} == {"https://a.example/x/y", "https://a.example/x/y#f"}
@@ -272,6 +288,13 @@ def test_crawl(spark):
     robots = spark.createDataFrame([("a", 200, "User-agent: *\nDisallow: /p"), ("b", 404, None), ("c", 500, None)], "host string, status int, body string")
     asked = spark.createDataFrame([("a", "https://a/p/1"), ("a", "https://a/q"), ("b", "https://b/p"), ("c", "https://c/p"), ("d", "https://d/")], "host string, url string")
     assert {(r.url, r.allowed) for r in crawl.robots_allowed(asked, robots, "bot").collect()} == {("https://a/p/1", False), ("https://a/q", True), ("https://b/p", True), ("https://c/p", False), ("https://d/", False)}
+    more = spark.createDataFrame([("a", 200, "User-agent: bot\nAllow: /p/ok\nDisallow: /p\nDisallow: /a%20b\n\nUser-agent: *\nDisallow: /"), ("b", 200, "x" * (crawl.MAX_ROBOTS + 1)), ("c", 200, None), ("d", 200, "User-agent: *\nDisallow:"), ("e", 200, "User-agent: other\nDisallow: /"), ("f", None, None)], "host string, status int, body string")
+    urls = [("a", "https://a/p/ok/1", True), ("a", "https://a/p/1?q=1", False), ("a", "https://a/a%20b/c", False), ("a", "https://a/a+b", True), ("a", "https://a", True), ("b", "https://b/", False), ("c", "https://c/x", True), ("d", "https://d/x", True), ("e", "https://e/x", True), ("f", "https://f/x", False), ("a", "https://a/%zz", True)]
+    asked = spark.createDataFrame(urls, "host string, url string, want boolean")
+    assert {(r.url, r.allowed) for r in crawl.robots_allowed(asked, more, "bot").collect()} == {(u, w) for _, u, w in urls}
+    assert not {(r.url, r.allowed) for r in crawl.robots_allowed(asked.where("host = 'a'"), more, "none").collect()} & {(u, True) for h, u, _ in urls}
+    found = spark.createDataFrame([("s", f"u{i}", AT if i else None) for i in range(5)] + [("t", "u", AT)], "source_id string, canonical_url string, first_at timestamp")
+    assert {(r.canonical_url, r.page_no) for r in crawl.capped(found, 2).collect()} == {("u0", 1), ("u1", 2), ("u", 1)}
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "src string, dst string")
     assert {(r.node, r.level) for r in crawl.frontier(edges, spark.createDataFrame([("a",)], "node string")).collect()} == {("a", 0), ("b", 1), ("c", 2)}
 

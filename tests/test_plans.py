@@ -26,11 +26,17 @@ def test_filters_reach_the_scan(spark, data, name, wanted):
     assert wanted in plan(spark, data, name)
 
 
-@pytest.mark.parametrize(("name", "columns"), [("chunk_ids", "struct<chunk_id:string,source_id:string,canonical_url:string,chunk_index:int>"), ("media_types", "struct<content_type:string>"), ("distinct_documents", "struct<source_id:string,document_id:string>"), ("run_ledger", "struct<id:string,status:string>")])
+@pytest.mark.parametrize(("name", "columns"), [("chunk_ids", "struct<chunk_id:string,source_id:string,canonical_url:string,chunk_index:int>"), ("media_types", "struct<content_type:string>"), ("distinct_documents", "struct<source_id:string,document_id:string>"), ("run_ledger", "struct<id:string,status:string,finished_at:timestamp>")])
 def test_only_the_columns_needed_are_read(spark, data, name, columns):
     assert f"ReadSchema: {columns}" in plan(spark, data, name)
 
 
+def test_robots_rules_are_judged_natively(spark, data):
+    """Only the files go through Python; addresses do not."""
+    text = plan(spark, data, "robots_permissions")
+    assert text.count("ArrowEvalPython") == 1 and "startswith" in text.lower()
+
+
 @pytest.mark.parametrize("name", ["needs_indexing", "points_by_document", "catalog_latest"])
 def test_latest_rows_are_reduced_before_the_shuffle(spark, data, name):
     """The newest row of each key is a partial aggregate below the exchange, not a sort of the table."""

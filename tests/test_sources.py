@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone import schemas
-from siltstone.operators import pipeline
+from siltstone.operators import crawl, pipeline
 from siltstone.sources import html, http_source
+from siltstone.sources.registry import registry
 
 
 class Site(BaseHTTPRequestHandler):
@@ -62,6 +63,41 @@ def test_http_source(spark, site):
     assert (got["down"].http_status, got["down"].attempts) == (500, 3)
 
 
+def test_what_the_reader_refuses(spark, site):
+    http_source.register(spark)
+    read = lambda urls, **o: {r.url.removeprefix(site): r.error_type for r in spark.read.format("siltstone_http").options(**{"urls": json.dumps([site + u for u in urls]), "schemes": '["http"]', "rps": "0", **o}).load().collect()}
+    assert read(["/a", "/a/b", "/ab", "/away"], prefixes='["/a", "/away"]') == {"/a": None, "/a/b": None, "/ab": "rejected", "/away": "rejected"}
+    assert read(["/a", "/p/x"], robots=json.dumps({"127.0.0.1": "User-agent: *\nDisallow: /p"})) == {"/a": None, "/p/x": "robots_disallowed"}
+    assert read(["/a"], robots='{"127.0.0.1": null}') == {"/a": "robots_disallowed"}
+    Site.tries.clear()
+    assert read(["/loop"], kind="sitemap") == {"/loop": "too_many_redirects"} and Site.tries["/loop"] == 4
+
+
+def test_crawl_drives_a_fetch(spark):
+    web = {"/d/": "<a href='/d/a'>1</a><a href='/x'>2</a>", "/d/a": "<a href='b'>1</a><a href='./'>2</a><a href='http://s.example/d/z'>3</a>", "/d/b": "<a href='c#x'>1</a><a href='c'>2</a>", "/d/c": None}
+    held = spark.createDataFrame([(f"https://s.example{u}".rstrip("/"), None if b is None else bytearray(b.encode())) for u, b in web.items()], "canonical_url string, body binary")
+    sources = spark.createDataFrame([("s", ["S.example"], ["/d/"]), ("bad", ["s.example"], ["d"])], "source_id string, allowed_hosts array<string>, allowed_path_prefixes array<string>")
+    seeds = spark.createDataFrame([("s", "https://s.example/d/"), ("bad", "https://s.example/d/"), ("s", "https://other.example/d")], "source_id string, url string")
+    pages, found = crawl.crawl(seeds, sources, lambda level: level.join(held, "canonical_url", "left"))
+    assert {(r.canonical_url.removeprefix("https://s.example"), r.level, r.discovered_from.removeprefix("https://s.example")) for r in found.collect()} == {("/d", 0, "seed"), ("/d/a", 1, "/d"), ("/d/b", 2, "/d/a"), ("/d/c", 3, "/d/b")}
+    assert pages.count() == 4 and {r.source_id for r in pages.collect()} == {"s"}
+    _, few = crawl.crawl(seeds, sources, lambda level: level.join(held, "canonical_url", "left"), cap=1)
+    assert few.count() == 1
+
+
+def test_crawl_over_http(spark, site):
+    sources = spark.createDataFrame([("s", ["127.0.0.1"], ["/"])], "source_id string, allowed_hosts array<string>, allowed_path_prefixes array<string>")
+    level = spark.createDataFrame([("s", f"{site}/page"), ("s", f"{site}/down")], "source_id string, canonical_url string")
+    got = crawl.http_fetcher(schemes='["http"]', rps="0", pause_scale="0.01")(level).collect()
+    assert {(r.canonical_url.removeprefix(site), r.body and bytes(r.body)) for r in got} == {("/page", b"<p>x</p>"), ("/down", None)} and sources.count() == 1
+
+
+def test_registry(spark):
+    rows = [("a", ["X.Example"], ["/", "/a/", "/b//"]), ("b", [], ["/"]), ("c", ["h"], ["x"]), ("d", None, None), ("e", ["h"], [None])]
+    got = {r.source_id: (r.allowed_hosts, r.allowed_path_prefixes, r.invalid) for r in registry(spark.createDataFrame(rows, "source_id string, allowed_hosts array<string>, allowed_path_prefixes array<string>")).collect()}
+    assert got == {"a": (["x.example"], ["/", "/a", "/b"], None), "b": ([], ["/"], "no_hosts"), "c": (["h"], ["x"], "relative_path"), "d": ([], [], "no_hosts"), "e": (["h"], [None], "relative_path")}
+
+
 def test_schemas(spark, data):
     for name in schemas.DDL:
         df = spark.read.parquet(f"{data}/{name}.parquet")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import main_content, markup, near_duplicates, neighbors, packing, repetition, shared_lines, split, tokens
+from siltstone.session import stage
 from siltstone.sources.tables import table
 
 
@@ -25,8 +26,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The frequent lines, each told by where it first stands."""
     rows = table(spark, d, "extract_results")
-    return shared_lines.frequent_lines(rows, shared_lines.line_occurrences(rows))
+    lines = stage(shared_lines.line_occurrences(rows), "lines")
+    first = lines.groupBy("source_id", "line").agg(F.min(F.struct("extract_id", "line_no")).alias("first"))
+    frequent = shared_lines.frequent_lines(rows, lines).join(first, ["source_id", "line"])
+    return frequent.select("source_id", "first.extract_id", "first.line_no", "support", "documents")
 
 
 def p2_sequences(spark: SparkSession, d: str) -> DataFrame:
@@ -57,6 +62,11 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_containers(table(spark, d, "documents"))
 
 
+def p9_short(spark: SparkSession, d: str) -> DataFrame:
+    """Containers of 512 tokens, which best fit alone fills less well than the search."""
+    return packing.fill_containers(table(spark, d, "documents"), capacity=512)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_shares(spark, d).where(F.col("repeated_share") >= repetition.SHARE).select("doc_id")
 
@@ -100,4 +110,4 @@ def p6_content(spark: SparkSession, d: str) -> DataFrame:
     return texts.unionByName(main_content.own_text(table(spark, d, "fetch_results"), "page").withColumn("record_table", F.lit("fetch_results")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_lines, p2_sequences, p2_clean, p4_found, p4_clean, p5_found, p6_found, p6_units, p6_content, p7_found, p7_groups, p8_ids, p9_containers, p10_found, p10_shares, p10_perplexity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_lines, p2_sequences, p2_clean, p4_found, p4_clean, p5_found, p6_found, p6_units, p6_content, p7_found, p7_groups, p8_ids, p9_containers, p9_short, p10_found, p10_shares, p10_perplexity)}

@@ -75,12 +75,16 @@ def repeated_lines(df: DataFrame, **thresholds: float) -> DataFrame:
     return occurrences.join(frequent.select("source_id", "line", "support"), ["source_id", "line"]).select("source_id", "extract_id", "line_no", "line", "support")
 
 
-def frequent_sequences(df: DataFrame, max_length: int | None = None, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE) -> DataFrame:
+def frequent_sequences(df: DataFrame, max_length: int | None = None, closed: bool = True, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE) -> DataFrame:
     """PrefixSpan: (source_id, pattern array<bigint>, length, support) of the frequent line sequences, of up to max_length lines if that is given.
 
     Each level keeps, for each row and pattern, the earliest end of the pattern in the row's sequence (its projection) and
     appends every later item; patterns without enough distinct documents are dropped before the next level. Sequences hold
     frequent lines only, so they are as short as the shared part of a page.
+
+    With `closed`, every frequent sequence is part of one in the result that stands in the same rows, and most that are not told apart by their rows are left out: if all rows of
+    a pattern go on with the same item, the pattern itself is not in the result, and it is not grown by items that always come after that one. A footer of n lines
+    that stand together costs n levels, not 2^n sequences.
     """
     occurrences = stage(line_occurrences(df), "lines")
     frequent = stage(frequent_lines(df, occurrences, min_documents, min_share), "frequent")
@@ -89,20 +93,31 @@ def frequent_sequences(df: DataFrame, max_length: int | None = None, min_documen
     rows = occurrences.where("doc is not null").join(frequent.select("source_id", "line"), ["source_id", "line"])
     rows = rows.groupBy("source_id", "doc", "extract_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("items"))
     level = stage(rows.select("source_id", "doc", "extract_id", "items", F.array().cast("array<bigint>").alias("pattern"), F.lit(0).alias("end")), "level0")
-    found = frequent.select("source_id", F.array("line").alias("pattern"), F.lit(1).alias("length"), "support")
+    known = found = None
+    of, key = ["source_id", "pattern"], ["source_id", "pattern", "item"]
     for length in itertools.count(1):
-        later = F.array_distinct(F.slice("items", F.col("end") + 1, F.greatest(F.size("items") - F.col("end"), F.lit(0))))
-        grown = level.withColumn("item", F.explode(later)).withColumn("grown", F.concat("pattern", F.array("item")))
-        counted = grown.select("source_id", "grown", "doc").distinct().groupBy("source_id", "grown").agg(F.count("*").alias("support"))
-        kept = stage(counted.join(needs, "source_id").where("support >= need").select("source_id", "grown", "support"), f"patterns{length}")
-        if length > 1:
-            found = found.unionByName(kept.select("source_id", F.col("grown").alias("pattern"), F.lit(length).alias("length"), "support"))
+        rest = level.withColumn("tail", F.slice("items", F.col("end") + 1, F.greatest(F.size("items") - F.col("end"), F.lit(0))))
+        later = F.transform(F.array_distinct("tail"), lambda x: F.struct(x.alias("item"), F.array_position("tail", x).alias("at")))
+        grown = rest.withColumn("x", F.explode(later)).select("*", "x.item", "x.at").drop("x")
+        if closed:
+            whole = level.groupBy(*of).agg(F.count("*").alias("rows"))
+            per_item = grown.groupBy(*key).agg(F.count("*").alias("n"), F.sum("at").alias("places"))
+            always = stage(per_item.join(whole, of).where("n = rows").groupBy(*of).agg(F.min_by("item", F.struct("places", "item")).alias("next")), f"always{length}")
+            if known is not None:
+                known = known.join(always, of, "left_anti")
+            after = F.coalesce((F.col("item") != F.col("next")) & (F.array_position("tail", F.col("next")) < F.col("at")), F.lit(False))
+            grown = grown.join(always, of, "left").withColumn("after", after)
+            grown = grown.join(grown.groupBy(*key).agg(F.bool_and("after").alias("gone")).where("not gone").drop("gone"), key, "left_semi")
+        if known is not None:
+            found = known if found is None else found.unionByName(known)
+        counted = grown.select(*key, "doc").distinct().groupBy(*key).agg(F.count("*").alias("support"))
+        kept = stage(counted.join(needs, "source_id").where("support >= need").select(*key, "support"), f"patterns{length}")
+        known = kept.select("source_id", F.concat("pattern", F.array("item")).alias("pattern"), F.lit(length).alias("length"), "support")
         if length == max_length or kept.isEmpty():
-            break
-        tail = F.slice("items", F.col("end") + 1, F.greatest(F.size("items") - F.col("end"), F.lit(0)))
-        end = (F.col("end") + F.array_position(tail, F.col("item"))).cast("int")
-        level = stage(grown.join(kept.select("source_id", "grown"), ["source_id", "grown"], "left_semi").select("source_id", "doc", "extract_id", "items", F.col("grown").alias("pattern"), end.alias("end")), f"level{length}")
-    return found
+            return known if found is None else found.unionByName(known)
+        end = (F.col("end") + F.col("at")).cast("int")
+        step = grown.join(kept.select(*key), key, "left_semi")
+        level = stage(step.select("source_id", "doc", "extract_id", "items", F.concat("pattern", F.array("item")).alias("pattern"), end.alias("end")), f"level{length}")
 
 
 def without_repeated_lines(df: DataFrame, **thresholds: float) -> DataFrame:

@@ -79,7 +79,7 @@ def test_repeated_lines(spark):
 def test_frequent_sequences(spark):
     line = lambda c: f"shared line of the letter {c} in it"
     rows = [("s", f"d{i}", i, "\n".join(map(line, letters))) for i, letters in enumerate(["abc", "abc", "acb", "abxc", "bca", "z"])]
-    found = shared_lines.frequent_sequences(spark.createDataFrame(rows, TEXT), min_documents=3, min_share=0.0).collect()
+    found = shared_lines.frequent_sequences(spark.createDataFrame(rows, TEXT), closed=False, min_documents=3, min_share=0.0).collect()
     docs = [r[3].split("\n") for r in rows]
     held = lambda doc, seq: (it := iter(doc)) is not None and all(x in it for x in seq)
     want = defaultdict(int)
@@ -98,8 +98,34 @@ def test_frequent_sequences(spark):
 
 def test_long_sequences(spark):
     rows = [("s", f"d{i}", i, "\n".join(f"line {c * 3} of the footer on every page" for c in "abcdefgh")) for i in range(4)]
-    found = shared_lines.frequent_sequences(spark.createDataFrame(rows, TEXT)).collect()
+    df = spark.createDataFrame(rows, TEXT)
+    found = shared_lines.frequent_sequences(df, closed=False).collect()
     assert len(found) == 2**8 - 1 and max(r.length for r in found) == 8
+    assert [(r.length, r.support) for r in shared_lines.frequent_sequences(df).collect()] == [(8, 4)]
+    assert shared_lines.frequent_sequences(df.where("false")).count() == 0
+
+
+def test_closed_sequences_hold_all_others(spark):
+    """Every frequent sequence is part of a closed one with the same support, over texts with repeated lines, two rows of a document and several sources."""
+    import random
+
+    rng = random.Random(4)
+    line = lambda c: f"shared line of the letter {c * 3} in it"
+    rows = []
+    for source in "st":
+        for i in range(14):
+            letters = [c for c in "abcde" if rng.random() < 0.8]
+            if rng.random() < 0.3:
+                rng.shuffle(letters)
+            if rng.random() < 0.3:
+                letters.append(rng.choice("bc"))
+            rows.append((source, f"d{i % 12}", len(rows), "\n".join(map(line, letters))))
+    df = spark.createDataFrame(rows, TEXT)
+    every = shared_lines.frequent_sequences(df, closed=False, min_documents=3, min_share=0.0).collect()
+    closed = shared_lines.frequent_sequences(df, min_documents=3, min_share=0.0).collect()
+    inside = lambda s, t: (it := iter(t)) is not None and all(x in it for x in s)
+    assert {(r.source_id, tuple(r.pattern), r.support) for r in closed} <= {(r.source_id, tuple(r.pattern), r.support) for r in every} and len(closed) < len(every)
+    assert all(any(r.source_id == c.source_id and r.support == c.support and inside(r.pattern, c.pattern) for c in closed) for r in every)
 
 
 # --- 4

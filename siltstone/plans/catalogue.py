@@ -232,8 +232,8 @@ def robots_permissions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""with recursive edges as (select distinct discovered_from as src, canonical_url as dst from catalog_urls where discovered_from is not null and canonical_url is not null),
   seeds as (select distinct unnest(seed_urls) as node from sources union select distinct discovered_from from catalog_urls where ends_with(discovered_from, '/sitemap.xml')),
-  walk(node, level) as (select node, 0 from seeds union select e.dst, w.level + 1 from walk w join edges e on e.src = w.node where w.level < 50)
-  select node, min(level)::int as level from walk group by node""")
+  walk(node, level) using key (node) as (select node, 0 from seeds union select e.dst, min(w.level) + 1 from walk w join edges e on e.src = w.node left join recurring.walk k on k.node = e.dst where k.node is null group by e.dst)
+  select node, level::int as level from walk""")
 def crawl_frontier(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "catalog_urls").where("discovered_from is not null and canonical_url is not null").select(F.col("discovered_from").alias("src"), F.col("canonical_url").alias("dst")).distinct()
     edges = stage(rows, "edges")

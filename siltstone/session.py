@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import tempfile
 import uuid
 import zipfile
@@ -47,10 +46,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_staged: dict[str, list[str]] = {}
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back, so that several consumers share one computation.
 
-    The written table survives the loss of executors. It is deleted when the application ends.
+    The written table survives the loss of executors. It is deleted by release(), or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siltstone-{uuid.uuid4().hex}/{name}"
@@ -58,21 +60,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at.getParent())
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Logical operators that shuffle: what comes out of them is spread already.
-SHUFFLES = re.compile(r"^[\s:+-]*(?:Join|Aggregate|Window|Repartition\w*|Sort|Distinct|Deduplicate|FlatMap\w*|MapGroups)\b", re.M)
+def release(spark: SparkSession) -> int:
+    """Delete the tables that were staged so far, whose number comes back: for long sessions, between queries whose results have been written."""
+    paths = _staged.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a CPU-bound Python stage over a scan at least one partition per core.
-
-    Scans with fewer splits than half the cores are redistributed (they are small by construction: a split holds up to
-    spark.sql.files.maxPartitionBytes); larger ones keep their splits and are not shuffled. Plans that shuffle are left alone: counting their
-    partitions would run them.
-    """
-    if SHUFFLES.search(df._jdf.queryExecution().optimizedPlan().toString()):
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+    """df in as many partitions as the session's setting `siltstone.tasks` asks for, before a CPU-bound Python stage. Unset, which is right for tables of many files, the
+    scan's own splits are kept and nothing is shuffled; a table in one small file is read by one task unless it is set."""
+    tasks = df.sparkSession.conf.get("siltstone.tasks", None)
+    return df.repartition(int(tasks)) if tasks else df

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone import session
 from siltstone.functions import text as T
 from siltstone.operators import catalog, chunking, crawl, html_extract, incremental, index, retrieval, snapshots
 
@@ -55,9 +56,9 @@ def test_replies(spark):
 
 def test_chunk_limits():
     long = " ".join(f"tok{i}" for i in range(700))
-    assert [chunking.tokens(p) for p in chunking.cut_section(long)] == [400, 300]
+    assert [(chunking.tokens(p), n) for p, n in chunking.cut_section(long)] == [(400, 400), (300, 300)]
     fence = "```\n" + "\n".join(f"line {i} x" for i in range(200)) + "\n```"
-    assert chunking.cut_section(f"intro\n\n{fence}\n\nend") == ["intro", fence, "end"]
+    assert [p for p, _ in chunking.cut_section(f"intro\n\n{fence}\n\nend")] == ["intro", fence, "end"]
     assert chunking.units("# A\n\n## B\n\ntext\n\n# C\n```\nx\n```") == [(False, "# A\n\n## B\n\ntext"), (False, "# C"), (True, "```\nx\n```")]
     assert list(chunking.sections("# A\na\n## B\nb\n# C\n```\n# no\n```")) == [(["A"], "# A\na"), (["A", "B"], "## B\nb"), (["C"], "# C\n```\n# no\n```")]
 
@@ -67,7 +68,7 @@ def test_chunks(spark):
     rows = spark.createDataFrame([("d", "s", "Site", "https://u", "A", text, "h"), ("e", "s", "Site", "https://v", "", None, None), ("f", "s", "Site", "https://w", "", "", None)], "document_id string, source_id string, display_name string, canonical_url string, title string, extracted_text string, extracted_sha256 string")
     got = chunking.chunk_documents(rows).orderBy("chunk_index").collect()
     assert [r.chunk_index for r in got] == list(range(len(got))) and len(got) >= 3 and len({r.chunk_id for r in got}) == len(got)
-    assert all(chunking.tokens(r.primary_text) <= 400 for r in got)
+    assert all(chunking.tokens(r.primary_text) <= 400 and r.token_count == chunking.tokens(r.text) for r in got)
     assert got[-1].breadcrumb == "Site > A > B" and got[-1].headings == ["A", "B"]
     tail = " ".join(chunking.TOKEN.findall(got[0].primary_text)[-50:])
     assert got[1].text == f"{got[1].breadcrumb}\n{tail}\n{got[1].primary_text}"
@@ -236,6 +237,11 @@ def test_runs_and_snapshots(spark, tmp_path):
     assert snapshots.versions(spark, str(tmp_path), "runs") == [second, third] and not half.exists()
 
 
+def test_staged_tables_are_released(spark):
+    rows = session.stage(spark.range(3).toDF("id"), "some")
+    assert rows.count() == 3 and session.release(spark) >= 1 and session.release(spark) == 0
+
+
 def test_context(spark):
     hits = F.array(*(F.struct(F.lit(c).alias("chunk_id"), F.lit(n).alias("tokens")) for c, n in (("a", 3), ("b", 9), ("c", 2), ("d", 4))))
     p = spark.range(1).select(retrieval.pack_context(hits, 5, 6).alias("p")).first().p

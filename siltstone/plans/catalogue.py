@@ -213,6 +213,39 @@ def html_main_text(spark: SparkSession, d: str) -> DataFrame:
     return found.select("record_id", "document_id", "reason", T.document_title(F.col("extracted_text"), T.page_title(F.col("raw_title"), F.coalesce("display_name", F.lit("")))).alias("title"), "extracted_text", "extracted_sha256", F.size("heading_outline").alias("n_headings"))
 
 
+PART_LANGUAGE = "case p_partkey % 3 when 0 then 'language-python' when 1 then 'BASH' else 'plain' end"
+
+
+@query(f"""with c as (select *, p_partkey % 11 = 3 as short, p_partkey % 11 = 4 as bare, p_partkey % 11 = 5 as blank, p_partkey % 4 = 1 as ticks,
+    chr(10) as nl, case p_partkey % 3 when 0 then 'python' when 1 then 'bash' else '' end as lang, p_partkey::varchar as k, p_size::varchar as size from part),
+  t as (select *, '# ' || p_name || nl || nl || 'Part `' || k || '` of ' || p_brand || ' has the size ' || size || ', see [its page](/parts/' || k || ') or above.' as head,
+    nl || nl || '- type ' || p_type || nl || '  - size ' || size || nl || '- brand ' || p_brand || nl || nl || '1. one' || nl || '2. two' || nl || nl || case when ticks then '````' else '```' end || lang || nl || 'print(' || k || ')' || nl ||
+    case when ticks then '```' else '  x = 1' end || nl || case when ticks then '````' else '```' end || nl || nl || 'Key | Value' || nl || 'size | ' || size || nl || nl || '> ' || p_name || ' & more' || nl || '>' || nl || '> <b>' || nl || nl || '---' || nl || nl || 'photo of ' || p_name as rest from c)
+  select p_partkey::bigint as record_id, case when blank then 'empty' when bare then 'extract_failed' when short then 'too_short' else 'ok' end as reason, case when blank then '' else p_name end as title,
+    case when blank or bare then null when short then head else head || rest end as extracted_text, case when blank or bare then 0 else 1 end as n_headings from t""")
+def part_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every part written as a page, with chrome around, in several layouts, and read again: the main element, what is stripped, headings, lines, lists in lists, code and its
+    language, tables, quotes, links and images."""
+    c, lit = F.col, F.lit
+    k, size = c("p_partkey").cast("string"), c("p_size").cast("string")
+    kind, layout = c("p_partkey") % 11, c("p_partkey") % 3
+    opened = F.when(layout == 0, "<article>").when(layout == 1, "<main>").otherwise("<div id=content>")
+    closed = F.when(layout == 0, "</article>").when(layout == 1, "</main>").otherwise("</div>")
+    head = F.concat(lit("<h1>"), c("p_name"), lit(" <a class=headerlink href='#x'>#</a></h1><p>Part <code>"), k, lit("</code> of <b>"), c("p_brand"), lit("</b> has\tthe   size "), size, lit(", see <a href='/parts/"), k, lit("'>its page</a> or <a href='#top'>above</a>.</p>"))
+    code = F.when(c("p_partkey") % 4 == 1, "```").otherwise("  x = 1")
+    rest = F.concat(
+        lit("<ul><li>type "), c("p_type"), lit("<ul><li>size "), size, lit("</li></ul></li><li> </li><li>brand "), c("p_brand"), lit("</li></ul><ol><li>one</li><li>two</li></ol><pre class='"),
+        F.expr(PART_LANGUAGE), lit("'><code>\nprint("), k, lit(")\n"), code, lit("\n</code><button>Copy</button></pre><table><tr><th>Key</th><th>Value</th></tr><tr><td>size</td><td>"), size,
+        lit("</td></tr></table><blockquote><p>"), c("p_name"), lit(" &amp; more</p><p>&lt;b&gt;</p></blockquote><hr><!-- gone --><script>var a = 1;</script><form>ask</form><img src=x.png alt='photo of "), c("p_name"), lit("'>"),
+    )
+    whole = F.concat(lit("<html><head><title>"), c("p_name"), lit(" - Parts</title></head><body><nav>menu</nav>"), opened, head, F.when(kind == 3, "").otherwise(rest), closed, lit("<footer>end</footer></body></html>"))
+    body = F.when(kind == 5, "  ").when(kind == 4, F.concat(lit("<title>"), c("p_name"), lit(" - Parts</title><p>no main element</p>"))).otherwise(whole)
+    pages = table(spark, d, "part").select(c("p_partkey").cast("bigint").alias("record_id"), lit("parts").alias("source_id"), F.concat(lit("https://parts.example/"), k).alias("canonical_url"), F.encode(body, "UTF-8").alias("body"))
+    found = html_extract.extract_pages(pages)
+    title = T.document_title(c("extracted_text"), T.page_title(c("raw_title"), lit("Parts")))
+    return found.select("record_id", "reason", title.alias("title"), "extracted_text", F.size("heading_outline").alias("n_headings"))
+
+
 @query(f"select source_id, true as ok, false as is_index, canonical_url as url from {NEWEST}")
 def sitemap_urls(spark: SparkSession, d: str) -> DataFrame:
     """The catalog written as one sitemap per source and read again."""
@@ -334,6 +367,31 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_documents(rows.drop("extracted_at", "extract_id"))
 
 
+@query(rf"""with recursive c as (select n_nationkey as k, n_name, c_custkey, 'Customer ' || c_name || ' of the ' || c_mktsegment || ' segment, number ' || c_custkey::varchar || ', buys here. Ask at the desk.' as para,
+    row_number() over (partition by n_nationkey order by c_custkey) - 1 as rn from customer join nation on c_nationkey = n_nationkey),
+  u as (select k, n_name, rn // 40 as b, rn % 40 as j, case when rn % 40 = 0 then '## Block ' || (rn // 40)::varchar || chr(10) || chr(10) else '' end || para as unit from c),
+  t as (select *, len(regexp_extract_all(unit, {WORDS})) as t from u),
+  w(k, b, j, chunk, total) as (select k, b, j, 0, t from t where j = 0 union all select w.k, w.b, t.j, w.chunk + case when w.total + t.t > 400 then 1 else 0 end, case when w.total + t.t > 400 then t.t else w.total + t.t end from w join t on t.k = w.k and t.b = w.b and t.j = w.j + 1),
+  x as (select k, n_name, [n_name, 'Block ' || b::varchar] as headings, b, chunk, string_agg(unit, chr(10) || chr(10) order by j) as primary_text from w join u using (k, b, j) group by all
+    union all select k, n_name, [n_name], -1, 0, '# ' || n_name from c where rn = 0
+    union all select k, n_name, [n_name, 'Long'], 1000000, i, case i when 0 then '## Long' || chr(10) || chr(10) || array_to_string(list_transform(range(1, 398), lambda n: 'w' || n::varchar), ' ')
+      when 1 then array_to_string(list_transform(range(398, 798), lambda n: 'w' || n::varchar), ' ') else array_to_string(list_transform(range(798, 901), lambda n: 'w' || n::varchar), ' ') end from c, unnest([0, 1, 2]) r(i) where rn = 0),
+  o as (select *, row_number() over (partition by k order by b, chunk) - 1 as chunk_index, lag(primary_text) over (partition by k order by b, chunk) as before from x),
+  p as (select *, 'Nations > ' || n_name || case when len(headings) > 1 then ' > ' || headings[2] else '' end as crumb, case when before is null then '' else array_to_string(regexp_extract_all(before, {WORDS})[greatest(len(regexp_extract_all(before, {WORDS})) - 49, 1):], ' ') || chr(10) end as back from o)
+  select sha256('nations' || 'https://nations.example/' || k::varchar || 'heading-v1' || chunk_index::varchar) as chunk_id, chunk_index::int as chunk_index, array_to_string(headings, '/') as headings, crumb as breadcrumb, primary_text, crumb || chr(10) || back || primary_text as text,
+    len(regexp_extract_all(crumb || chr(10) || back || primary_text, {WORDS}))::int as token_count, sha256(primary_text) as content_hash from p""")
+def nation_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Every nation as a document of its customers, a paragraph each, 40 to a section, and one sentence over the limit, cut into chunks: headings, packing, cuts by tokens, overlaps, ids."""
+    c, lit = F.col, F.lit
+    para = F.concat(lit("Customer "), c("c_name"), lit(" of the "), c("c_mktsegment"), lit(" segment, number "), c("c_custkey").cast("string"), lit(", buys here. Ask at the desk."))
+    rows = table(spark, d, "customer").join(table(spark, d, "nation"), c("c_nationkey") == c("n_nationkey")).groupBy("n_nationkey", "n_name").agg(F.array_sort(F.collect_list(F.struct("c_custkey", para.alias("para")))).alias("paras"))
+    block = F.transform("paras", lambda x, i: F.concat(F.when(i % 40 == 0, F.concat(lit("## Block "), F.floor(i / 40).cast("string"), lit("\n\n"))).otherwise(""), x["para"]))
+    long = F.concat(lit("## Long\n\n"), F.array_join(F.transform(F.sequence(lit(1), lit(900)), lambda i: F.concat(lit("w"), i.cast("string"))), " "))
+    text = F.concat(lit("# "), c("n_name"), lit("\n\n"), F.array_join(block, "\n\n"), lit("\n\n"), long)
+    documents = rows.select(F.concat(lit("d"), c("n_nationkey").cast("string")).alias("document_id"), lit("nations").alias("source_id"), lit("Nations").alias("display_name"), F.concat(lit("https://nations.example/"), c("n_nationkey").cast("string")).alias("canonical_url"), c("n_name").alias("title"), text.alias("extracted_text"), lit("h").alias("extracted_sha256"))
+    return chunking.chunk_documents(documents).select("chunk_id", "chunk_index", F.array_join("headings", "/").alias("headings"), "breadcrumb", "primary_text", "text", "token_count", "content_hash")
+
+
 @query(r"select doc_id, regexp_replace(case when length(x) > 2000 then substr(x, 1, 2000) || ' [query truncated]' else x end, '^[ \t\n\f\r]+|[ \t\n\f\r]+$', '', 'g') as question from (select doc_id, regexp_replace(title, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]', '', 'g') as x from documents where title is not null)")
 def query_sanitize(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("title is not null").select("doc_id", T.sanitize_query(F.col("title")).alias("question"))
@@ -650,7 +708,8 @@ def dedup_hits(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.first_of(ranked(spark, d, 10), ["query_id", "label"], [F.desc("score"), F.col("point_id")]).select("query_id", "label", "point_id")
 
 
-@query()
+@query(rf"""with c as (select *, regexp_replace(regexp_replace(text, '{BLANK}+', ' ', 'g'), '^ | $', '', 'g') as form from {CHUNKS})
+  select chunk_id, document_id, chunk_index from c qualify length(form) < 256 or row_number() over (partition by source_id, document_id, canonical_url, form order by chunk_index, chunk_id) = 1""")
 def redundant_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of a document without later ones of the same text."""
     bound_batches(spark)
@@ -699,16 +758,39 @@ def page_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return counts
 
 
-@query()
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+LETTER_SQL = "list_transform(string_split('{0}', ''), lambda ch: (length(lower({1})) - length(replace(lower({1}), ch, '')))::double)"
+
+
+def letter_counts(text: Column) -> Column:
+    """An embedding that SQL can give too: how often each letter stands in a text."""
+    low = F.lower(text)
+    return F.array(*((F.length(low) - F.length(F.replace(low, F.lit(x), F.lit("")))).cast("double") for x in LETTERS))
+
+
+@query(rf"""with recursive a as (select doc_id as r, title as q, case when title is null or trim(title) = '' then 'blank_query' when length(title) > 2000 then 'long_query' end as error from documents where doc_id % 20 = 0),
+  c as (select *, row_number() over (order by source_id, document_id, chunk_id) as no, {LETTER_SQL.format(LETTERS, 'text')} as v, regexp_replace(regexp_replace(text, '{BLANK}+', ' ', 'g'), '^ | $', '', 'g') as form, len(regexp_extract_all(text, {WORDS})) as t from {CHUNKS}),
+  e as (select r, {LETTER_SQL.format(LETTERS, "('" + T.QUERY_PREFIX + "' || q)")} as v from a where error is null),
+  h as (select r, c.*, round(list_cosine_similarity(e.v, c.v), 6) as score from e, c where list_sum(c.v) > 0 qualify row_number() over (partition by r order by score desc, no) <= 10),
+  f as (select * from h where score >= 0.2 qualify length(form) < 256 or row_number() over (partition by r, source_id, document_id, canonical_url, form order by score desc, no) = 1),
+  o as (select *, row_number() over (partition by r order by score desc, no) as n from f),
+  w(r, n, urls, total, cut) as (select r, 0::bigint, []::varchar[], 0::bigint, 0 from a union all select w.r, o.n, case when len(urls) < 5 and total + t <= 800 then list_append(urls, o.canonical_url) else urls end,
+    total + case when len(urls) < 5 and total + t <= 800 then t else 0 end, cut + case when len(urls) < 5 and total + t <= 800 then 0 else 1 end from w join o on o.r = w.r and o.n = w.n + 1),
+  l as (select * from w qualify row_number() over (partition by r order by n desc) = 1),
+  z as (select a.r, error, len(urls) = 0 as empty, case when error is null and len(urls) > 0 then 'See ' || urls[1] || ' and https://elsewhere.example/x.' end as answer, urls, total, cut from a join l using (r))
+  select r as request_id, error as error_type, empty as context_was_empty, answer, case when answer is null then '' else urls[1] end as citations, case when answer is null then 0 else 1 end as n_fabricated, total as context_tokens, len(urls)::int as n_chunks, cut as n_truncated,
+    (error is null)::varchar as ok, answer as said from z""")
 def question_answers(spark: SparkSession, d: str) -> DataFrame:
-    """Every 20th document's title asked of all chunks by hashed words, packed, prompted, answered by quoting the first source, and checked for citations."""
-    embed = pipeline.hash_embedder(64)
+    """Every 20th document's title asked of all chunks by their letters, packed, prompted, answered by quoting the first source, and checked for citations."""
     asked = table(spark, d, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("request_id"), F.col("title").alias("query"), F.lit(10).alias("top_k"), F.lit(0.2).alias("score_threshold"), F.lit(5).alias("max_chunks"), F.lit(800).alias("token_budget"))
-    rows = stage(chunk_rows(spark, d).withColumn("no", F.xxhash64("chunk_id")).withColumn("embedding", embed(F.col("text"))), "points")
-    queries = asked.where("query is not null").select(F.col("request_id").alias("vec_id"), embed(F.concat(F.lit(T.QUERY_PREFIX), F.col("query"))).alias("embedding"))
+    # numbered in the total order, so that ties fall by it
+    rows = stage(chunk_rows(spark, d).sort("source_id", "document_id", "chunk_id").withColumn("no", F.monotonically_increasing_id()).withColumn("embedding", letter_counts(F.col("text"))), "points")
+    queries = asked.where("query is not null").select(F.col("request_id").alias("vec_id"), letter_counts(F.concat(F.lit(T.QUERY_PREFIX), F.col("query"))).alias("embedding"))
     hits = retrieval.search(queries, rows.select(F.col("no").alias("vec_id"), "embedding"), 10).withColumnRenamed("query_id", "request_id")
     whole = hits.join(rows.drop("embedding"), F.col("point_id") == F.col("no"))
-    return pipeline.answers(asked, whole, lambda prompt, context: F.concat(F.lit("See "), F.get(context, F.lit(0))["canonical_url"], F.lit(" and https://elsewhere.example/x.")))
+    said = pipeline.answers(asked, whole, lambda prompt, context: F.concat(F.lit("See "), F.get(context, F.lit(0))["canonical_url"], F.lit(" and https://elsewhere.example/x.")))
+    shown = said.withColumn("citations", F.array_join("citations", " ")).withColumn("ok", F.get_json_object("response", "$.ok")).withColumn("said", F.get_json_object("response", "$.answer"))
+    return shown.drop("response")
 
 
 # --- streams

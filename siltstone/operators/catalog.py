@@ -93,6 +93,13 @@ def record_indexing(catalog: DataFrame, indexed: DataFrame) -> DataFrame:
     return _recorded(catalog, indexed, {"indexed_sha256": "extracted_sha256", "indexed_chunker_version": "chunker_version"})
 
 
+def record_misses(catalog: DataFrame, missed: DataFrame) -> DataFrame:
+    """missed(source_id, canonical_url, run_id, at), one row for each time that a page was looked for in vain: its misses are added."""
+    batch = missed.groupBy(*KEY).agg(F.count("*").cast("int").alias("n"), F.max_by("run_id", F.struct(F.col("at").isNotNull(), "at")).alias("run_id"), F.max("at").alias("at"))
+    old = lambda c: F.col(f"old.{c}") if c in catalog.columns else F.lit(None)
+    return written(catalog, batch, {"consecutive_missing_success_runs": F.coalesce(old("consecutive_missing_success_runs"), F.lit(0)) + F.col("new.n"), "last_touched_run_id": F.col("new.run_id"), "updated_at": F.greatest(old("updated_at"), F.col("new.at"))})
+
+
 def _recorded(catalog: DataFrame, rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     row = F.struct(F.col("at").isNotNull().alias("known"), "at", "run_id", *columns.values())
     batch = rows.groupBy(*KEY).agg(F.max(row).alias("row"))

@@ -60,3 +60,52 @@ def current(spark: SparkSession, folder: str, name: str) -> DataFrame:
     if not found:
         raise FileNotFoundError(f"no version of {name} in {folder}")
     return spark.read.parquet(found[-1])
+
+
+class Transaction:
+    """Several tables of a folder that change together: what was put is seen by others once the outermost `with` ends, all of it or nothing.
+
+    The tables are written at once, beside those that hold; a version of the manifest, which names the table of each name, publishes them. After an error the manifest stays
+    as it was and what was written is deleted. A transaction entered again inside itself ends with the outer one, and fails it if it fails.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder, self.depth, self.written, self.failed = spark, folder, 0, {}, False
+
+    def __enter__(self) -> Transaction:
+        self.depth += 1
+        return self
+
+    def __exit__(self, kind: type | None, *_: object) -> None:
+        self.depth -= 1
+        self.failed |= kind is not None
+        if self.depth:
+            return
+        (written, failed), self.written, self.failed = (self.written, self.failed), {}, False
+        if failed:
+            for path in written.values():
+                fs, at = file_system(self.spark, path)
+                fs.delete(at, True)
+            if kind is None:
+                raise RuntimeError("a part of the transaction failed")
+        elif written:
+            rows = list({**self.paths(), **written}.items())
+            commit(self.spark.createDataFrame(rows, "name string, path string").coalesce(1), self.folder, "manifest")
+
+    def paths(self) -> dict[str, str]:
+        """The published tables: one path per name."""
+        return dict(tuple(r) for r in current(self.spark, self.folder, "manifest").collect()) if exists(self.spark, self.folder, "manifest") else {}
+
+    def put(self, name: str, df: DataFrame) -> None:
+        if not self.depth:
+            raise RuntimeError("outside a transaction")
+        path = f"{self.folder}/tables/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.written[name] = path
+
+    def get(self, name: str) -> DataFrame:
+        """The table as this transaction has put it, else as it was published."""
+        path = self.written.get(name) or self.paths().get(name)
+        if path is None:
+            raise FileNotFoundError(f"no {name} in {self.folder}")
+        return self.spark.read.parquet(path)

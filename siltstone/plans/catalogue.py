@@ -236,7 +236,7 @@ def part_pages(spark: SparkSession, d: str) -> DataFrame:
     rest = F.concat(
         lit("<ul><li>type "), c("p_type"), lit("<ul><li>size "), size, lit("</li></ul></li><li> </li><li>brand "), c("p_brand"), lit("</li></ul><ol><li>one</li><li>two</li></ol><pre class='"),
         F.expr(PART_LANGUAGE), lit("'><code>\nprint("), k, lit(")\n"), code, lit("\n</code><button>Copy</button></pre><table><tr><th>Key</th><th>Value</th></tr><tr><td>size</td><td>"), size,
-        lit("</td></tr></table><blockquote><p>"), c("p_name"), lit(" &amp; more</p><p>&lt;b&gt;</p></blockquote><hr><!-- gone --><script>var a = 1;</script><form>ask</form><img src=x.png alt='photo of "), c("p_name"), lit("'>"),
+        lit("</td></tr></table><blockquote><p>"), c("p_name"), lit(" &amp;amp; more</p><p>&amp;lt;b&gt;</p></blockquote><hr><!-- gone --><script>var a = 1;</script><form>ask</form><img src=x.png alt='photo of "), c("p_name"), lit("'>"),
     )
     whole = F.concat(lit("<html><head><title>"), c("p_name"), lit(" - Parts</title></head><body><nav>menu</nav>"), opened, head, F.when(kind == 3, "").otherwise(rest), closed, lit("<footer>end</footer></body></html>"))
     body = F.when(kind == 5, "  ").when(kind == 4, F.concat(lit("<title>"), c("p_name"), lit(" - Parts</title><p>no main element</p>"))).otherwise(whole)

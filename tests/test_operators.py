@@ -34,6 +34,11 @@ def test_deep_pages_and_nested_lists():
     assert html_extract.language(html_extract.parse("<pre class='x lang-C++ py'></pre>").find("pre")) == "c++"
 
 
+def test_text_is_decoded_twice_but_for_code_blocks():
+    page = "<main><h1>&amp;lt;</h1><p>&amp;lt;a <code>&amp;amp;</code></p>&amp;gt;<pre>&amp;lt;</pre><table><tr><td>&amp;lt;</td></tr></table></main>"
+    assert html_extract.extract(page)[2] == "# &lt;\n\n<a `&`\n\n>```\n&lt;\n```\n\n&lt;"
+
+
 def test_selectors_of_a_source(spark):
     body = bytearray(b"<main><p>" + b"main text " * 30 + b"</p></main><div id=own><p>" + b"own text " * 30 + b"</p><em>x</em></div>")
     df = spark.createDataFrame([(1, "a", "u", body), (2, "b", "u", body)], "record_id bigint, source_id string, canonical_url string, body binary")
@@ -215,6 +220,43 @@ def test_extractions_and_indexing(spark):
     assert (b.extracted_sha256, b.indexed_sha256, b.last_touched_run_id) == (None, "h", None)
 
 
+def test_misses_are_added(spark):
+    old = spark.createDataFrame([("s", "a", 1), ("s", "b", None), ("s", "c", 4)], "source_id string, canonical_url string, consecutive_missing_success_runs int")
+    rows = spark.createDataFrame([("s", "a", "r1", AT), ("s", "a", "r2", AT + dt.timedelta(1)), ("s", "b", "r1", None)], "source_id string, canonical_url string, run_id string, at timestamp")
+    got = catalog.record_misses(old, rows).collect()
+    assert {(r.canonical_url, r.consecutive_missing_success_runs, r.last_touched_run_id) for r in got} == {("a", 3, "r2"), ("b", 1, "r1"), ("c", 4, None)}
+
+
+def test_transactions(spark, tmp_path):
+    folder, one = str(tmp_path / "t"), spark.range(1)
+    t = snapshots.Transaction(spark, folder)
+    with pytest.raises(RuntimeError):
+        t.put("a", one)
+    with pytest.raises(FileNotFoundError):
+        t.get("a")
+    with t:
+        t.put("a", one)
+        with t:  # ends with the outer one
+            t.put("b", spark.range(2))
+        assert t.paths() == {} and t.get("b").count() == 2
+    assert set(t.paths()) == {"a", "b"}
+    with pytest.raises(ValueError), t:
+        t.put("a", spark.range(9))
+        with t:
+            raise ValueError
+    with pytest.raises(RuntimeError), t:
+        t.put("a", spark.range(9))
+        try:
+            with t:
+                raise ValueError
+        except ValueError:
+            pass
+    assert t.get("a").count() == 1 and len(list((tmp_path / "t/tables").iterdir())) == 2
+    with t:
+        t.put("a", t.get("a").union(one))
+    assert snapshots.Transaction(spark, folder).get("a").count() == 2 and t.get("b").count() == 2
+
+
 def test_runs_and_snapshots(spark, tmp_path):
     runs = spark.createDataFrame([("1", "s", AT, "started", None, None), ("2", "s", AT, "failed", AT, "x")], "id string, source_id string, started_at timestamp, status string, finished_at timestamp, error_message string")
     opened = catalog.open_runs(runs, spark.createDataFrame([("2", "s", AT), ("3", "t", AT)], "id string, source_id string, started_at timestamp"))

@@ -361,6 +361,6 @@ def test_perplexity(spark):
         assert len(model.three[0].keys) == kept if kept else 0 < len(model.three[0].keys) <= 1 / cut
         for context in ([1, 1], "wa wb", "wx wq", "never seen"):
             u, v = [np.uint64(x) ^ np.uint64(lang & 0xFFFFFFFF) for x in context] if isinstance(context, list) else repetition.opened(context, lang, known)[2:4]
-            ps = [float(np.exp(model.log_probabilities(np.array([u, v, w], np.uint64), lang))[0]) for w in [*vocabulary, np.uint64(12345)]]
+            ps = [float(np.exp(model.log_probabilities([np.array([u, v, w], np.uint64)], lang))[0]) for w in [*vocabulary, np.uint64(12345)]]
             assert min(ps) > 0 and sum(ps) == pytest.approx(1)
     assert repetition.perplexities(df.where("false")).count() == 0

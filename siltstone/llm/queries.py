@@ -21,6 +21,15 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_oversized(table(spark, d, "document_chunks"))
 
 
+def p1_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of each oversized chunk put together again without their overlaps, and whether all keep to the limit and begin with the overlap."""
+    rows = split.split_oversized(table(spark, d, "document_chunks")).where("chunk_id is not null")
+    piece = F.struct("piece_no", F.expr("substring(text, overlap_chars + 1)").alias("own"))
+    back = (F.col("piece_no") == 0) | (F.col("overlap_tokens") == split.OVERLAP)
+    whole = rows.groupBy("chunk_id").agg(F.sum(F.col("n_tokens") - F.col("overlap_tokens")).alias("n_tokens"), F.bool_and(F.col("n_tokens") <= split.LIMIT).alias("within_limit"), F.bool_and(back).alias("with_overlaps"), F.array_sort(F.collect_list(piece)).alias("pieces"))
+    return whole.select("chunk_id", "n_tokens", "within_limit", "with_overlaps", F.sha2(F.array_join("pieces.own", ""), 256).alias("text_sha256"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_lines.repeated_lines(table(spark, d, "extract_results")).select("extract_id", "line_no")
 
@@ -76,7 +85,8 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_perplexity(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.perplexities(table(spark, d, "documents"))
+    rows = repetition.perplexities(table(spark, d, "documents"))
+    return rows.withColumns({c: F.round(c, 6) for c in ("perplexity", "low", "high")})
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -110,4 +120,4 @@ def p6_content(spark: SparkSession, d: str) -> DataFrame:
     return texts.unionByName(main_content.own_text(table(spark, d, "fetch_results"), "page").withColumn("record_table", F.lit("fetch_results")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_lines, p2_sequences, p2_clean, p4_found, p4_clean, p5_found, p6_found, p6_units, p6_content, p7_found, p7_groups, p8_ids, p9_containers, p9_short, p10_found, p10_shares, p10_perplexity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p1_rejoined, p2_found, p2_lines, p2_sequences, p2_clean, p4_found, p4_clean, p5_found, p6_found, p6_units, p6_content, p7_found, p7_groups, p8_ids, p9_containers, p9_short, p10_found, p10_shares, p10_perplexity)}

@@ -22,7 +22,7 @@ from siltstone.session import bound_batches, spread
 
 LIMIT, OVERLAP = 400, 50
 SENTENCE_END, CLAUSE_END = frozenset(".!?。！？…"), frozenset(",;:、，；：)]}")
-SCHEMA = "chunk_id string, piece_no int, n_pieces int, n_tokens int, overlap_tokens int, text string"
+SCHEMA = "chunk_id string, piece_no int, n_pieces int, n_tokens int, overlap_tokens int, overlap_chars int, text string"
 
 
 def fence_spans(text: str) -> list[tuple[int, int]]:
@@ -63,15 +63,15 @@ def strengths(text: str, starts: list[int], ends: list[int]) -> list[int]:
     return out
 
 
-def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
-    """(tokens, tokens of overlap, text) of each piece of a text, in order."""
+def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, str]]:
+    """(tokens, tokens of overlap, characters of overlap, text) of each piece of a text, in order."""
     starts, ends = [], []
     for m in TOKEN.finditer(text):
         starts.append(m.start())
         ends.append(m.end())
     n = len(starts)
     if n <= limit:
-        return [(n, 0, text)] if text else []
+        return [(n, 0, 0, text)] if text else []
     strong, cap, cuts, todo = strengths(text, starts, ends), limit - overlap, [0], [(0, n)]
     while todo:
         lo, hi = todo.pop()
@@ -86,7 +86,8 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
     out = []
     for j, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
         back = min(overlap, lo)
-        out.append((hi - lo + back, back, text[starts[lo - back] if back else at[j] : at[j + 1]]))
+        begin = starts[lo - back] if back else at[j]
+        out.append((hi - lo + back, back, at[j] - begin, text[begin : at[j + 1]]))
     return out
 
 
@@ -109,8 +110,8 @@ def split_oversized(df: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, o
                 if len(cut) > 1 or not only_long:
                     rows += [(key, i, len(cut), *x, own) for i, x in enumerate(cut)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64()))],
-                names=["chunk_id", "piece_no", "n_pieces", "n_tokens", "overlap_tokens", "text", "sum"],
+                [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 8, (pa.string(), *[pa.int32()] * 5, pa.string(), pa.int64()))],
+                names=["chunk_id", "piece_no", "n_pieces", "n_tokens", "overlap_tokens", "overlap_chars", "text", "sum"],
             )
 
     return spread(texts).mapInArrow(run, SCHEMA + ", sum bigint").dropDuplicates(["chunk_id", "piece_no", "sum"]).drop("sum")

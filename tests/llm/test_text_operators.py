@@ -23,21 +23,21 @@ def test_pieces_are_the_text(text, limit):
     if not text:
         assert cut == []
         return
-    assert all(n <= limit and len(TOKEN.findall(t)) == n for n, _, t in cut)
-    assert cut[0][1] == 0 and all(b == overlap for _, b, _ in cut[1:])
-    for (_, _, before), (_, back, after) in zip(cut, cut[1:]):
+    assert all(n <= limit and len(TOKEN.findall(t)) == n for n, _, _, t in cut)
+    assert cut[0][1:3] == (0, 0) and all(b == overlap for _, b, _, _ in cut[1:]) and "".join(t[chars:] for _, _, chars, t in cut) == text
+    for (_, _, _, before), (_, back, _, after) in zip(cut, cut[1:]):
         assert TOKEN.findall(before)[-back:] == TOKEN.findall(after)[:back]
-    bodies = [t if not b else t[list(TOKEN.finditer(t))[b].start() :] for _, b, t in cut]
+    bodies = [t if not b else t[list(TOKEN.finditer(t))[b].start() :] for _, b, _, t in cut]
     assert "".join(x for i, b in enumerate(bodies) for x in TOKEN.findall(b)) == "".join(TOKEN.findall(text))
 
 
 def test_cuts_lie_at_boundaries():
     text = "\n\n".join("This is sentence one. Here is another one, with a comma." * 1 for _ in range(80))
-    for n, back, piece in split.pieces(text)[1:]:
+    for n, back, _, piece in split.pieces(text)[1:]:
         start = [m.start() for m in TOKEN.finditer(piece)][back]
         assert piece[:start].endswith("\n\n")
-    assert [n for n, _, _ in split.pieces("x" * 5000)] == [1]
-    assert max(n for n, _, _ in split.pieces("中" * 3000)) <= 400
+    assert [n for n, *_ in split.pieces("x" * 5000)] == [1]
+    assert max(n for n, *_ in split.pieces("中" * 3000)) <= 400
 
 
 def test_split_rows(spark):

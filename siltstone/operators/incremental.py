@@ -93,7 +93,7 @@ def replace(df: DataFrame, change: Change, compute: Callable[[DataFrame], DataFr
     rows = df.where(change.part.isin(change.parts)) if len(change.parts) < change.partitions else df
     found = compute(rows).withColumn("part", change.part).withColumn("marker", F.lit(False))
     markers = spark.createDataFrame([(p,) for p in change.parts], "part int").withColumn("marker", F.lit(True))
-    whole = found.unionByName(markers, allowMissingColumns=True).repartition("part")
+    whole = found.unionByName(markers, allowMissingColumns=True).hint("rebalance", "part")  # large partitions in several files
     whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{state}/result")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltstone import session
 from siltstone.functions import text as T
 from siltstone.operators import catalog, chunking, crawl, html_extract, incremental, index, retrieval, snapshots
+from siltstone.operators.store import VectorStore
 
 AT = dt.datetime(2026, 8, 29, 12)
 PAGE = """<html><head><title>Page - Site</title></head><body><nav>menu</nav><main><h1>Title</h1><p>Text &amp; <b>bold</b> <a href="/x">link</a> <a href="#y">local</a>
@@ -327,6 +328,27 @@ def test_points(spark):
     assert {(r.point_id, r.is_active) for r in index.set_active(df, df.where("point_id != 'b'"), False).collect()} == {("a", False), ("b", True), ("c", False)}
 
 
+def test_vector_store(spark, tmp_path):
+    at = VectorStore(spark, f"{tmp_path}/store", dim=2)
+    row = lambda i, v, source="s", chunk=None, day=0: (i, v, source, f"d{i}", chunk or f"c{i}", True, AT + dt.timedelta(days=day))
+    points = lambda rows: spark.createDataFrame(rows, "point_id string, vector array<float>, source_id string, document_id string, chunk_id string, is_active boolean, created_at timestamp")
+    assert at.points().count() == 0
+    at.upsert(points([row("a", [1.0, 0.0]), row("a", [0.0, 1.0], day=-1), row("b", [1.0, 0.1]), row("c", [1.0, 0.2], source="t"), row("e", [0.9, 0.0], chunk="ca")]))
+    ask = spark.createDataFrame([(1, [1.0, 0.0], "s")], "vec_id bigint, vector array<float>, source_id string")
+    found = lambda **o: [r.point_id for r in at.search(ask, 3, **o).orderBy("rank").collect()]
+    assert found() == ["a", "b"] and found(by_source=True) == ["a", "b"]  # e is another point of a's chunk
+    at.upsert(points([row("a", [0.0, 1.0])]))
+    assert found() == ["e", "b", "c"] and found(threshold=0.99) == ["e", "b"] and found(by_source=True)[:2] == ["e", "b"]
+    at.set_active(spark.createDataFrame([("e",)], "point_id string"), False)
+    at.deactivate(spark.createDataFrame([("db",), ("none",)], "document_id string"))
+    assert found() == ["c", "a"] and at.of_documents(spark.createDataFrame([("db",)], "document_id string")).first().is_active is False and at.points().count() == 4
+    first = at.search(ask, 1).first()
+    assert (first.title, first.headings, first.chunk_index) == ("", [], 0)
+    with pytest.raises(Exception, match="a vector must have 2 numbers, not 3"):
+        at.upsert(points([row("z", [1.0, 2.0, 3.0])]))
+    assert at.points().count() == 4
+
+
 def test_crawl(spark):
     pages = spark.createDataFrame([("s", "https://a.example/x/", b'<a href="y">1</a><a href="y#f">2</a><a href="#z">3</a><a>4</a><a href="q.pdf">5</a>'), ("s", "https://a.example/", None)], "source_id string, page_url string, body binary")
     assert {r.link for r in crawl.page_links(pages).collect()} == {"https://a.example/x/y", "https://a.example/x/y#f"}

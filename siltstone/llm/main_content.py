@@ -42,6 +42,8 @@ ROW = re.compile(r"^\|?[^|]+(?:\|[^|]+)*\|\s*\d[\d.,]* [^\W\d]+\s*\|?$")
 CODE_NAME = re.compile(r"^[a-z]+(?:[._][a-z]\w*|[A-Z]\w*)+(?:\(\))?$")
 WIDE = re.compile(r"[぀-ヿ㐀-鿿]")
 HEADING, MOST_SHARED = 1.0, 1 << 22
+#: Characters under which a sentence gets no points, as is usual for this method.
+SHORTEST = 25
 SIBLING_SHARE, LINK_SHARE, KEPT = 0.2, 0.25, frozenset("p pre h1 h2 h3 h4 h5 h6 ul ol dl table blockquote figure".split())
 UNITS = "record_id bigint, unit_no int, own boolean"
 
@@ -54,7 +56,7 @@ def points(text: str) -> float:
         return 0.0
     words = text.count(" ") + 1
     wide = len(WIDE.findall(text)) if not text.isascii() else 0
-    if (words >= 4 or wide >= 8) and text.rstrip(CLOSERS)[-1:] in ENDS:
+    if ((words >= 4 and len(text) >= SHORTEST) or wide >= 8) and text.rstrip(CLOSERS)[-1:] in ENDS:
         return 1.0 + text.count(",") + text.count("、") + min(len(text) / 100, 3)
     if OWN.search(text) or (ROW.match(text) and CODE_NAME.match(text.strip("| ").split("|")[0].strip())):
         return 1.0 + min(len(text) / 100, 3)

@@ -364,3 +364,55 @@ def test_perplexity(spark):
             ps = [float(np.exp(model.log_probabilities([np.array([u, v, w], np.uint64)], lang))[0]) for w in [*vocabulary, np.uint64(12345)]]
             assert min(ps) > 0 and sum(ps) == pytest.approx(1)
     assert repetition.perplexities(df.where("false")).count() == 0
+
+
+def kneser_ney(docs):
+    """The nats of each document under its language's modified Kneser-Ney model, in plain Python."""
+    from collections import Counter
+    from math import log
+
+    grams = {i: list(zip(["^", "^", *t.split()], ["^", *t.split()], t.split())) for i, t in docs.items()}
+    three = Counter(g for found in grams.values() for g in found)
+    two = Counter(g[1:] for g in three)
+    one = Counter(g[1] for g in two)
+
+    def interpolated(counts, lower):
+        n = [sum(c == i for c in counts.values()) for i in range(5)]
+        d = [0.0, *(min(float(i), max(0.0, i - (i + 1) * n[1] / max(n[1] + 2 * n[2], 1) * n[i + 1] / n[i])) if n[i] and n[1] else 0.5 * i for i in (1, 2, 3))]
+        whole, left = Counter(), Counter()
+        for g, c in counts.items():
+            whole[g[:-1]] += c
+            left[g[:-1]] += d[min(c, 3)]
+        return {g: (max(c - d[min(c, 3)], 0.0) + left[g[:-1]] * lower(g)) / whole[g[:-1]] for g, c in counts.items()}
+
+    p1 = {w: (c + 1 / (len(one) + 1)) / (len(two) + 1) for w, c in one.items()}
+    p2 = interpolated(two, lambda g: p1[g[1]])
+    p3 = interpolated(three, lambda g: p2[g[1:]])
+    return {i: -sum(log(p3[g]) for g in found) / len(found) for i, found in grams.items()}
+
+
+def test_perplexity_of_rare_sequences(spark):
+    """No sequence is left out of a corpus too large for the model to be held: documents have the perplexities and bands of the whole model, whether every executor holds the model or it lies in parts."""
+    import math
+    import random
+
+    rng = random.Random(2)
+    words = {lang: [f"{lang}{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(12)] for lang in ("en", "de")}
+    docs = {i: (lang, " ".join(rng.choices(words[lang], [1 / (k + 1) for k in range(144)], k=rng.randrange(1, 80)))) for i in range(120) for lang in ["de" if i % 3 == 0 else "en"]}
+    rows = [(i, lang, text) for i, (lang, text) in docs.items()] + [(120, "en", None), (121, "de", " "), (122, None, ""), (None, "fr", "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, lang string, text string").repartition(3)
+    want = {i: x for lang in words for i, x in kneser_ney({i: text for i, (name, text) in docs.items() if name == lang}).items()}
+    edges = {}
+    for lang in words:
+        nats = sorted(x for i, x in want.items() if docs[i][0] == lang)
+        edges[lang] = [nats[max(1, len(nats) - math.floor(len(nats) - len(nats) * q)) - 1] for q in (0.02, 0.98)]
+    for cut in (repetition.CUT, 2e-3):
+        got = repetition.perplexities(df, cut=cut).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            if r.doc_id in want:
+                lo, hi = edges[r.lang]
+                assert math.log(r.perplexity) == pytest.approx(want[r.doc_id], rel=1e-9) and r.n_words == len(docs[r.doc_id][1].split())
+                assert (math.log(r.low), math.log(r.high)) == pytest.approx((lo, hi), rel=1e-9) and r.rejected == (want[r.doc_id] < lo or want[r.doc_id] > hi)
+            else:
+                assert r.perplexity is None and r.n_words == 0 and not r.rejected

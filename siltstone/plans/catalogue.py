@@ -13,7 +13,7 @@ from siltstone.functions import http, ids, urls
 from siltstone.functions import text as T
 from siltstone.functions.vectors import norm
 from siltstone.operators import catalog, chunking, crawl, html_extract, incremental, index, pipeline, retrieval
-from siltstone.session import bound_batches, shared_dir, spread, stage
+from siltstone.session import bound_batches, deal, shared_dir, spread, stage
 from siltstone.sources.registry import registry
 from siltstone.sources.tables import table
 from siltstone.streaming import events as streams
@@ -240,8 +240,9 @@ def part_pages(spark: SparkSession, d: str) -> DataFrame:
     )
     whole = F.concat(lit("<html><head><title>"), c("p_name"), lit(" - Parts</title></head><body><nav>menu</nav>"), opened, head, F.when(kind == 3, "").otherwise(rest), closed, lit("<footer>end</footer></body></html>"))
     body = F.when(kind == 5, "  ").when(kind == 4, F.concat(lit("<title>"), c("p_name"), lit(" - Parts</title><p>no main element</p>"))).otherwise(whole)
-    pages = table(spark, d, "part").select(c("p_partkey").cast("bigint").alias("record_id"), lit("parts").alias("source_id"), F.concat(lit("https://parts.example/"), k).alias("canonical_url"), F.encode(body, "UTF-8").alias("body"))
-    found = html_extract.extract_pages(pages)
+    parts = deal(table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "p_partkey")
+    pages = parts.select(c("p_partkey").cast("bigint").alias("record_id"), lit("parts").alias("source_id"), F.concat(lit("https://parts.example/"), k).alias("canonical_url"), F.encode(body, "UTF-8").alias("body"))
+    found = html_extract.extract_pages(pages, dealt=True)
     title = T.document_title(c("extracted_text"), T.page_title(c("raw_title"), lit("Parts")))
     return found.select("record_id", "reason", title.alias("title"), "extracted_text", F.size("heading_outline").alias("n_headings"))
 

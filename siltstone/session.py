@@ -78,3 +78,10 @@ def spread(df: DataFrame) -> DataFrame:
     scan's own splits are kept and nothing is shuffled; a table in one small file is read by one task unless it is set."""
     tasks = df.sparkSession.conf.get("siltstone.tasks", None)
     return df.repartition(int(tasks)) if tasks else df
+
+
+def deal(df: DataFrame, *key: str) -> DataFrame:
+    """df by a hash of its key in as many partitions as `siltstone.tasks`, or else `spark.sql.shuffle.partitions`, asks for: for a table of small rows of which each makes much
+    work, as a scan splits by bytes and would give all of it to one task. Deal before the rows are widened, so that only the small ones are shuffled."""
+    conf = df.sparkSession.conf
+    return df.repartition(int(conf.get("siltstone.tasks", None) or conf.get("spark.sql.shuffle.partitions")), *key)

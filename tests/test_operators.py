@@ -9,6 +9,7 @@ from siltstone import session
 from siltstone.functions import text as T
 from siltstone.operators import catalog, chunking, crawl, html_extract, incremental, index, retrieval, snapshots
 from siltstone.operators.store import VectorStore
+from siltstone.sources import html
 
 AT = dt.datetime(2026, 8, 29, 12)
 PAGE = """<html><head><title>Page - Site</title></head><body><nav>menu</nav><main><h1>Title</h1><p>Text &amp; <b>bold</b> <a href="/x">link</a> <a href="#y">local</a>
@@ -27,6 +28,27 @@ def test_extraction():
     assert html_extract.extract(b"<main><p>" + b"word " * 60)[0] == "ok"
 
 
+def test_each_element_is_asked_once_for_all_selectors(monkeypatch):
+    """Junk and the main element are found in one walk, however many selectors there are; what lies in junk is not looked at."""
+    asked, first = [], html.Selectors.first
+    monkeypatch.setattr(html.Selectors, "first", lambda self, e: asked.append((id(self), e.name)) or first(self, e))
+    page = "<nav><i>1</i></nav><article><p>a</p><button><u>2</u></button><div class='x copy'>3</div><b class=x>b</b></article>"
+    assert html_extract.extract(page)[2] == "a\n\nb"
+    assert len(asked) == len(set(asked)) and {name for _, name in asked} == {"nav", "article", "p", "button", "div", "b"}
+
+
+def test_junk_in_titles():
+    """A title in junk is the title still; what was named by a selector before that junk is not in it."""
+    root = html.parse("<svg></svg>")
+    title = html.Element("title", {}, root.children[0])
+    root.children[0].children.append(title)
+    for name, text in (("script", "1"), ("svg", "2"), ("button", "3"), ("b", "4")):
+        e = html.Element(name, {}, title)
+        e.children.append(text)
+        title.children.append(e)
+    assert html_extract.title_text(root, html_extract.Selectors((*html_extract.STRIPPED_TAGS, *html_extract.STRIPPED))) == "34"
+
+
 def test_deep_pages_and_nested_lists():
     deep = b"<main>" + b"<div><b>" * 20000 + b"<p>" + b"text " * 60 + b"</main>"
     assert html_extract.extract(deep)[2] == ("text " * 60).strip()

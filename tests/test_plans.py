@@ -1,6 +1,7 @@
 """Plans: what reaches the scan, what stays in the JVM, and what is shuffled."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.plans.catalogue import QUERIES
 
@@ -42,3 +43,11 @@ def test_latest_rows_are_reduced_before_the_shuffle(spark, data, name):
     """The newest row of each key is a partial aggregate below the exchange, not a sort of the table."""
     text = plan(spark, data, name)
     assert "Window" not in text and text.count("partial_max") >= 1
+
+
+def test_pages_of_a_small_file_are_made_and_read_by_all_tasks(spark, data):
+    """Parts lie in one small file but make a page each: the rows are dealt before they are pages, whose bodies are not shuffled."""
+    df = QUERIES["part_pages"](spark, data)
+    assert df.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    below = df._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning(p_partkey")[1]
+    assert "encode" not in below and "ReadSchema: struct<p_partkey:bigint,p_name:string,p_brand:string,p_type:string,p_size:int>" in below

@@ -107,6 +107,25 @@ def test_schemas(spark, data):
     assert schemas.migrate(schemas.migrate(old, "ingestion_runs"), "ingestion_runs").first().asDict() == {"id": "1", "source_id": "s", "status": None, "started_at": None, "finished_at": None, "error_type": None, "error_message": None}
 
 
+def test_plain_pages_are_read_as_by_the_standard_reader():
+    """Where the quick reader gives a tree, it is the standard one; it gives one for plain pages, and none for others."""
+    show = lambda e: (e.name, list(e.attrs.items()), [c if isinstance(c, str) else show(c) for c in e.children])
+
+    def standard(page):
+        builder = html._Builder()
+        builder.feed(page)
+        builder.close()
+        return show(builder.root)
+
+    plain = ("<!DOCTYPE html><TITLE>a &amp; b</TITLE >x", "a &amp;lt; &copy; &", "<P Class=a id='x>y' b href=\"/q?a&amp;b\" b=2>t<br/><b />u</i></P>v", "<script a>if (a<b) '&amp;'</Script><style></style >x", "<!-- a-b --><td><tr\n>")
+    other = ("<a href=x/>t", "<a b= c>", "<a b='c'd>", "a < b", "</>", "<!-->x-->", "<![CDATA[x]]>", "<title><b>x</b></title>", "<script>'</b>'</script>", "<script>x", "<textarea><p></textarea>", "<a", "</a b>")
+    for page in plain + other:
+        tree = html.quick(page)
+        assert tree is None or show(tree) == standard(page), page
+        assert show(html.parse(page)) == standard(page), page
+    assert all(map(html.quick, plain)) and not any(map(html.quick, other))
+
+
 def test_selectors():
     root = html.parse("<div class='a b' id=x data-k='v w'><p class=b><i>1</i></p></div><p class=b>2</p>")
     found = lambda s: [e.text() for e in html.select(root, s)]
